@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from quillon.llm.common import as_array, code_points, raw, runs, slices, spans_hash
@@ -234,7 +235,7 @@ def encoded(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(tokens, pa.int32()))
                 texts = pa.LargeStringArray.from_buffers(len(part), pa.py_buffer(place.astype(np.int64)), pa.py_buffer(made)).cast(pa.string())
                 counts = pa.array(np.diff(to).astype(np.int32))
-                columns = [pa.compute.if_else(null, pa.scalar(None, x.type), x) for x in (counts, lists, texts)]
+                columns = [pc.if_else(null, pa.scalar(None, x.type), x) for x in (counts, lists, texts)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), *columns], ["doc_id", "n_tokens", "tokens", "decoded"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens int, tokens array<int>, decoded string")

@@ -150,3 +150,19 @@ def shared_ids(docs: DataFrame, key: str = "doc_id") -> bool:
 def other_columns(docs: DataFrame, taken: tuple[str, ...]) -> list:
     """The remaining columns as strings, for a total order of rows."""
     return [F.to_json(F.struct(F.col(f"`{c}`").alias("c"))) for c in docs.columns if c not in taken]
+
+
+def code_points(texts: pa.Array) -> tuple[str, np.ndarray, np.ndarray]:
+    """All rows as one string, its code points, and the row offsets in characters; nulls as empty texts."""
+    data, offsets = raw(texts)
+    joined = data.tobytes().decode()
+    if len(joined) == len(data):
+        return joined, data.astype(np.uint32), offsets
+    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return joined, np.frombuffer(joined.encode("utf-32-le"), np.uint32), chars[offsets]
+
+
+def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each length, one after the other."""
+    to = np.cumsum(lengths)
+    return np.arange(to[-1] if len(to) else 0) + np.repeat(starts - to + lengths, lengths)

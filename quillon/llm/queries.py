@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import decontaminate, linededup, minhash
+from quillon.llm import bpe, classifier, decontaminate, linededup, minhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,15 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicate_groups(_table(spark, sf_dir, "documents"))
 
 
+def op6_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return classifier.score(docs, classifier.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.encoded(_table(spark, sf_dir, "documents"))
+
+
 def op9_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.deduplicated(_table(spark, sf_dir, "documents"))
 
@@ -27,6 +36,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash": op5_minhash,
+    "op6_classifier": op6_classifier,
+    "op8_bpe": op8_bpe,
     "op9_linededup": op9_linededup,
     "op10_decontaminate": op10_decontaminate,
 }
