@@ -1,14 +1,656 @@
-"""The queries of the engine and their SQL."""
+"""The queries of the engine over the test tables, each with the SQL that says the same.
+
+Every query reads its whole tables; in searches every row is a query. Sums of floating-point numbers
+are rounded, as engines add in different orders.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quillon.functions import scores
+from quillon.operators import encode, frames, knn, reduce, split
+from quillon.sources import documents as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+K = 10
+DOCS = 100
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Callable], Callable]:
+    def keep(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def r9(x: Column) -> Column:
+    return F.round(x, 9)
+
+
+def r6(x: Column) -> Column:
+    return F.round(x, 6)
+
+
+# ---------------------------------------------------------------- text to chunks
+
+_D = split.DELIMITERS
+_PIECES = f"""
+raw AS (SELECT row_number() OVER () AS r, doc_id, text, regexp_extract_all(text, '([{_D}]*)([^{_D}]+[{_D}])', 0) AS p, regexp_extract_all(text, '([{_D}]*)([^{_D}]+[{_D}])', 1) AS s FROM documents WHERE text IS NOT NULL),
+arr AS (SELECT r, doc_id, text, CASE WHEN len(p) = 0 THEN [text] ELSE p END AS p, CASE WHEN len(p) = 0 THEN [''] ELSE s END AS s FROM raw),
+pieces AS (SELECT r, doc_id, length(text) AS n, unnest(p) AS p, unnest(s) AS s, generate_subscripts(p, 1) - 1 AS o FROM arr)"""
+_SENTENCES = rf"""{_PIECES},
+cleaned AS (SELECT doc_id, o, n, regexp_replace(regexp_replace(regexp_replace(regexp_replace(substr(p, length(s) + 1), '[^\x20-\x7E\t\n\r\x0B\x0C]', '', 'g'), '\n+', ' ', 'g'), '^[\s\x0B]+', ''), '[\s\x0B]+$', '') AS f FROM pieces),
+sentences AS (SELECT doc_id, o::INT AS "offset", substr(f, 1, 256) AS text, round(length(substr(f, 1, 256)) / n::DOUBLE, 9) AS weight FROM cleaned WHERE length(f) > 1)"""
+
+
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.sentences(table(spark, sf_dir, "documents")).withColumn("weight", r9(F.col("weight")))
+
+
+@query("sent_split", f"WITH {_SENTENCES} SELECT * FROM sentences")
+def sent_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sentences(spark, sf_dir)
+
+
+@query("sent_places", f"""WITH {_PIECES} SELECT doc_id, o::INT AS "offset", (sum(length(p)) OVER w - length(p) + length(s))::BIGINT AS "start", (sum(length(p)) OVER w)::BIGINT AS "end"
+FROM pieces WINDOW w AS (PARTITION BY r ORDER BY o)""")
+def sent_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.sentence_places(table(spark, sf_dir, "documents"))
+
+
+@query("sent_split_json", f"""WITH {_SENTENCES.replace('text IS NOT NULL', 'true')}
+SELECT s.*, '{{"lang":"' || lang || '","source":"' || source || '"}}' AS meta_info FROM sentences s JOIN (SELECT DISTINCT doc_id, lang, source FROM documents) USING (doc_id)""")
+def sent_split_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    wrapped = docs.select("doc_id", F.to_json(F.struct(F.col("text").alias("Content"), "lang", "source")).alias("json"))
+    parsed = split.json_documents(wrapped)
+    meta = parsed.select("doc_id", "meta_info").distinct()
+    return split.sentences(parsed).withColumn("weight", r9(F.col("weight"))).join(meta, "doc_id")
+
+
+@query("unary_chunk", 'SELECT doc_id, 0::INT AS "offset", text, 1.0::DOUBLE AS weight FROM documents')
+def unary_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.unary(table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "utf-8").alias("raw")))
+
+
+@query("corpus_stats", f"WITH {_SENTENCES} SELECT count(DISTINCT doc_id) AS num_docs, count(*) AS num_chunks FROM sentences")
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.corpus_counts(_sentences(spark, sf_dir))
+
+
+@query("chunks_in_doc", f"WITH {_SENTENCES} SELECT doc_id, count(*) AS n_chunks FROM sentences GROUP BY doc_id")
+def chunks_in_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.chunks_in_doc(_sentences(spark, sf_dir))
+
+
+@query("numbered_docs", "SELECT vec_id, (row_number() OVER (ORDER BY vec_id) + 999)::BIGINT AS doc_id, 1.0::DOUBLE AS weight FROM embeddings")
+def numbered_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.numbered(table(spark, sf_dir, "embeddings").select("vec_id"), "vec_id", 1000)
+
+
+@query("snowflake_ids", "SELECT event_id, (((epoch_us(ts) // 1000 - 1546300800000) << 22) | (3 << 17) | (5 << 12) | (event_id % 4096))::BIGINT AS id FROM events")
+def snowflake_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select("event_id", sources.snowflake(F.unix_millis(F.col("ts").cast("timestamp")), F.col("event_id"), 5, 3).alias("id"))
+
+
+@query("doc_batches", "SELECT doc_id, ((row_number() OVER (ORDER BY doc_id) - 1) // 64 + 1)::INT AS part_id, ((count(*) OVER () + 63) // 64)::INT AS num_parts FROM documents")
+def doc_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reduce.batches(table(spark, sf_dir, "documents").select("doc_id"), 64)
+
+
+# ---------------------------------------------------------------- nearest neighbours
+
+_EMB = "emb AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE embedding IS NOT NULL)"
+_L1 = "list_sum(list_transform(list_zip(a.v, b.v), lambda p: abs(p[1] - p[2]))) / 64"
+_DOT = "list_sum(list_transform(list_zip({0}.v, {1}.v), lambda p: p[1] * p[2]))"
+_COS = f"1 - {_DOT.format('a', 'b')} / (sqrt({_DOT.format('a', 'a')}) * sqrt({_DOT.format('b', 'b')}))"
+_METRICS = {
+    "l1": _L1,
+    "l2": "list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))",
+    "cosine": _COS,
+    "binary": "list_sum(list_transform(list_zip(a.v, b.v), lambda p: CASE WHEN p[1] <> p[2] THEN 1.0 ELSE 0.0 END)) / 64",
+}
+
+
+def _knn_sql(metric: str, k: int = K, name: str = "near", rows: str = "emb") -> str:
+    return f"""{name} AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round({metric}, 9) + 0.0 AS distance,
+  row_number() OVER (PARTITION BY a.vec_id ORDER BY round({metric}, 9), b.vec_id)::INT AS rank FROM {rows} a, {rows} b QUALIFY rank <= {k})"""
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vector")).where("vector is not null")
+
+
+def _register_knn(metric: str) -> None:
+    @query(f"knn_{metric}", f"WITH {_EMB}, {_knn_sql(_METRICS[metric])} SELECT * FROM near")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        x = _vectors(spark, sf_dir)
+        if metric == "binary":
+            return knn.nearest(x, x, K, "binary")
+        return knn.nearest(x, x, K, metric)
+
+
+for _m in _METRICS:
+    _register_knn(_m)
+
+
+@query("knn_angular")
+def knn_angular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _vectors(spark, sf_dir)
+    return knn.nearest(x, x, K, "angular")
+
+
+_CODES = "codes AS (SELECT vec_id, list_transform(range(8), lambda i: list_sum(list_transform(range(8), lambda j: CASE WHEN v[8 * i + j + 1] > 0 THEN 1 << j ELSE 0 END))::INT) AS v FROM emb)"
+
+
+def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight bytes of signs for each vector."""
+    bit = lambda i, j: F.when(F.get(F.col("vector"), i * 8 + j) > 0, F.lit(1 << j)).otherwise(F.lit(0))
+    byte = lambda i: sum((bit(i, j) for j in range(1, 8)), bit(i, 0))
+    return _vectors(spark, sf_dir).select("id", F.transform(F.sequence(F.lit(0), F.lit(7)), byte).alias("code"))
+
+
+@query("knn_byte_hamming", f"WITH {_EMB}, {_CODES}, {_knn_sql('list_sum(list_transform(list_zip(a.v, b.v), lambda p: CASE WHEN p[1] <> p[2] THEN 1.0 ELSE 0.0 END))', rows='codes')} SELECT * FROM near")
+def knn_byte_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _codes(spark, sf_dir).withColumnRenamed("code", "vector")
+    return knn.nearest(x, x, K, "bytes")
+
 
+@query("exact_code_match", f"WITH {_EMB}, {_CODES} SELECT a.vec_id AS query_id, b.vec_id AS id, 0.0::DOUBLE AS distance FROM codes a JOIN codes b ON a.v[1] = b.v[1] AND a.v[2] % 4 = b.v[2] % 4")
+def exact_code_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _codes(spark, sf_dir).select("id", F.array(F.get("code", F.lit(0)), F.get("code", F.lit(1)) % 4).alias("code"))
+    return knn.equal_codes(x, x)
+
+
+_BITS = "list_sum(list_transform(list_zip(a.v, b.v), lambda p: bit_count(xor(p[1], p[2]))))::DOUBLE"
+
+
+@query("knn_bucket_bit_hamming", f"""WITH {_EMB}, {_CODES}, pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {_BITS} AS distance FROM codes a, codes b WHERE a.v[1] % 8 = b.v[1] % 8 OR a.v[2] % 8 = b.v[2] % 8)
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INT AS rank FROM pairs QUALIFY rank <= {K}""")
+def knn_bucket_bit_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _codes(spark, sf_dir).withColumn("clusters", F.array(F.get("code", F.lit(0)) % 8, F.get("code", F.lit(1)) % 8))
+    return knn.bucketed(x, x, K)
+
+
+@query("knn_cells")
+def knn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approximate: the cells that hold a recall of at least 0.9 on vectors without structure are about half of all."""
+    x = _vectors(spark, sf_dir)
+    return knn.approximate(x, x, K, cells=16, probes=11)
+
+
+@query("knn_lsh")
+def knn_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _vectors(spark, sf_dir)
+    return knn.lsh(x, x, K, bucket=2.0, tables=4)
+
+
+_TEXT_VECTORS = """chars AS (SELECT doc_id, list_transform(list_filter(string_split(text, ''), lambda c: c <> ''), lambda c: (unicode(c) * 31) % 16) AS p FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+vecs AS (SELECT doc_id AS vec_id, list_transform(range(16), lambda k: coalesce(len(list_filter(p, lambda c: c = k)) / nullif(len(p), 0)::DOUBLE, 0.0)) AS v FROM chars)"""
+
+
+@query("search_text", f"WITH {_TEXT_VECTORS}, {_knn_sql('list_sum(list_transform(list_zip(a.v, b.v), lambda p: abs(p[1] - p[2]))) / 16', 5, rows='vecs')} SELECT * FROM near")
+def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a query against all documents, by the shares of its characters."""
+    docs = table(spark, sf_dir, "documents").where("doc_id is not null and text is not null")
+    x = docs.select(F.col("doc_id").alias("id"), encode.hashed_means(F.col("text")).alias("vector"))
+    return knn.nearest(x, x, 5, "l1")
+
+
+# ---------------------------------------------------------------- scores over hits
+
+_HITS = f"""{_EMB}, {_knn_sql(_L1)}, counts AS (SELECT vec_id % {DOCS} AS doc_id, count(*) AS n_chunks FROM emb GROUP BY 1), sizes AS (SELECT count(*) AS chunks, count(DISTINCT vec_id % {DOCS}) AS docs FROM emb),
+hits AS (SELECT query_id % {DOCS} AS query_id, query_id // {DOCS} AS query_offset, id % {DOCS} AS doc_id, id // {DOCS} AS "offset", round(1 / (1 + sqrt(distance)), 9) AS relevance,
+  1.0::DOUBLE / (1 + query_id // {DOCS}) AS query_weight, 1.0::DOUBLE / (1 + id // {DOCS}) AS weight FROM near)"""
+_KEY = 'query_id, query_offset, doc_id, "offset"'
+_KEYS = ("query_id", "query_offset", "doc_id", "offset")
+
+
+def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits of all chunks, a chunk being a vector, its document the remainder of its id and its offset the quotient."""
+    x = _vectors(spark, sf_dir)
+    near = knn.nearest(x, x, K, "l1")
+    part = lambda c: (F.col(c) % DOCS, F.floor(F.col(c) / DOCS))
+    (q, qo), (d, o) = part("query_id"), part("id")
+    return near.select(q.alias("query_id"), qo.alias("query_offset"), d.alias("doc_id"), o.alias("offset"), r9(scores.normalizer1(F.col("distance"))).alias("relevance"), (F.lit(1.0) / (1 + qo)).alias("query_weight"), (F.lit(1.0) / (1 + o)).alias("weight"))
+
+
+def _counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split.chunks_in_doc(_vectors(spark, sf_dir).select((F.col("id") % DOCS).alias("doc_id")))
+
+
+@query("score_weighted_chunk", f"WITH {_HITS} SELECT {_KEY}, round(relevance * query_weight * weight, 6) AS score FROM hits")
+def score_weighted_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(spark, sf_dir).select(*_KEYS, r6(scores.weighted_chunk(F.col("relevance"), F.col("query_weight"), F.col("weight"))).alias("score"))
+
+
+@query("score_offset", f"""WITH {_HITS} SELECT {_KEY}, round(relevance * query_weight * weight * abs(query_offset - "offset")::DOUBLE, 6) + 0.0 AS score FROM hits""")
+def score_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hits(spark, sf_dir).select(*_KEYS, r6(scores.weighted_offset(*(F.col(c) for c in ("relevance", "query_weight", "weight", "query_offset", "offset")))).alias("score"))
+
+
+@query("score_coord_chunk", f"WITH {_HITS} SELECT {_KEY}, round(relevance * count(*) OVER (PARTITION BY query_id, query_offset, doc_id) / n_chunks, 9) AS score FROM hits JOIN counts USING (doc_id)")
+def score_coord_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.coord_chunk(_hits(spark, sf_dir), _counts(spark, sf_dir)).select(*_KEYS, r9(F.col("score")).alias("score"))
+
+
+_TF = "tf AS (SELECT *, count(*) FILTER (relevance >= 0.8) OVER (PARTITION BY query_id, query_offset) AS tf FROM hits)"
+
+
+@query("score_tfidf", f"WITH {_HITS}, {_TF} SELECT {_KEY}, round(tf * log10(chunks / (tf + 1)::DOUBLE) * log10(chunks / (tf + 1)::DOUBLE), 9) AS score FROM tf, sizes")
+def score_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = _vectors(spark, sf_dir).agg(F.count("*").cast("double").alias("chunks"))
+    return scores.tfidf_chunk(_hits(spark, sf_dir).crossJoin(F.broadcast(n)), F.col("chunks")).select(*_KEYS, r9(F.col("score")).alias("score"))
+
+
+@query("score_bm25", f"""WITH {_HITS}, {_TF} SELECT {_KEY}, round(log10(1 + (chunks - tf + 0.5) / (tf + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_chunks * docs / chunks::DOUBLE)), 9) AS score
+FROM tf JOIN counts USING (doc_id), sizes""")
+def score_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _vectors(spark, sf_dir)
+    n = x.agg(F.count("*").cast("double").alias("chunks"), F.countDistinct(F.col("id") % DOCS).cast("double").alias("docs"))
+    return scores.bm25_chunk(_hits(spark, sf_dir).crossJoin(F.broadcast(n)), _counts(spark, sf_dir), F.col("chunks"), F.col("docs")).select(*_KEYS, r9(F.col("score")).alias("score"))
+
+
+@query("score_first_chunk", f"""WITH {_HITS}, first AS (SELECT query_id, doc_id, count(*) AS n FROM hits WHERE query_offset = 0 GROUP BY ALL)
+SELECT {_KEY}, round(relevance * coalesce(n, 0) / n_chunks, 9) AS score FROM hits LEFT JOIN first USING (query_id, doc_id) JOIN counts USING (doc_id)""")
+def score_first_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scores.coord_chunk(_hits(spark, sf_dir), _counts(spark, sf_dir), first_chunk_only=True).select(*_KEYS, r9(F.col("score")).alias("score"))
+
+
+_REDUCE_SQL = {"sum": "sum(relevance)", "multiply": "product(relevance)", "max": "max(relevance)", "min": "min(relevance)", "avg": "avg(relevance)"}
+
+
+def _register_reduction(mode: str) -> None:
+    @query(f"chunk2doc_{mode}", f"WITH {_HITS} SELECT query_id, doc_id, round({_REDUCE_SQL[mode]}, 6) AS score, count(*) AS n_hits FROM hits GROUP BY query_id, doc_id")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        hits = _hits(spark, sf_dir).withColumnRenamed("relevance", "score")
+        return reduce.chunks_to_docs(hits, mode).withColumn("score", r6(F.col("score")))
+
+
+for _m in _REDUCE_SQL:
+    _register_reduction(_m)
+
+_SHARDS = f"{_EMB}, {_knn_sql(_L1).replace('PARTITION BY a.vec_id', 'PARTITION BY a.vec_id, b.vec_id % 4')}"
+
+
+def _sharded(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The hits of four shards, each with its own top k."""
+    x = _vectors(spark, sf_dir)
+    found = [knn.nearest(x, x.where(F.col("id") % 4 == s), K, "l1") for s in range(4)]
+    return [f.select("query_id", (F.col("id") % DOCS).alias("doc_id"), F.floor(F.col("id") / DOCS).alias("offset"), r9(scores.normalizer1(F.col("distance"))).alias("score")) for f in found]
+
+
+@query("doc_topk_shards", f"WITH {_SHARDS} SELECT query_id, id % {DOCS} AS doc_id, round(sum(round(1 / (1 + sqrt(distance)), 9)), 6) AS score, count(*) AS n_hits FROM near GROUP BY 1, 2")
+def doc_topk_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reduce.merged_docs([s.drop("offset") for s in _sharded(spark, sf_dir)]).withColumn("score", r6(F.col("score")))
+
+
+@query("chunk_topk_shards", f"""WITH {_SHARDS} SELECT query_id, id % {DOCS} AS doc_id, id // {DOCS} AS "offset", round(sum(round(1 / (1 + sqrt(distance)), 9)), 6) AS score, count(*) AS n_hits FROM near GROUP BY 1, 2, 3""")
+def chunk_topk_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reduce.merged_chunks(_sharded(spark, sf_dir)).withColumn("score", r6(F.col("score")))
+
+
+# ---------------------------------------------------------------- documents of results
+
+
+@query("search_documents", f"""WITH {_HITS}, d AS (SELECT query_id, doc_id, sum(relevance) AS s, count(*) AS n FROM hits GROUP BY ALL)
+SELECT d.query_id, d.doc_id, round(s * n / n_chunks, 6) AS score, n AS n_hits, lang, source, n_chars FROM d JOIN counts USING (doc_id) LEFT JOIN documents USING (doc_id)""")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Nearest chunks, scores, roll-up to documents, the documents themselves, re-scored and in order."""
+    found = reduce.chunks_to_docs(_hits(spark, sf_dir).withColumnRenamed("relevance", "score"))
+    counted = found.join(_counts(spark, sf_dir), "doc_id", "left")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    out = knn.with_documents(counted, docs).withColumn("score", r6(scores.coord_doc(F.col("score"), F.col("n_hits"), F.col("n_chunks"))))
+    return reduce.ordered(out.select("query_id", "doc_id", "score", "n_hits", "lang", "source", "n_chars"), greater_is_closer=True)
+
+
+@query("doc_lookup", "SELECT l.doc_id, quality, toxic, lang, n_chars FROM labels l LEFT JOIN documents d USING (doc_id)")
+def doc_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    return knn.with_documents(table(spark, sf_dir, "labels"), docs).select("doc_id", "quality", "toxic", "lang", "n_chars")
+
+
+@query("weighted_doc", f"WITH {_HITS} SELECT query_id, doc_id, round(sum(relevance) * (1.0::DOUBLE / (1 + doc_id)), 6) AS score FROM hits GROUP BY query_id, doc_id")
+def weighted_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = reduce.chunks_to_docs(_hits(spark, sf_dir).withColumnRenamed("relevance", "score"))
+    return found.select("query_id", "doc_id", r6(scores.weighted_doc(F.col("score"), F.lit(1.0) / (1 + F.col("doc_id")))).alias("score"))
+
+
+@query("joint_index", f"""WITH {_HITS} SELECT query_id, query_offset, doc_id, "offset", relevance, label FROM hits JOIN (SELECT vec_id % {DOCS} AS doc_id, vec_id // {DOCS} AS "offset", label FROM emb) USING (doc_id, "offset")""")
+def joint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = table(spark, sf_dir, "embeddings").where("embedding is not null").select((F.col("vec_id") % DOCS).alias("doc_id"), F.floor(F.col("vec_id") / DOCS).alias("offset"), "label")
+    return knn.chunk_of_document(_hits(spark, sf_dir), chunks).select(*_KEYS, "relevance", "label")
+
+
+@query("chunk_info", "SELECT e.vec_id AS seq, e.vec_id % 100 AS doc_id, e.vec_id // 100 AS \"offset\", floor((e.vec_id % 1000) / 1000.0 * 65535.0) / 65535.0 AS weight FROM embeddings e")
+def chunk_info(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions to keys, with weights as they come back from 16 bits."""
+    seq = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("seq"))
+    keys = seq.select("seq", (F.col("seq") % 100).alias("doc_id"), F.floor(F.col("seq") / 100).alias("offset"), knn.quantised_weight((F.col("seq") % 1000) / F.lit(1000.0)).alias("weight"))
+    return knn.by_ordinal(seq, keys)
+
+
+@query("doc_fill", "SELECT doc_id, max(CASE WHEN doc_id % 3 = 0 THEN NULL ELSE text END) AS first_only, max(text) AS text FROM documents GROUP BY doc_id")
+def doc_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two shards of which the first lacks every third text."""
+    docs = table(spark, sf_dir, "documents").groupBy("doc_id").agg(F.max("text").alias("text"))
+    lacking = docs.withColumn("text", F.when(F.col("doc_id") % 3 != 0, F.col("text")))
+    return reduce.filled([lacking, docs], ("doc_id",), "text").join(lacking.withColumnRenamed("text", "first_only"), "doc_id")
+
+
+# ---------------------------------------------------------------- score expressions
+
+_MODIFIER_SQL = {
+    "none": "x", "log": "CASE WHEN x > 0 THEN log10(x) END", "log1p": "CASE WHEN x + 1 > 0 THEN log10(x + 1) END", "log2p": "CASE WHEN x + 2 > 0 THEN log10(x + 2) END",
+    "ln": "CASE WHEN x > 0 THEN ln(x) END", "ln1p": "CASE WHEN x + 1 > 0 THEN ln(x + 1) END", "ln2p": "CASE WHEN x + 2 > 0 THEN ln(x + 2) END", "square": "x * x", "sqrt": "CASE WHEN x >= 0 THEN sqrt(x) END",
+    "reciprocal": "1 / nullif(x, 0)", "reciprocal1p": "1 / nullif(1 + x, 0)", "abs": "abs(x)", "invert": "-x", "invert1p": "1 - x",
+}
+
+
+@query("score_modifiers", "SELECT vec_id, " + ", ".join(f'round({e}, 9) + 0.0 AS "m_{m}"' for m, e in _MODIFIER_SQL.items()) + " FROM (SELECT vec_id, embedding[1]::DOUBLE * 4 AS x FROM embeddings)")
+def score_modifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.get(F.col("embedding"), F.lit(0)).cast("double")
+    return table(spark, sf_dir, "embeddings").select("vec_id", *((r9(scores.modified(x, m, 4.0)) + F.lit(0.0)).alias(f"m_{m}") for m in scores.MODIFIERS))
+
+
+@query("score_combine", "SELECT vec_id, round(a * b * c, 9) + 0.0 AS multiply, round(a + b + c, 9) + 0.0 AS sum, greatest(a, b, c) AS max, least(a, b, c) AS min, round((a + b + c) / 3, 9) + 0.0 AS avg FROM (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings)")
+def score_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [F.get(F.col("embedding"), F.lit(k)).cast("double") for k in range(3)]
+    made = {m: scores.combined(m, *parts) for m in scores.COMBINATIONS}
+    return table(spark, sf_dir, "embeddings").select("vec_id", *((c if m in ("max", "min") else r9(c) + F.lit(0.0)).alias(m) for m, c in made.items()))
+
+
+@query("normalizers", """SELECT vec_id, round(1 / (1 + sqrt(x)), 9) AS n1, round(1 / (1 + x / 64), 9) AS n2, round(1 / (1 + sqrt(x) / 64), 9) AS n3, round(1 - x / 8, 9) AS n4, round(1 / (1 + sqrt(abs(y))), 9) AS n5
+FROM (SELECT vec_id, abs(embedding[1]::DOUBLE) AS x, embedding[1]::DOUBLE AS y FROM embeddings)""")
+def normalizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    y = F.get(F.col("embedding"), F.lit(0)).cast("double")
+    x = F.abs(y)
+    made = (scores.normalizer1(x), scores.normalizer2(x, 64), scores.normalizer3(x, 64), scores.normalizer4(x, 8), scores.normalizer5(y))
+    return table(spark, sf_dir, "embeddings").select("vec_id", *(r9(c).alias(f"n{k}") for k, c in enumerate(made, 1)))
+
+
+@query("score_explained")
+def score_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document scores with the explanations of their chunks as nested JSON."""
+    hits = _hits(spark, sf_dir)
+    leaf = lambda c: scores.explained(F.col(c), c)
+    total = scores.weighted_chunk(F.col("relevance"), F.col("query_weight"), F.col("weight"))
+    hits = hits.withColumn("score", total).withColumn("explained", scores.explained(F.col("score"), "weighted_chunk", [leaf("relevance"), leaf("query_weight"), leaf("weight")]))
+    return reduce.explained_docs(hits)
+
+
+# ---------------------------------------------------------------- encoders
+
+
+def _exploded(rows: DataFrame, *keys: str, vector: str = "embedding") -> DataFrame:
+    """A vector column as rows of position and value, which compare across engines."""
+    return rows.select(*keys, F.posexplode(vector).alias("k", "x")).withColumn("x", r6(F.col("x").cast("double")) + F.lit(0.0))
+
+
+_PAIR = "pair AS (SELECT vec_id, v, list_transform(v, lambda x: x * 2) AS w FROM emb)"
+
+
+@query("embed_concat", f"WITH {_EMB}, {_PAIR} SELECT doc_id, \"offset\", k::INT AS k, round(x, 6) + 0.0 AS x FROM (SELECT vec_id % 100 AS doc_id, vec_id // 100 AS \"offset\", unnest(v || w) AS x, generate_subscripts(v || w, 1) - 1 AS k FROM pair)")
+def embed_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exploded(reduce.joined_embeddings(_two_encoders(spark, sf_dir), "concat"), "doc_id", "offset")
+
+
+@query("embed_avg", f"WITH {_EMB} SELECT doc_id, \"offset\", k::INT AS k, round(x * 1.5, 6) + 0.0 AS x FROM (SELECT vec_id % 100 AS doc_id, vec_id // 100 AS \"offset\", unnest(v) AS x, generate_subscripts(v, 1) - 1 AS k FROM emb)")
+def embed_avg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exploded(reduce.joined_embeddings(_two_encoders(spark, sf_dir), "avg"), "doc_id", "offset")
+
+
+def _two_encoders(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    one = _vectors(spark, sf_dir).select((F.col("id") % 100).alias("doc_id"), F.floor(F.col("id") / 100).alias("offset"), F.col("vector").alias("embedding"))
+    return [one, one.withColumn("embedding", F.transform("embedding", lambda x: x * 2))]
+
+
+_EACH = f"{_EMB}, each AS (SELECT vec_id, label, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS k FROM emb)"
+_POOL_SQL = {
+    "mean": "SELECT label, k::INT AS k, round(sum(x) / (count(*) + 1e-10), 6) + 0.0 AS x FROM each GROUP BY label, k",
+    "max": "SELECT label, k::INT AS k, round(max(x), 6) + 0.0 AS x FROM each GROUP BY label, k",
+}
+_POOL_SQL["mean_max"] = f"{_POOL_SQL['mean']} UNION ALL {_POOL_SQL['max'].replace('k::INT AS k', '(k + 64)::INT AS k')}"
+
+
+def _register_pool(mode: str) -> None:
+    @query(f"pool_{mode}", f"WITH {_EACH} {_POOL_SQL[mode]}")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _exploded(encode.pooled(table(spark, sf_dir, "embeddings"), ("label",), mode, "embedding"), "label")
+
+
+for _m in _POOL_SQL:
+    _register_pool(_m)
+
+
+@query("standardize", f"WITH {_EACH}, s AS (SELECT k, avg(x) AS m, stddev_pop(x) AS d FROM each GROUP BY k) SELECT vec_id, k::INT AS k, round((x - m) / d, 6) + 0.0 AS x FROM each JOIN s USING (k)")
+def standardize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _vectors(spark, sf_dir)
+    return _exploded(rows.select(F.col("id").alias("vec_id"), encode.Standardiser.fit(rows)(F.col("vector")).alias("embedding")), "vec_id")
+
+
+_PQ_CENTRES = np.array([[((k * 7 + j * 3) % 11 - 5) / 20 for j in range(8)] for k in range(16)])
+_CENTRE_SQL = "[" + ", ".join("[" + ", ".join(f"{float(x)!r}::DOUBLE" for x in c) + "]" for c in _PQ_CENTRES) + "]"
+_NEAREST_SQL = "list_transform(list_transform({c}, lambda c: list_sum(list_transform(list_zip(list_slice({v}, {a} + 1, {a} + 8), c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))), lambda d: d)"
+
+
+@query("pq_apply", f"""WITH {_EMB}, far AS (SELECT vec_id, g, {_NEAREST_SQL.format(c=_CENTRE_SQL, v='v', a='8 * g')} AS d FROM emb, (SELECT unnest(range(8)) AS g))
+SELECT vec_id, g::INT AS k, list_position(d, list_min(d))::INT AS code FROM far""")
+def pq_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quantiser = encode.ProductQuantiser([_PQ_CENTRES] * 8)
+    return _vectors(spark, sf_dir).select(F.col("id").alias("vec_id"), F.posexplode(quantiser(F.col("vector"))).alias("k", "code"))
+
+
+_GRID = encode.grid_quantiser(-0.4, 0.4, 2, 9)
+_GRID_SQL = "[" + ", ".join("[" + ", ".join(f"{float(x)!r}::DOUBLE" for x in c) + "]" for c in _GRID) + "]"
+
+
+@query("code_quantizer", f"""WITH {_EMB}, far AS (SELECT vec_id, g, {_NEAREST_SQL.format(c=_GRID_SQL, v='v', a='2 * g').replace('2 * g + 8', '2 * g + 2')} AS d FROM emb, (SELECT unnest(range(32)) AS g))
+SELECT vec_id, g::INT AS k, list_position(d, list_min(d))::INT AS code FROM far""")
+def code_quantizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, sf_dir).select(F.col("id").alias("vec_id"), F.posexplode(encode.quantised(F.col("vector"), _GRID, 64)).alias("k", "code"))
+
+
+_SIGNS = np.array([[((i * 31 + b * 17) % 13 - 6) for b in range(16)] for i in range(64)], float)
+
+
+@query("hash_apply", f"""WITH {_EMB}, bits AS (SELECT vec_id, list_transform(range(16), lambda b: CASE WHEN list_sum(list_transform(range(64), lambda i: v[i + 1] * ((i * 31 + b * 17) % 13 - 6))) > 0 THEN 1 ELSE 0 END) AS b FROM emb),
+codes AS (SELECT vec_id, g, list_sum(list_transform(range(8), lambda j: b[8 * g + j + 1] << j))::INT AS code FROM bits, (SELECT unnest(range(2)) AS g)) SELECT vec_id, (g + 8)::INT AS k, code FROM codes
+UNION ALL SELECT vec_id, g::INT AS k, (list_position(d, list_min(d)) - 1)::INT FROM (SELECT vec_id, g, {_NEAREST_SQL.format(c=_CENTRE_SQL, v='v', a='8 * g')} AS d FROM emb, (SELECT unnest(range(8)) AS g))""")
+def hash_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hasher = encode.Hasher(np.zeros(64), np.ones(64), [_PQ_CENTRES] * 8, _SIGNS)
+    return _vectors(spark, sf_dir).select(F.col("id").alias("vec_id"), F.posexplode(hasher(F.col("vector"))).alias("k", "code"))
+
+
+_VLAD_CENTRES = np.array([[((k * 5 + j * 7) % 9 - 4) / 20 for j in range(64)] for k in range(4)])
+_VLAD_SQL = "[" + ", ".join("[" + ", ".join(f"{float(x)!r}::DOUBLE" for x in c) + "]" for c in _VLAD_CENTRES) + "]"
+
+
+@query("vlad", f"""WITH {_EMB}, c AS (SELECT {_VLAD_SQL} AS c), d AS (SELECT vec_id, label, v, c, list_transform(c, lambda y: list_sum(list_transform(list_zip(v, y), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS d FROM emb, c),
+near AS (SELECT label, v, c, list_position(d, list_min(d)) - 1 AS n FROM d),
+res AS (SELECT label, n, unnest(range(64)) AS j, unnest(list_transform(list_zip(v, c[n + 1]), lambda p: p[1] - p[2])) AS x FROM near), sums AS (SELECT label, n * 64 + j AS k, sum(x) AS x FROM res GROUP BY ALL),
+every AS (SELECT label, k, coalesce(x, 0) AS x FROM (SELECT label, k FROM (SELECT DISTINCT label FROM emb), (SELECT unnest(range(256)) AS k)) LEFT JOIN sums USING (label, k))
+SELECT label, k::INT AS k, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 6) + 0.0 AS x FROM every""")
+def vlad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exploded(encode.vlad(table(spark, sf_dir, "embeddings"), _VLAD_CENTRES, ("label",), "embedding"), "label")
+
+
+@query("clip_quantize", f"WITH {_EACH} SELECT vec_id, k::INT AS k, floor((greatest(-0.25, least(0.25, x)) + 0.25) * 510)::INT AS code FROM each")
+def clip_quantize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, sf_dir).select(F.col("id").alias("vec_id"), F.posexplode(encode.clipped_bytes(F.col("vector"), -0.25, 0.25)).alias("k", "code"))
+
+
+@query("code_hex", f"WITH {_EMB}, {_CODES} SELECT vec_id, array_to_string(list_transform(v, lambda x: printf('%02X', x)), '') AS code FROM codes")
+def code_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _codes(spark, sf_dir).select(F.col("id").alias("vec_id"), encode.code_hex(F.col("code")).alias("code"))
+
+
+@query("unit_length", f"WITH {_EMB}, u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM emb) SELECT vec_id, k::INT AS k, round(x, 6) + 0.0 AS x FROM (SELECT vec_id, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS k FROM u)")
+def unit_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _exploded(_vectors(spark, sf_dir).select(F.col("id").alias("vec_id"), encode.unit(F.col("vector")).alias("embedding")), "vec_id")
+
+
+@query("char_encode")
+def char_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", encode.character_means(F.col("text"), encode.character_table(16)).alias("embedding"))
+
+
+@query("word_vectors", """WITH t AS (SELECT doc_id, unnest(string_split_regex(text, '\\s+')) AS token FROM documents WHERE text IS NOT NULL), u AS (SELECT doc_id, token FROM t WHERE token <> ''),
+v AS (SELECT source AS token, [count(*)::DOUBLE, avg(n_chars)] AS vector FROM documents GROUP BY source UNION ALL SELECT 'the', [1.0, 2.0])
+SELECT doc_id, k::INT AS k, round(sum(coalesce(vector[k + 1], 0.0)) / (count(*) + 1e-10), 6) + 0.0 AS x FROM u LEFT JOIN v USING (token), (SELECT unnest([0, 1]) AS k) GROUP BY doc_id, k""")
+def word_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tokens = docs.where("text is not null").select("doc_id", F.explode(F.split("text", r"\s+")).alias("token")).where("token <> ''")
+    by_source = docs.groupBy(F.col("source").alias("token")).agg(F.array(F.count("*").cast("double"), F.avg("n_chars")).alias("vector"))
+    vocabulary = by_source.unionByName(spark.createDataFrame([("the", [1.0, 2.0])], "token string, vector array<double>"))
+    return _exploded(encode.word_vectors(tokens, vocabulary, 2), "doc_id")
+
+
+@query("pca_fit")
+def pca_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _vectors(spark, sf_dir)
+    return rows.select(F.col("id").alias("vec_id"), encode.PrincipalComponents.fit(rows, 8)(F.col("vector")).alias("embedding"))
+
+
+@query("pca_balanced")
+def pca_balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _vectors(spark, sf_dir)
+    return rows.select(F.col("id").alias("vec_id"), encode.PrincipalComponents.fit(rows, 8, whiten=True).balanced(4)(F.col("vector")).alias("embedding"))
+
+
+@query("pq_fit")
+def pq_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _vectors(spark, sf_dir)
+    return rows.select(F.col("id").alias("vec_id"), encode.ProductQuantiser.fit(rows, 4, 8)(F.col("vector")).alias("code"))
+
+
+@query("hash_fit_search")
+def hash_fit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fitted hash codes and the bucketed search over them."""
+    rows = _vectors(spark, sf_dir)
+    coded = rows.select("id", encode.Hasher.fit(rows, n_bytes=8, slots=2, clusters=4)(F.col("vector")).alias("c"))
+    x = coded.select("id", F.slice("c", 1, 2).alias("clusters"), F.slice("c", 3, 8).alias("code"))
+    return knn.bucketed(x, x, K)
+
+
+# ---------------------------------------------------------------- frames, shots, boxes
+
+
+@query("frame_select", "SELECT vec_id, [v[33]] AS middle, list_filter(v, lambda x, i: (i - 1) % 7 = 0) AS ten FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)")
+def frame_select(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vectors(spark, sf_dir).select(F.col("id").alias("vec_id"), frames.selected_frames(F.col("vector"), 1).alias("middle"), frames.selected_frames(F.col("vector"), 10).alias("ten"))
+
+
+@query("frame_segments", "SELECT event_id, user_id, ((row_number() OVER w - 1) // 12)::INT AS by_frame, ((row_number() OVER w - 1) // greatest(count(*) OVER (PARTITION BY user_id) // 4, 1))::INT AS by_number FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
+def frame_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    at = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    n = F.count("*").over(Window.partitionBy("user_id"))
+    return e.select("event_id", "user_id", frames.cut_by_frame(at, 12).alias("by_frame"), frames.cut_by_number(at, n, 5).alias("by_number"))
+
+
+@query("shot_islands", """WITH d AS (SELECT user_id, event_id, CASE WHEN abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id)) > 20 THEN 1 ELSE 0 END AS c FROM events),
+s AS (SELECT *, (sum(c) OVER (PARTITION BY user_id ORDER BY event_id))::INT AS shot FROM d)
+SELECT user_id, shot, min(event_id) AS first, max(event_id) AS last, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY user_id)::DOUBLE AS weight FROM s GROUP BY user_id, shot""")
+def shot_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.shots(table(spark, sf_dir, "events"), "user_id", "event_id", "value", 20.0)
+
+
+@query("shot_peaks")
+def shot_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.shot_boundaries(table(spark, sf_dir, "events"), "user_id", "event_id", "value", threshold=20.0)
+
+
+@query("smooth_max3", """WITH a AS (SELECT user_id, event_id, greatest(lag(value) OVER w, value, lead(value) OVER w) AS value, lag(value) OVER w IS NOT NULL AND lead(value) OVER w IS NOT NULL AS inner_row FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, event_id, value FROM a WHERE inner_row""")
+def smooth_max3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.smoothed(table(spark, sf_dir, "events").select("user_id", "event_id", "value"), "user_id", "event_id", "value")
+
+
+@query("hist_weight", """WITH h AS (SELECT label, vec_id, least(255, greatest(0, floor((x + 1) * 128)))::INT AS bin, count(*) AS n FROM (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x FROM embeddings) GROUP BY ALL),
+v AS (SELECT label, vec_id, sum(n * n) / 256.0::DOUBLE - (sum(n) / 256.0::DOUBLE) * (sum(n) / 256.0::DOUBLE) AS s FROM h GROUP BY ALL), e AS (SELECT *, exp(-10.0 * s / greatest(max(s) OVER (PARTITION BY label), 1e-12)) AS e FROM v)
+SELECT label, vec_id, round(e / sum(e) OVER (PARTITION BY label), 9) AS weight FROM e""")
+def hist_weight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.explode("embedding").alias("x"))
+    level = F.least(F.lit(255), F.greatest(F.lit(0), F.floor((F.col("x").cast("double") + 1) * 128))).cast("int")
+    return frames.histogram_weights(x, "label", "vec_id", level).withColumn("weight", r9(F.col("weight")))
+
+
+_BOX = "box AS (SELECT l_orderkey, l_linenumber, (l_partkey % 60)::DOUBLE AS x0, (l_suppkey % 60)::DOUBLE AS y0, (l_partkey % 60 + l_quantity)::DOUBLE AS x1, (l_suppkey % 60 + l_quantity)::DOUBLE AS y1, l_discount * 10 AS score FROM lineitem)"
+
+
+@query("iou_cells", f"""WITH {_BOX}, cell AS (SELECT unnest(range(9)) AS k), o AS (SELECT l_orderkey, l_linenumber, k, x0, y0, x1, y1,
+  greatest(least(x1, 120.0 * (k % 3 + 1) / 3) - greatest(x0, 120.0 * (k % 3) / 3), 0) * greatest(least(y1, 120.0 * (k // 3 + 1) / 3) - greatest(y0, 120.0 * (k // 3) / 3), 0) AS b FROM box, cell WHERE score >= 0.5),
+i AS (SELECT *, round(b / ((x1 - x0) * (y1 - y0) + 1600 - b), 9) AS iou FROM o)
+SELECT l_orderkey, l_linenumber, arg_max(k, (iou, -k)) % 3 AS cell_x, arg_max(k, (iou, -k)) // 3 AS cell_y, max(iou) AS iou, round((x1 - x0) * (y1 - y0) / 14400, 9) AS weight FROM i GROUP BY l_orderkey, l_linenumber, x0, y0, x1, y1""")
+def iou_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes made of line items on a picture of 120 by 120."""
+    x, y, n = F.col("l_partkey") % 60, F.col("l_suppkey") % 60, F.col("l_quantity")
+    boxes = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") * 10).alias("score"), *((c.cast("double")).alias(k) for k, c in (("x0", x), ("y0", y), ("x1", x + n), ("y1", y + n))), F.lit(120.0).alias("width"), F.lit(120.0).alias("height"))
+    found = frames.detected_chunks(boxes)
+    return found.select("l_orderkey", "l_linenumber", F.get("cell", F.lit(0)).cast("long").alias("cell_x"), F.get("cell", F.lit(1)).cast("long").alias("cell_y"), r9(F.col("iou")).alias("iou"), r9(F.col("weight")).alias("weight"))
+
+
+@query("sound_spans", """WITH q AS (SELECT user_id, event_id, CASE WHEN abs(value) <= 8 THEN 1 ELSE 0 END AS q FROM events),
+t AS (SELECT *, CASE WHEN q <> lag(q) OVER w THEN 1 ELSE 0 END AS t FROM q WINDOW w AS (PARTITION BY user_id ORDER BY event_id)), r AS (SELECT *, sum(t) OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM t),
+g AS (SELECT *, CASE WHEN q = 1 AND count(*) OVER (PARTITION BY user_id, r) >= 2 THEN 1 ELSE 0 END AS g FROM r), c AS (SELECT *, CASE WHEN g <> lag(g) OVER (PARTITION BY user_id ORDER BY event_id) THEN 1 ELSE 0 END AS c FROM g),
+s AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY event_id) AS s FROM c) SELECT user_id, min(event_id) AS first, max(event_id) AS last FROM s WHERE g = 0 GROUP BY user_id, s""")
+def sound_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.sounding_spans(table(spark, sf_dir, "events"), "user_id", "event_id", "value", silence=8.0, least=2)
+
+
+_METRIC_NAMES = ("correlation", "chisqr", "chisqr_alt", "intersection", "hellinger", "kl_div")
+
+
+@query("hist_distances", f"""WITH {_EMB}, h AS (SELECT vec_id, list_transform(v, lambda x: floor(abs(x) * 100)) AS v FROM emb), z AS (SELECT a.vec_id, a.v AS a, b.v AS b, list_zip(a.v, b.v) AS z, list_avg(a.v) AS ma, list_avg(b.v) AS mb FROM h a JOIN h b ON b.vec_id = a.vec_id + 1)
+SELECT vec_id, round(list_sum(list_transform(z, lambda p: (p[1] - ma) * (p[2] - mb))) / sqrt(list_sum(list_transform(a, lambda x: (x - ma) * (x - ma))) * list_sum(list_transform(b, lambda x: (x - mb) * (x - mb)))), 6) + 0.0 AS correlation,
+ round(list_sum(list_transform(z, lambda p: CASE WHEN p[1] <> 0 THEN (p[1] - p[2]) * (p[1] - p[2]) / p[1] ELSE 0.0 END)), 6) AS chisqr, round(list_sum(list_transform(z, lambda p: CASE WHEN p[1] + p[2] <> 0 THEN 2 * (p[1] - p[2]) * (p[1] - p[2]) / (p[1] + p[2]) ELSE 0.0 END)), 6) AS chisqr_alt,
+ round(list_sum(list_transform(z, lambda p: least(p[1], p[2]))), 6) AS intersection, round(sqrt(greatest(1 - list_sum(list_transform(z, lambda p: sqrt(p[1] * p[2]))) / sqrt(list_sum(a) * list_sum(b)), 0)), 6) AS hellinger,
+ round(list_sum(list_transform(z, lambda p: CASE WHEN p[1] > 0 THEN p[1] * ln(p[1] / CASE WHEN p[2] > 0 THEN p[2] ELSE 1e-10 END) ELSE 0.0 END)), 6) AS kl_div FROM z""")
+def hist_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = _vectors(spark, sf_dir).select(F.col("id").alias("vec_id"), F.transform("vector", lambda x: F.floor(F.abs(x) * 100).cast("double")).alias("a"))
+    pairs = h.join(h.select((F.col("vec_id") - 1).alias("vec_id"), F.col("a").alias("b")), "vec_id")
+    return pairs.select("vec_id", *((r6(frames.histogram_distance(F.col("a"), F.col("b"), m)) + F.lit(0.0)).alias(m) for m in _METRIC_NAMES))
+
+
+# ---------------------------------------------------------------- routes and barriers
+
+
+@query("barrier_batch", "SELECT user_id AS request_id, count(DISTINCT event_type) AS n_parts, max(4 + user_id % 3) AS num_parts, count(DISTINCT event_type) >= max(4 + user_id % 3) AS complete FROM events GROUP BY user_id")
+def barrier_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users as requests, kinds of event as their parts."""
+    parts = table(spark, sf_dir, "events").select(F.col("user_id").alias("request_id"), F.col("event_type").alias("part_id"))
+    return reduce.barrier(parts, 4 + F.col("request_id") % 3)
+
+
+def _routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    start = F.col("ts").cast("timestamp")
+    return e.select((F.col("event_id") % 50).alias("request_id"), F.col("event_type").alias("service"), (F.col("user_id") % 2).alias("identity"), start.alias("start_time"), F.timestamp_micros(F.unix_micros(start) + F.floor(F.col("value") * 1000).cast("long")).alias("end_time"))
+
+
+_ROUTES = "routes AS (SELECT event_id % 50 AS request_id, event_type AS service, user_id % 2 AS identity, epoch_us(ts) AS s, epoch_us(ts) + floor(value * 1000)::BIGINT AS e FROM events)"
+
+
+@query("route_times", f"WITH {_ROUTES}, t AS (SELECT service, sum((e - s) / 1e6) AS x FROM routes GROUP BY service) SELECT service, round(x, 6) AS seconds, round(x / sum(x) OVER (), 6) AS share FROM t")
+def route_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reduce.route_times(_routes(spark, sf_dir)).withColumns({"seconds": r6(F.col("seconds")), "share": r6(F.col("share"))})
+
+
+@query("merged_routes", f"WITH {_ROUTES} SELECT request_id, service, identity, arg_max(s, (s, e)) AS start_us, arg_max(e, (s, e)) AS end_us FROM routes GROUP BY ALL")
+def merged_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reduce.merged_routes(_routes(spark, sf_dir)).select("request_id", "service", "identity", F.unix_micros("start_time").alias("start_us"), F.unix_micros("end_time").alias("end_us"))
