@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import as_array, code_points, mix, powers, runs, slices, spans_hash
+from quillon.llm.common import as_array, code_points, kept_rows, mix, powers, runs, slices, spans_hash
 
 CLASSES = ("clean", "low", "toxic")
 BUCKETS = 1 << 18
@@ -231,10 +231,4 @@ def _scored(texts: pa.Array, model: Model) -> tuple[np.ndarray, pa.Array]:
 def without_rejected(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     """The documents that the classifier keeps, columns as they were; decided row by row."""
     sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, max_rows))
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(_scored(as_array(batch.column(at)), sent.value)[1])
-
-    return docs.mapInArrow(run, docs.schema)
+    return kept_rows(docs, lambda: lambda texts: _scored(texts, sent.value)[1])

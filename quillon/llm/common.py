@@ -6,13 +6,14 @@ array operations, so that no Python object is made for a word or a line.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 SLICE_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
@@ -147,6 +148,20 @@ def shared_ids(docs: DataFrame, key: str = "doc_id") -> bool:
     return not docs.where(F.col(key).isNotNull()).groupBy(key).count().where("count > 1").isEmpty()
 
 
+def kept_rows(docs: DataFrame, keep: Callable[[], Callable[[pa.Array], pa.Array]], text: str = "text") -> DataFrame:
+    """The rows that the function made by `keep`, once a task, says yes to; columns as they were, names of any form."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decide = keep()
+        for batch in batches:
+            yield batch.filter(decide(as_array(batch.column(at))))
+
+    schema = StructType([StructField(n, f.dataType, f.nullable) for n, f in zip(names, docs.schema, strict=True)])
+    return docs.toDF(*names).mapInArrow(run, schema).toDF(*docs.columns)
+
+
 def other_columns(docs: DataFrame, taken: tuple[str, ...]) -> list:
     """The remaining columns as strings, for a total order of rows."""
     return [F.to_json(F.struct(F.col(f"`{c}`").alias("c"))) for c in docs.columns if c not in taken]

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import as_array, raw, slices
+from quillon.llm.common import as_array, kept_rows, raw, slices
 
 RATE = 0.08
 CHUNK_CHARS = 8_000_000
@@ -165,15 +165,12 @@ def contaminations(docs: DataFrame, items: DataFrame, rate: float = RATE) -> Dat
 
 def without_contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
     """The documents that hold no item within its budget, columns as they were; decided row by row, without a shuffle."""
-    schema, at = docs.schema, docs.columns.index("text")
     for chunk in _chunks(items):
         sent = docs.sparkSession.sparkContext.broadcast(chunk)
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+        def clean(sent=sent):  # noqa: ANN001, ANN202
             matcher = Matcher(sent.value, rate)
-            for batch in batches:
-                clean = [not matcher.find(x) for _, part in slices(as_array(batch.column(at))) for x in normal_forms(part)]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+            return lambda texts: pa.array([not matcher.find(x) for _, part in slices(texts) for x in normal_forms(part)], pa.bool_())
 
-        docs = docs.mapInArrow(run, schema)
+        docs = kept_rows(docs, clean)
     return docs

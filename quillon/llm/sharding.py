@@ -1,10 +1,11 @@
 """Hilbert-curve ordering: shards whose files can be pruned by several metadata columns at once.
 
-Each dimension is quantised to 2**BITS - 1 cells, cell 0 being kept for nulls. A number is put on a
-scale that is linear between powers of two (its bit length and the BITS_BELOW bits after the leading
-one, exact in integers), shifted to start at the least value of the table. A string has the rank of
-its value among the distinct values, stretched over the cells. Both keep the order, so that a file's
-least and greatest values, which Parquet records, are close together.
+Each dimension is quantised to 2**BITS - 1 cells that hold about as many rows each, cell 0 being kept
+for nulls. The cells come from a histogram of the whole table: for a string by its values, for a
+number by a scale that is linear between powers of two (its bit length and the BITS_BELOW bits after
+the leading one, at most 2,016 steps, exact in integers) above the least value of the table. Cells
+keep the order, so that a file's least and greatest values, which Parquet records, are close
+together. String dimensions are meant for categories: their distinct values are ranked in one task.
 
 The cells' Hilbert index orders the rows. The curve has (2**BITS)**dimensions places, 32,768 with
 the defaults, however large the table: byte counts by place are one aggregation, and running totals
@@ -14,7 +15,7 @@ more than that takes several shards, over which its rows go by their id.
 Rows of a shard come together by one range exchange on the shard, and are sorted in it by curve
 index and id. Whole rows travel, as the files are to be rewritten in the new order.
 
-Defined results: a null dimension has cell 0; a null id goes to the first shard of its place; a null
+Defined results: a null dimension, or a number that isn't finite or reaches 2**62, has cell 0; a null id goes to the first shard of its place; a null
 text counts as no characters; repeated rows stay and lie beside one another; ties in the curve index
 are in order of id; an empty table gives no rows. Columns named like the ones that are added
 (curve, shard) are replaced.
@@ -26,10 +27,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import FractionalType, NumericType
 
 BITS = 5
-BITS_BELOW = 2
+BITS_BELOW = 5
 TARGET_CHARS = 16_000_000
 DIMENSIONS = ("source", "lang", "n_chars")
 
@@ -71,7 +72,7 @@ def _curve(columns: list[Column], bits: int) -> Column:
 def _scale(value: Column) -> Column:
     """Rank of a whole number of 0 at least on a scale that is linear between powers of two; exact."""
     length = F.length(F.bin(value)) - 1
-    below = F.when(length >= BITS_BELOW, F.expr("0")).otherwise(F.lit(BITS_BELOW) - length)
+    below = F.when(length >= BITS_BELOW, F.lit(0)).otherwise(F.lit(BITS_BELOW) - length)
     top = F.call_function("shiftright", F.call_function("shiftleft", value, below), F.greatest(length - BITS_BELOW, F.lit(0)))
     return F.when(value == 0, F.lit(0)).otherwise(length * (1 << BITS_BELOW) + (top - F.lit(1 << BITS_BELOW)) + 1)
 
@@ -81,32 +82,21 @@ def with_cells(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, bits:
     top, names = (1 << bits) - 1, []
     for k, d in enumerate(dimensions):
         names.append(name := f"__quillon_cell{k}")
-        column = F.col(f"`{d}`")
+        column, level = F.col(f"`{d}`"), f"__quillon_level{k}"
         if isinstance(docs.schema[d].dataType, NumericType):
-            low, high = docs.agg(F.min(column).cast("long"), F.max(column).cast("long")).first()
-            shifted = F.floor(column).cast("long") - F.lit(low if low is not None else 0)
-            span = (high or 0) - (low or 0)
-            most = _scale_of(span)
-            cell = F.lit(1) + F.call_function("div", _scale(shifted).cast("long") * (top - 1), F.lit(max(most, 1)).cast("long"))
-            docs = docs.withColumn(name, F.when(column.isNull(), F.lit(0)).otherwise(cell).cast("int"))
-        else:
-            values = docs.where(column.isNotNull()).groupBy(column.alias(f"__quillon_value{k}")).agg(F.lit(1).alias("__quillon_one")).drop("__quillon_one")
-            rank = F.row_number().over(Window.orderBy(f"__quillon_value{k}")) - 1
-            count = F.count("*").over(Window.partitionBy())
-            cell = F.lit(1) + F.call_function("div", rank.cast("long") * (top - 1), F.greatest(count - 1, F.lit(1)))
-            values = values.select(f"__quillon_value{k}", cell.cast("int").alias(name))
-            docs = docs.join(values, column == F.col(f"__quillon_value{k}"), "left").drop(f"__quillon_value{k}").withColumn(name, F.coalesce(name, F.lit(0)))
+            if isinstance(docs.schema[d].dataType, FractionalType):
+                column = F.when(F.abs(column) < F.lit(2.0**62), column)
+            low = docs.agg(F.min(F.floor(column)).cast("long")).first()[0]
+            column = _scale(F.floor(column).cast("long") - F.lit(low if low is not None else 0))
+        docs = docs.withColumn(level, column)
+        counts = docs.where(F.col(level).isNotNull()).groupBy(level).agg(F.count("*").alias("__quillon_rows"))
+        before = F.coalesce(F.sum("__quillon_rows").over(Window.orderBy(level).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        total = F.sum("__quillon_rows").over(Window.partitionBy())
+        cells = counts.select(F.col(level).alias("__quillon_of"), (F.lit(1) + F.call_function("div", before * top, total)).cast("int").alias(name))
+        docs = docs.join(cells, F.col(level) == F.col("__quillon_of"), "left").drop(level, "__quillon_of").withColumn(name, F.coalesce(name, F.lit(0)))
     return docs, names
 
 
-def _scale_of(value: int) -> int:
-    """What `_scale` has for a number."""
-    if value <= 0:
-        return 0
-    length = value.bit_length() - 1
-    return length * (1 << BITS_BELOW) + ((value << max(BITS_BELOW - length, 0)) >> max(length - BITS_BELOW, 0)) - (1 << BITS_BELOW) + 1
-
-
 def sharded(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS, target: int = TARGET_CHARS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """All rows with `curve` and `shard`, in order of shard, curve index and id."""
     kept = [c for c in docs.columns if c not in ("curve", "shard")]
@@ -130,24 +120,19 @@ def sharded(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, bits: int
 #: The same rows in DuckDB: the curve by Skilling's algorithm over lists, five bits and three dimensions.
 SQL = """
 WITH RECURSIVE
-bounds AS (SELECT min(n_chars) AS lo, max(n_chars) AS hi FROM documents),
-scaled AS (
-  SELECT doc_id, source, lang, n_chars, n_chars - lo AS v, hi - lo AS w FROM documents, bounds
-),
-pos AS (
-  SELECT *, CASE WHEN v > 0 THEN length(ltrim(bin(v), '0')) - 1 END AS lv, CASE WHEN w > 0 THEN length(ltrim(bin(w), '0')) - 1 END AS lw FROM scaled
+shifted AS (SELECT *, n_chars - min(n_chars) OVER () AS v FROM documents),
+levels AS (
+  SELECT * EXCLUDE (v), CASE WHEN v = 0 THEN 0 ELSE l * 32 + ((v << greatest(5 - l, 0)::INT) >> greatest(l - 5, 0)::INT) - 32 + 1 END AS level
+  FROM (SELECT *, CASE WHEN v > 0 THEN length(ltrim(bin(v), '0')) - 1 END AS l FROM shifted)
 ),
-ranked AS (
-  SELECT *, CASE WHEN v = 0 THEN 0 ELSE lv * 4 + ((v << greatest(2 - lv, 0)::INT) >> greatest(lv - 2, 0)::INT) - 4 + 1 END AS sv,
-            CASE WHEN w = 0 THEN 0 ELSE lw * 4 + ((w << greatest(2 - lw, 0)::INT) >> greatest(lw - 2, 0)::INT) - 4 + 1 END AS sw
-  FROM pos
-),
-sources AS (SELECT source, 1 + (row_number() OVER (ORDER BY encode(source)) - 1) * 30 // greatest(count(*) OVER () - 1, 1) AS c FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL)),
-langs AS (SELECT lang, 1 + (row_number() OVER (ORDER BY encode(lang)) - 1) * 30 // greatest(count(*) OVER () - 1, 1) AS c FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL)),
-cells AS (
-  SELECT DISTINCT coalesce(s.c, 0)::BIGINT AS c0, coalesce(l.c, 0)::BIGINT AS c1, (CASE WHEN n_chars IS NULL THEN 0 ELSE 1 + sv * 30 // greatest(sw, 1) END)::BIGINT AS c2
-  FROM ranked LEFT JOIN sources s USING (source) LEFT JOIN langs l USING (lang)
+sources AS (SELECT source, 1 + coalesce(sum(n) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 31 // sum(n) OVER () AS c FROM (SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source)),
+langs AS (SELECT lang, 1 + coalesce(sum(n) OVER (ORDER BY lang ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 31 // sum(n) OVER () AS c FROM (SELECT lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY lang)),
+sizes AS (SELECT level, 1 + coalesce(sum(n) OVER (ORDER BY level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 31 // sum(n) OVER () AS c FROM (SELECT level, count(*) AS n FROM levels WHERE level IS NOT NULL GROUP BY level)),
+celled AS (
+  SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, coalesce(s.c, 0)::BIGINT AS c0, coalesce(l.c, 0)::BIGINT AS c1, coalesce(z.c, 0)::BIGINT AS c2
+  FROM levels d LEFT JOIN sources s ON d.source = s.source LEFT JOIN langs l ON d.lang = l.lang LEFT JOIN sizes z ON d.level = z.level
 ),
+cells AS (SELECT DISTINCT c0, c1, c2 FROM celled),
 walk AS (
   SELECT c0, c1, c2, c0 AS x0, c1 AS x1, c2 AS x2, 16 AS q, 0 AS i FROM cells
   UNION ALL
@@ -167,10 +152,7 @@ turned AS (
 curves AS (
   SELECT c0, c1, c2, list_sum(list_transform([0, 1, 2, 3, 4], lambda b: (((xor(y0, t) >> b) & 1) * 4 + ((xor(y1, t) >> b) & 1) * 2 + ((xor(y2, t) >> b) & 1)) << (3 * b)))::BIGINT AS curve FROM turned
 ),
-placed AS (
-  SELECT d.*, u.curve FROM documents d JOIN ranked r USING (doc_id) LEFT JOIN sources s ON d.source = s.source LEFT JOIN langs l ON d.lang = l.lang
-  JOIN curves u ON u.c0 = coalesce(s.c, 0) AND u.c1 = coalesce(l.c, 0) AND u.c2 = CASE WHEN d.n_chars IS NULL THEN 0 ELSE 1 + sv * 30 // greatest(sw, 1) END
-),
+placed AS (SELECT d.*, u.curve FROM celled d JOIN curves u USING (c0, c1, c2)),
 grid AS (SELECT curve, sum(coalesce(length(text), 0))::BIGINT AS chars FROM placed GROUP BY curve),
 own AS (SELECT *, greatest((chars + 15999999) // 16000000, 1) AS own FROM grid),
 firsts AS (
