@@ -280,3 +280,11 @@ def log_mel_examples(samples: Column, rate: int = 16000, frames: int = 96, bands
 
 def framed_examples(mel: np.ndarray, frames: int) -> list[list[float]]:
     return [mel[k : k + frames].ravel().tolist() for k in range(0, len(mel) - frames + 1, frames)]
+
+
+def silence_times(logs: DataFrame, key: str = "doc_id", log: str = "log") -> DataFrame:
+    """(key, start, end) in seconds of each silence that a detector's log lists; one that doesn't end has a null end."""
+    starts = F.regexp_extract_all(F.col(log), F.lit(r"silence_start:\s*(-?[0-9.]+)"), F.lit(1))
+    ends = F.regexp_extract_all(F.col(log), F.lit(r"silence_end:\s*(-?[0-9.]+)"), F.lit(1))
+    each = logs.select(key, F.explode(F.arrays_zip(starts.alias("a"), ends.alias("b"))).alias("x")).where("x.a is not null")
+    return each.select(key, F.greatest(F.col("x.a").cast("double"), F.lit(0.0)).alias("start"), F.col("x.b").cast("double").alias("end"))

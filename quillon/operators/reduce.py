@@ -106,3 +106,10 @@ def route_times(routes: DataFrame) -> DataFrame:
 def ordered(results: DataFrame, greater_is_closer: bool, key: str = "doc_id") -> DataFrame:
     """The response in order of score, ties by key."""
     return results.orderBy(F.col("score").desc() if greater_is_closer else F.col("score").asc(), key)
+
+
+def same_direction(*greater_is_closer: bool) -> bool:
+    """The direction that chunk and document scores share; different ones are an error before anything runs."""
+    if len(set(greater_is_closer)) != 1:
+        raise ValueError("chunk and document scores must be sorted in the same direction")
+    return greater_is_closer[0]

@@ -266,3 +266,30 @@ def test_flow_from_yaml(spark: SparkSession) -> None:
     assert "sentences" in REGISTRY
     with pytest.raises(ValueError):
         Flow.from_yaml("[{name: a, use: os.system}]")
+
+
+# ---------------------------------------------------------------- models and logs
+
+
+def test_models_come_back(spark: SparkSession, tmp_path: Path) -> None:
+    from quillon.operators import models
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(40, 8))
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, vector array<double>")
+    for model in (encode.PrincipalComponents.fit(rows, 3, whiten=True), encode.ProductQuantiser.fit(rows, 2, 3), encode.Hasher.fit(rows, 1, 2, 3)):
+        models.save(spark, model, str(tmp_path / "m"))
+        assert np.array_equal(models.load(spark, str(tmp_path / "m")).matrix(x), model.matrix(x))
+    models.save(spark, encode.Standardiser.fit(rows), str(tmp_path / "m"))
+    z = np.array([r.z for r in rows.select(models.load(spark, str(tmp_path / "m"))(F.col("vector")).alias("z")).collect()])
+    assert np.allclose(z.mean(axis=0), 0) and np.allclose(z.std(axis=0), 1)
+    with pytest.raises(ValueError):
+        models.save(spark, object(), str(tmp_path / "m"))
+
+
+def test_silence_logs_and_directions(spark: SparkSession) -> None:
+    logs = spark.createDataFrame([(1, "x silence_start: -0.01\n silence_end: 1.5 | d\n silence_start: 3"), (2, "")], "doc_id long, log string")
+    assert [tuple(r) for r in frames.silence_times(logs).orderBy("start").collect()] == [(1, 0.0, 1.5), (1, 3.0, None)]
+    assert reduce.same_direction(True, True)
+    with pytest.raises(ValueError):
+        reduce.same_direction(True, False)
