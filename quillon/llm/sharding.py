@@ -12,8 +12,9 @@ the defaults, however large the table: byte counts by place are one aggregation,
 over the places fit one small task. The curve is cut every TARGET_CHARS characters; a place with
 more than that takes several shards, over which its rows go by their id.
 
-Rows of a shard come together by one range exchange on the shard, and are sorted in it by curve
-index and id. Whole rows travel, as the files are to be rewritten in the new order.
+Cells and places are joined to the rows by broadcast as long as they have at most BROADCAST_ROWS rows,
+which only the distinct values of a string can exceed; these are then joined by a shuffle. Rows of a
+shard come together by one range exchange on the shard, and are sorted in it by curve index and id. Whole rows travel, as the files are to be rewritten in the new order.
 
 Defined results: a null dimension, or a number that isn't finite or reaches 2**62, has cell 0; a null id goes to the first shard of its place; a null
 text counts as no characters; repeated rows stay and lie beside one another; ties in the curve index
@@ -29,9 +30,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import FractionalType, NumericType
 
+from quillon.session import cut_lineage
+
 BITS = 5
 BITS_BELOW = 5
 TARGET_CHARS = 16_000_000
+BROADCAST_ROWS = 100_000
 DIMENSIONS = ("source", "lang", "n_chars")
 
 
@@ -77,6 +81,12 @@ def _scale(value: Column) -> Column:
     return F.when(value == 0, F.lit(0)).otherwise(length * (1 << BITS_BELOW) + (top - F.lit(1 << BITS_BELOW)) + 1)
 
 
+def small(side: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """A table of a few narrow columns, made once; it is broadcast where it has at most so many rows, else joined as any other."""
+    side = cut_lineage(side)
+    return F.broadcast(side) if side.count() <= most else side
+
+
 def with_cells(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, bits: int = BITS) -> tuple[DataFrame, list[str]]:
     """The rows with a cell for each dimension, and the cells' column names."""
     top, names = (1 << bits) - 1, []
@@ -93,7 +103,7 @@ def with_cells(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, bits:
         before = F.coalesce(F.sum("__quillon_rows").over(Window.orderBy(level).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         total = F.sum("__quillon_rows").over(Window.partitionBy())
         cells = counts.select(F.col(level).alias("__quillon_of"), (F.lit(1) + F.call_function("div", before * top, total)).cast("int").alias(name))
-        docs = docs.join(cells, F.col(level) == F.col("__quillon_of"), "left").drop(level, "__quillon_of").withColumn(name, F.coalesce(name, F.lit(0)))
+        docs = docs.join(small(cells), F.col(level) == F.col("__quillon_of"), "left").drop(level, "__quillon_of").withColumn(name, F.coalesce(name, F.lit(0)))
     return docs, names
 
 
@@ -111,7 +121,7 @@ def sharded(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, bits: int
     extra = F.sum(F.when(F.col("__quillon_own") > 1, F.col("__quillon_own")).otherwise(0)).over(before)
     first = F.call_function("div", F.col("__quillon_before"), F.lit(target).cast("long")) + F.coalesce(extra, F.lit(0))
     places = places.withColumn("__quillon_first", first + F.when(F.col("__quillon_own") > 1, 1).otherwise(0))
-    placed = celled.join(places, names)
+    placed = celled.join(small(places), names)
     turn = F.coalesce(F.pmod(F.col(key), F.col("__quillon_own")), F.lit(0))
     out = placed.withColumn("shard", (F.col("__quillon_first") + turn).cast("long")).select(*(F.col(f"`{c}`") for c in kept), "curve", "shard")
     return out.repartitionByRange("shard").sortWithinPartitions("shard", "curve", key)
