@@ -35,7 +35,9 @@ def sentences(docs: DataFrame, min_len: int = 1, max_len: int = 256, delimiters:
     pieces = F.when(none, F.array(whole)).otherwise(found)
     skips = F.when(none, F.array(F.lit(""))).otherwise(skipped)
     pairs = F.arrays_zip(pieces.alias("p"), skips.alias("s"))
-    each = docs.where(whole.isNotNull()).select(F.col(key).alias("doc_id"), F.length(whole).alias("all"), F.posexplode(pairs).alias("offset", "x"))
+    # the text's length is taken before its pieces become rows, so that no row carries the text
+    cut = docs.where(whole.isNotNull()).select(F.col(key).alias("doc_id"), F.length(whole).alias("all"), pairs.alias("pairs"))
+    each = cut.select("doc_id", "all", F.posexplode("pairs").alias("offset", "x"))
     each = each.select("doc_id", "offset", "all", F.col("x.p").alias("p"), F.length("x.s").alias("skip"))
     body = F.substring("p", F.col("skip") + 1, F.length("p"))
     out = each.select("doc_id", "offset", "all", cleaned(body).alias("f"))

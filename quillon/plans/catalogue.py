@@ -49,9 +49,9 @@ def r6(x: Column) -> Column:
 
 _D = split.DELIMITERS
 _PIECES = f"""
-raw AS (SELECT row_number() OVER () AS r, doc_id, text, regexp_extract_all(text, '([{_D}]*)([^{_D}]+[{_D}])', 0) AS p, regexp_extract_all(text, '([{_D}]*)([^{_D}]+[{_D}])', 1) AS s FROM documents WHERE text IS NOT NULL),
-arr AS (SELECT r, doc_id, text, CASE WHEN len(p) = 0 THEN [text] ELSE p END AS p, CASE WHEN len(p) = 0 THEN [''] ELSE s END AS s FROM raw),
-pieces AS (SELECT r, doc_id, length(text) AS n, unnest(p) AS p, unnest(s) AS s, generate_subscripts(p, 1) - 1 AS o FROM arr)"""
+raw AS (SELECT row_number() OVER () AS r, doc_id, text, length(text) AS n, regexp_extract_all(text, '([{_D}]*)([^{_D}]+[{_D}])', 0) AS p, regexp_extract_all(text, '([{_D}]*)([^{_D}]+[{_D}])', 1) AS s FROM documents WHERE text IS NOT NULL),
+arr AS MATERIALIZED (SELECT r, doc_id, n, CASE WHEN len(p) = 0 THEN [text] ELSE p END AS p, CASE WHEN len(p) = 0 THEN [''] ELSE s END AS s FROM raw),
+pieces AS (SELECT r, doc_id, n, unnest(p) AS p, unnest(s) AS s, generate_subscripts(p, 1) - 1 AS o FROM arr)"""
 _SENTENCES = rf"""{_PIECES},
 cleaned AS (SELECT doc_id, o, n, regexp_replace(regexp_replace(regexp_replace(regexp_replace(substr(p, length(s) + 1), '[^\x20-\x7E\t\n\r\x0B\x0C]', '', 'g'), '\n+', ' ', 'g'), '^[\s\x0B]+', ''), '[\s\x0B]+$', '') AS f FROM pieces),
 sentences AS (SELECT doc_id, o::INT AS "offset", substr(f, 1, 256) AS text, round(length(substr(f, 1, 256)) / n::DOUBLE, 9) AS weight FROM cleaned WHERE length(f) > 1)"""
