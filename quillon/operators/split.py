@@ -14,6 +14,16 @@ def _class(delimiters: str) -> str:
     return "".join("\\" + c if c in "\\]^-[&" else c for c in delimiters)
 
 
+def _found(text: Column, delimiters: str, group: int) -> Column:
+    """The pieces with the delimiters before them (group 0), or these delimiters (group 1), of the part of a text that pieces fill.
+
+    What follows the last piece is cut first: a search for the next piece would run to the end of the text from each of its characters.
+    """
+    d = _class(delimiters)
+    head = F.regexp_extract(text, f"(?s)^.*[^{d}][{d}]", 0)
+    return F.regexp_extract_all(head, F.lit(f"([{d}]*+)([^{d}]++[{d}])"), F.lit(group))
+
+
 def cleaned(piece: Column) -> Column:
     """A piece without characters that don't print in ASCII, its line ends as blanks, trimmed."""
     printing = F.regexp_replace(piece, r"[^\x20-\x7E\t\n\r\x0B\x0C]", "")
@@ -27,10 +37,8 @@ def sentences(docs: DataFrame, min_len: int = 1, max_len: int = 256, delimiters:
     at most min_len characters after cleaning are dropped, but count for `offset`. The weight is the
     share of the text that the cleaned and cut piece has.
     """
-    d = _class(delimiters)
     whole = F.col(text)
-    found = F.regexp_extract_all(whole, F.lit(f"([{d}]*)([^{d}]+[{d}])"), F.lit(0))
-    skipped = F.regexp_extract_all(whole, F.lit(f"([{d}]*)([^{d}]+[{d}])"), F.lit(1))
+    found, skipped = (_found(whole, delimiters, g) for g in (0, 1))
     none = F.size(found) == 0
     pieces = F.when(none, F.array(whole)).otherwise(found)
     skips = F.when(none, F.array(F.lit(""))).otherwise(skipped)
@@ -47,9 +55,7 @@ def sentences(docs: DataFrame, min_len: int = 1, max_len: int = 256, delimiters:
 
 def sentence_places(docs: DataFrame, delimiters: str = DELIMITERS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, offset, start, end): where each piece stands in its text; ids are taken to be unique."""
-    d = _class(delimiters)
-    found = F.regexp_extract_all(F.col(text), F.lit(f"([{d}]*)([^{d}]+[{d}])"), F.lit(0))
-    skipped = F.regexp_extract_all(F.col(text), F.lit(f"([{d}]*)([^{d}]+[{d}])"), F.lit(1))
+    found, skipped = (_found(F.col(text), delimiters, g) for g in (0, 1))
     none = F.size(found) == 0
     pairs = F.when(none, F.arrays_zip(F.array(F.col(text)).alias("p"), F.array(F.lit("")).alias("s"))).otherwise(F.arrays_zip(found.alias("p"), skipped.alias("s")))
     each = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), F.posexplode(pairs).alias("offset", "x"))
