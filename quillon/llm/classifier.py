@@ -193,20 +193,29 @@ def _spread(key: np.ndarray, weight: np.ndarray | None, values: np.ndarray, n: i
     return np.stack([np.bincount(key, w * values[:, d], n) for d in range(values.shape[1])], axis=1)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[str], np.ndarray]:
-    """At most max_rows labelled texts and their classes, chosen by the hash of the id and so alike at every run."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+    """(doc_id, text, class) of at most max_rows labelled texts, chosen by the hash of the id and so alike at every run."""
     labels = labels.where("doc_id is not null and quality is not null and toxic is not null")
     kind = F.when(F.col("toxic") == 1, 2).when(F.col("quality") == 0, 1).otherwise(0)
-    chosen = labels.groupBy("doc_id").agg(F.max(kind).alias("__quillon_class")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    chosen = labels.groupBy("doc_id").agg(F.max(kind).alias("class")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    rows = texts.join(F.broadcast(chosen), "doc_id").toArrow()
-    order = np.lexsort((np.array(rows["text"].to_pylist(), object), rows["doc_id"].to_numpy())) if rows.num_rows else []
-    rows = rows.take(pa.array(order, pa.int64()))
-    return rows["text"].to_pylist(), rows["__quillon_class"].to_numpy().astype(np.int64)
+    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "class")
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
-    return train(*training_rows(docs, labels, max_rows))
+    """The model of the training rows, made by one task in a worker: neither the rows nor what training needs come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches, pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("class", pa.int32())]))
+        texts, ids = rows["text"].to_pylist(), rows["doc_id"].to_numpy()
+        order = np.lexsort((np.array(texts, object), ids)) if len(texts) else np.zeros(0, np.int64)
+        model = train([texts[k] for k in order], rows["class"].to_numpy()[order].astype(np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([model.table.tobytes()], pa.binary()), pa.array([model.bias.tolist()], pa.list_(pa.float64()))], ["table", "bias"])
+
+    made = training_rows(docs, labels, max_rows).repartition(1).mapInArrow(run, "table binary, bias array<double>").collect()
+    if not made:
+        return train([], np.zeros(0, np.int64))
+    return Model(np.frombuffer(made[0].table, np.float32).reshape(-1, len(CLASSES)), np.array(made[0].bias))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
