@@ -11,6 +11,15 @@ a block with a rare line goes from the later document, short lines in it include
 can't place, rare lines in another order or repeated in the later document, goes line by line.
 So a rare line stays in its earliest document alone, and short lines go only beside one.
 
+Passages that aren't whole lines (in the middle of a longer or an edited line, or over several short lines)
+are found over words, in what the lines leave of a document. Of the hashes of all runs of RUN words those
+are selected that are least in any RUN consecutive ones (winnowing), so that two documents with a common run
+of 2 * RUN - 1 words have a selected hash in common. A document is paired for each of its selected
+hashes with the earliest document that has it selected, as for lines, and loses every word that stands
+in a run of RUN words which that document holds. A line of which no word is left goes.
+So no run of 2 * RUN - 1 words that an earlier document holds stays whole; of shorter ones those go that
+are paired. Words are compared as they are written; punctuation and white space between them don't count.
+
 Lines end at newlines; white space around a line doesn't count for equality. The kept lines are
 rejoined unchanged, so a document that shares no line keeps its exact text.
 
@@ -28,13 +37,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.llm.common import as_array, one_row_per_id, raw, slices, spans_hash
+from quillon.llm.common import as_array, mix, one_row_per_id, powers, raw, slices, spans_hash, word_spans
 from quillon.session import cut_lineage
 
 MIN_CHARS = 40
+RUN = 25
 
 
 def line_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -163,24 +173,175 @@ def _kept(text: Column, gone: Column) -> Column:
     return F.when(gone.isNull(), text).otherwise(cut)
 
 
-def deduplicated(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, text, lines_removed) of every document with an id, without the blocks that earlier documents hold."""
+def run_hashes(words: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Hashes of all runs of `run` words."""
+    n = len(words)
+    power, inverse = powers(n + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[:n])])
+    return mix((sums[run:] - sums[: n + 1 - run]) * inverse[: n + 1 - run]) if n >= run else np.zeros(0, np.uint64)
+
+
+def _least(x: np.ndarray, window: int) -> np.ndarray:
+    """The least of each `window` consecutive values."""
+    done = 1
+    while done < window:
+        step = min(done, window - done)
+        x = np.minimum(x[:-step], x[step:])
+        done += step
+    return x
+
+
+def selected(hashes: np.ndarray, valid: np.ndarray, window: int = RUN) -> np.ndarray:
+    """The places of the valid hashes that are the least of any `window` consecutive ones."""
+    top = np.uint64(0xFFFFFFFFFFFFFFFF)
+    x = np.full(len(hashes) + 2 * (window - 1), top)
+    x[window - 1 : window - 1 + len(hashes)] = np.where(valid, hashes, top)
+    return np.flatnonzero(valid & (~_least(~_least(x, window), window) == hashes)) if len(hashes) else np.zeros(0, np.int64)
+
+
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    data, offsets = raw(texts)
+    starts, ends, first = word_spans(data, offsets)
+    return spans_hash(data, starts, ends) >> np.uint64(32), first
+
+
+def prints_of(docs: DataFrame, run: int = RUN) -> DataFrame:
+    """(id, prints): the selected run hashes of each document."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, part in slices(as_array(batch.column(1))):
+                words, first = _words(part)
+                hashes = run_hashes(words, run)
+                # run - 1 invalid places at least stand between two rows, so that no window sees valid ones of both
+                stop = np.repeat(first[1:], np.diff(first))[: len(hashes)]
+                prints = selected(hashes, np.arange(len(hashes)) + run <= stop, run)
+                to = pa.array(np.searchsorted(prints, first).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.ListArray.from_arrays(to, pa.array(hashes[prints].view(np.int64)))], ["id", "prints"])
+
+    return docs.select("doc_id", "text").mapInArrow(make, "id long, prints array<long>")
+
+
+def words_of(texts: DataFrame) -> DataFrame:
+    """(id, words): the words of each (id, text) as 32-bit hashes, in bytes."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, part in slices(as_array(batch.column(1))):
+                words, first = _words(part)
+                words = words.astype(np.uint32)
+                own = pa.array([words[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), own], ["id", "words"])
+
+    return texts.select("id", "text").mapInArrow(make, "id long, words binary")
+
+
+def common_runs(a: np.ndarray, b: np.ndarray, run: int = RUN) -> list[tuple[int, int]]:
+    """(first word, word after the last) of the stretches of b all of whose words stand in a run that a holds."""
+    at = np.flatnonzero(np.isin(run_hashes(b, run), run_hashes(a, run)))
+    if not len(at):
+        return []
+    cut = np.flatnonzero(np.diff(at) > run)
+    return list(zip(at[np.append(0, cut + 1)].tolist(), (at[np.append(cut, len(at) - 1)] + run).tolist(), strict=True))
+
+
+def run_pairs(docs: DataFrame, run: int = RUN) -> DataFrame:
+    """(b, a): each document and the earliest holders of its selected run hashes."""
+    prints = prints_of(docs, run).select("id", F.explode(F.array_distinct("prints")).alias("print"))
+    held = prints.withColumn("a", F.min("id").over(Window.partitionBy("print")))
+    return held.where("id > a").select(F.col("id").alias("b"), "a").distinct()
+
+
+def shared_runs(pairs: DataFrame, whole: DataFrame, rest: DataFrame, run: int = RUN) -> DataFrame:
+    """(id, runs): the first words of the stretches that go from each text of `rest` and those after their last.
+
+    `rest` holds what the lines left of the texts of `whole`; earlier documents count with their whole text.
+    """
+    later = pairs.join(words_of(rest).select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
+    both = later.join(words_of(whole).select(F.col("id").alias("a"), F.col("words").alias("x")), "a").select("b", "x", "y")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = ([np.frombuffer(v.as_buffer(), np.uint32).astype(np.uint64) for v in as_array(batch.column(k))] for k in (1, 2))
+            runs = [[k for r in common_runs(*args, run) for k in r] for args in zip(x, y, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.list_(pa.int32()))], ["b", "runs"])
+
+    found = both.mapInArrow(find, "b long, runs array<int>").where("size(runs) > 0")
+    return found.groupBy(F.col("b").alias("id")).agg(F.flatten(F.collect_list("runs")).alias("runs"))
+
+
+def without_runs(text: str, runs: list[int]) -> tuple[str, int]:
+    """The text without the words of the runs (first, after the last, first, ...), and the number of lines that lost any.
+
+    What follows a cut word on its line, up to the next word, goes with it; a line of which no word is left goes.
+    """
+    data, offsets = raw(pa.array([text]))
+    starts, ends, _ = word_spans(data, offsets)
+    gone = np.zeros(len(starts) + 1, np.int64)
+    np.add.at(gone, runs[::2], 1)
+    np.add.at(gone, runs[1::2], -1)
+    gone = np.cumsum(gone)[:-1] > 0
+    newline = np.flatnonzero(data == 10)
+    after = np.append(newline, len(data))
+    to = np.minimum(np.append(starts[1:], len(data)), after[np.searchsorted(after, ends)])
+    keep = np.zeros(len(data) + 1, np.int64)
+    np.add.at(keep, starts[gone], 1)
+    np.add.at(keep, to[gone], -1)
+    keep = np.cumsum(keep)[:-1] == 0
+    line = np.searchsorted(newline, starts)
+    lost = np.unique(line[gone])
+    for k in np.setdiff1d(lost, line[~gone]):
+        begin, end = newline[k - 1] + 1 if k else 0, after[k]
+        keep[begin : end + 1] = False
+        if end == len(data) and k:
+            last = np.flatnonzero(keep[:begin])
+            if len(last) and data[last[-1]] == 10:
+                keep[last[-1]] = False
+    return data[keep].tobytes().decode(), len(lost)
+
+
+def _cut(docs: DataFrame, least: int, run: int) -> DataFrame:
+    """(id, text, lines_removed) of each document that loses any; `docs` has one row an id."""
+    gone = cut_lineage(shared_lines(docs, least))
+    pairs = cut_lineage(run_pairs(docs, run))
+    ids = pairs.selectExpr("b as id", "false as holds", "true as seeks").union(pairs.selectExpr("a", "true", "false")).union(gone.selectExpr("id", "false", "false"))
+    ids = ids.groupBy("id").agg(F.max("holds").alias("holds"), F.max("seeks").alias("seeks"))
+    involved = docs.join(ids.join(gone, "id", "left").withColumnRenamed("id", "__id").hint("shuffle_hash"), F.col("doc_id") == F.col("__id"))
+    involved = cut_lineage(involved.select(F.col("doc_id").alias("id"), "text", "gone", "holds", "seeks"))
+    rest = involved.select("id", _kept(F.col("text"), F.col("gone")).alias("text"), F.coalesce(F.size("gone"), F.lit(0)).alias("n"), "seeks")
+    runs = cut_lineage(shared_runs(pairs, involved.where("holds"), rest.where("seeks"), run))
+    both = rest.join(runs, "id", "left").where("n > 0 or runs is not null").select("id", "text", "n", "runs")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            text, n, runs = (batch.column(k).to_pylist() for k in (1, 2, 3))
+            made = [without_runs(t, r) if r else (t, 0) for t, r in zip(text, runs, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] + k for m, k in zip(made, n, strict=True)], pa.int32())], ["id", "text", "lines_removed"])
+
+    return both.mapInArrow(make, "id long, text string, lines_removed int")
+
+
+def deduplicated(docs: DataFrame, least: int = MIN_CHARS, run: int = RUN) -> DataFrame:
+    """(doc_id, text, lines_removed) of every document with an id, without the blocks and passages that earlier documents hold.
+
+    lines_removed counts the lines that went, whole or in part.
+    """
     docs = one_row_per_id(docs.select("doc_id", "text"))
-    gone = shared_lines(docs, least)
-    joined = docs.join(gone.hint("shuffle_hash"), docs.doc_id == gone.id, "left")
-    return joined.select("doc_id", _kept(F.col("text"), F.col("gone")).alias("text"), F.coalesce(F.size("gone"), F.lit(0)).alias("lines_removed"))
+    cut = _cut(docs, least, run).select("id", F.col("text").alias("rest"), "lines_removed")
+    joined = docs.join(cut.hint("shuffle_hash"), docs.doc_id == cut.id, "left")
+    return joined.select("doc_id", F.when(F.col("id").isNull(), F.col("text")).otherwise(F.col("rest")).alias("text"), F.coalesce("lines_removed", F.lit(0)).alias("lines_removed"))
 
 
-def without_shared_lines(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
-    """The documents with shared blocks cut and n_chars, where there is such a column, renewed for those that lost any.
+def without_shared_lines(docs: DataFrame, least: int = MIN_CHARS, run: int = RUN) -> DataFrame:
+    """The documents with shared blocks and passages cut and n_chars, where there is such a column, renewed for those that lost any.
 
     A document of which nothing but white space is left after a cut goes; all others stay.
     """
     whole = one_row_per_id(docs)
-    gone = shared_lines(whole.select("doc_id", "text"), least).select(F.col("id").alias("__quillon_id"), F.col("gone").alias("__quillon_gone"))
+    gone = _cut(whole.select("doc_id", "text"), least, run).select(F.col("id").alias("__quillon_id"), F.col("text").alias("__quillon_text"))
     cut = whole.join(gone.hint("shuffle_hash"), whole.doc_id == F.col("__quillon_id"), "left")
-    cut = cut.withColumn("text", _kept(F.col("text"), F.col("__quillon_gone")))
-    touched = F.col("__quillon_gone").isNotNull()
+    touched = F.col("__quillon_id").isNotNull()
+    cut = cut.withColumn("text", F.when(touched, F.col("__quillon_text")).otherwise(F.col("text")))
     cut = cut.where(~touched | (F.length(F.regexp_replace("text", r"\s+", "")) > 0))
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

@@ -6,7 +6,7 @@ import random
 
 from pyspark.sql import SparkSession
 
-from quillon.llm import minhash
+from quillon.llm import linededup, minhash
 
 DOCS = "doc_id long, text string"
 
@@ -22,3 +22,23 @@ def test_lightly_edited_copies_are_grouped(spark: SparkSession) -> None:
     group = {r.doc_id: r.group_id for r in minhash.near_duplicate_groups(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
     assert sum(group[k] == group[k + 1] == k for k in range(0, 120, 2)) >= 54
     assert len({group[k] for k in range(0, 120, 2)}) == 60
+
+
+def test_passages_inside_longer_lines_are_cut(spark: SparkSession) -> None:
+    rng = random.Random(7)
+
+    def some(n: int) -> list[str]:
+        return [f"w{rng.randrange(10**6)}" for _ in range(n)]
+
+    passage, own = some(60), [some(30) for _ in range(9)]
+    texts = [
+        " ".join(own[0] + passage + own[1]),  # the earliest holder
+        " ".join(own[2] + passage + own[3]),  # inside one line
+        " ".join(own[4]) + "\n" + "\n".join(" ".join(passage[k : k + 3]) for k in range(0, 60, 3)) + "\n" + " ".join(own[5]),  # over short lines
+        " ".join(own[6] + passage[5:55] + own[7]),  # a run of 50 words
+        " ".join(own[8] + passage[10:30]),  # too short a run
+    ]
+    got = {r.doc_id: (r.text, r.lines_removed) for r in linededup.deduplicated(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    assert got[0] == (texts[0], 0) and got[4] == (texts[4], 0)
+    assert got[1] == (" ".join(own[2] + own[3]), 1) and got[3] == (" ".join(own[6] + own[7]), 1)
+    assert got[2] == (" ".join(own[4]) + "\n" + " ".join(own[5]), 20)
