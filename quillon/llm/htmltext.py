@@ -12,14 +12,15 @@ The work is one pass over each page in the workers, linear in its length, and ne
 are rows. Lengths and block sums are arrays, regular expressions strip the markup.
 
 Defined results: a null page has null text and no lines; a page without a surge has an empty text;
-broken markup is taken as far as it can be read (an unclosed comment or script runs to the end of
-the page); null ids and repeated rows are treated as any other row; an empty table gives no rows.
+broken markup is taken as far as it can be read (an unclosed comment, script or style runs to the end of
+the page, an unclosed head to the body or the first block, and of other unclosed tags the tag alone goes); null ids and repeated rows are treated as any other row; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,16 +35,48 @@ SURGE = 86
 _SILENT_TAGS = ("script", "style", "noscript", "template", "svg", "head", "nav", "footer", "aside", "textarea", "select", "iframe")
 _COMMENT = re.compile(r"<!--.*?(?:-->|\Z)", re.S)
 _SILENT = re.compile("|".join(rf"<{t}\b[^>]*>.*?(?:</{t}\s*>|\Z)" for t in _SILENT_TAGS), re.S | re.I)
+_RAW = re.compile(r"<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
+_OTHERS = "|".join(t for t in _SILENT_TAGS if t not in ("script", "style", "head"))
+_OPENER = re.compile(rf"<({_OTHERS})\b[^>]*>", re.I)
+_CLOSER = re.compile(rf"</({_OTHERS})\s*>", re.I)
+_HEAD = re.compile(r"<head\b[^>]*>", re.I)
+_HEAD_END = re.compile(r"</head\s*>|(?=<body\b)", re.I)
 _SECTION = re.compile(r"</?(?:article|body|div|fieldset|form|header|html|main|section|table)\b[^>]*>", re.I)
 _BLOCK = re.compile(r"</?(?:address|blockquote|br|button|caption|center|dd|details|dialog|dl|dt|figcaption|figure|h[1-6]|hr|legend|li|menu|ol|option|p|pre|summary|tbody|td|tfoot|th|thead|tr|ul)\b[^>]*>", re.I)
 _TAG = re.compile(r"<[a-zA-Z/!?][^>]*>")
 _GAP = re.compile(r"[ \t\r\f\v ]+")
 
 
+def _silenced(page: str, gap: str) -> str:
+    """The page without the elements that are cut with what they hold.
+
+    Where the closing tag is absent, a script or style runs to the end of the page, a head to the body or the first
+    tag of a block, and of the others the tag alone goes.
+    """
+    page = _RAW.sub(gap, page)
+    closers: dict[str, list[tuple[int, int]]] = {}
+    for m in _CLOSER.finditer(page):
+        closers.setdefault(m.group(1).lower(), []).append(m.span())
+    out, at = [], 0
+    for m in _OPENER.finditer(page):
+        if m.start() >= at:
+            ends = closers.get(m.group(1).lower(), [])
+            k = bisect_left(ends, m.span()[::-1])
+            out += [page[at : m.start()], gap]
+            at = ends[k][1] if k < len(ends) else m.end()
+    page = "".join([*out, page[at:]])
+    out, at = [], 0
+    while m := _HEAD.search(page, at):
+        end = _HEAD_END.search(page, m.end()) or min((x for x in (_SECTION.search(page, m.end()), _BLOCK.search(page, m.end())) if x), key=lambda x: x.start(), default=m)
+        out += [page[at : m.start()], gap]
+        at = end.end() if end is m or end.re is _HEAD_END else end.start()
+    return "".join([*out, page[at:]])
+
+
 def lines_of(page: str, window: int = WINDOW) -> list[str]:
     """The lines of the page without markup, trimmed."""
     gap = "\n" * (window + 1)
-    page = _SECTION.sub(gap, _SILENT.sub(gap, _COMMENT.sub("", page)))
+    page = _SECTION.sub(gap, _silenced(_COMMENT.sub("", page), gap))
     page = _TAG.sub("", _BLOCK.sub("\n", page))
     return [_GAP.sub(" ", x).strip() for x in html.unescape(page).split("\n")]
 
@@ -92,7 +125,7 @@ def extracted(pages: DataFrame, key: str = "page_id", column: str = "html", wind
     return pages.select(pages[f"`{key}`"].cast("long").alias("page_id"), pages[f"`{column}`"].cast("string").alias("html")).mapInArrow(run, "page_id long, text string, lines_kept int, lines int")
 
 
-#: The same in DuckDB, with the character references that the tables hold.
+#: The same in DuckDB for pages whose tags are closed, with the character references that the tables hold.
 SQL = """
 WITH a AS (SELECT row_number() OVER () AS r, page_id, html, regexp_replace(html, '(?s)<!--.*?(?:-->|\\z)', '', 'g') AS x FROM pages),
 b AS (SELECT r, page_id, regexp_replace(x, '(?is)%SILENT%', repeat(chr(10), 4), 'g') AS x FROM a),

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from pyspark.sql import SparkSession
 
-from quillon.llm import linededup, minhash
+from quillon.llm import htmltext, linededup, minhash
 
 DOCS = "doc_id long, text string"
 
@@ -42,3 +43,12 @@ def test_passages_inside_longer_lines_are_cut(spark: SparkSession) -> None:
     assert got[0] == (texts[0], 0) and got[4] == (texts[4], 0)
     assert got[1] == (" ".join(own[2] + own[3]), 1) and got[3] == (" ".join(own[6] + own[7]), 1)
     assert got[2] == (" ".join(own[4]) + "\n" + " ".join(own[5]), 20)
+
+
+_TEXT = "A long paragraph of running text that goes on. " * 8
+
+
+@pytest.mark.parametrize("page", ["<head><title>x</title><body><p>{}", "<head><title>x</title><p>{}", "<body><nav><p>{}", "<body><p>y<aside><p>{}", "<div><select><p>{}", "<head></head><nav>a</nav><nav><p>{}"])
+def test_html_unclosed_tags_lose_nothing_after_them(page: str) -> None:
+    assert _TEXT.strip() in htmltext.main_text(page.format(_TEXT))[0]
+    assert htmltext.main_text("<script>" + page.format(_TEXT))[0] == ""
