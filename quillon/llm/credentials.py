@@ -107,6 +107,44 @@ def findings(docs: DataFrame, key: str = "doc_id", column: str = "text", reach:
     return docs.select(docs[f"`{key}`"].cast("long").alias("doc_id"), docs[f"`{column}`"].cast("string").alias("text")).mapInArrow(run, schema)
 
 
+def scope_findings(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
+    """(doc_id, position, strength, head, n_chars, identifiers, endpoints, nearest, distance) of each secret, linked within its whole scope.
+
+    The counts are those of the scope; nearest is the closest identifier or endpoint, the earlier one of two, and distance
+    the characters between it and the secret. Costs follow the text, not the pairs.
+    """
+    schema = "doc_id long, position int, strength string, head string, n_chars int, identifiers int, endpoints int, nearest string, distance int"
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(k, *found) for k, x in enumerate(as_array(batch.column(1))) if x.is_valid for found in found_in_scope(x.as_py())]
+            cut = [list(c) for c in zip(*rows, strict=True)] or [[] for _ in names]
+            kinds = (pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cut[0], pa.int64())), *(pa.array(c, t) for c, t in zip(cut[1:], kinds, strict=True))], names)
+
+    return docs.select(docs[f"`{key}`"].cast("long").alias("doc_id"), docs[f"`{column}`"].cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def found_in_scope(text: str) -> Iterator[tuple[int, str, str, int, int, int, str | None, int | None]]:
+    """(position, strength, head, n_chars, identifiers, endpoints, nearest, distance) of each secret, however far its complement in the scope."""
+    if not _HINT.search(text):
+        return
+    for at, scope in scopes_of(text):
+        if not _HINT.search(scope):
+            continue
+        parts = parts_of(scope, at)
+        others = [p for p in parts if p[0] in ("identifier", "endpoint")]
+        identifiers, starts = sum(p[0] == "identifier" for p in others), [p[1] for p in others]
+        for kind, start, end, match in parts:
+            if kind == "strong" or (kind == "weak" and others):
+                value = m.group(1) if kind == "weak" and (m := _VALUE.search(match)) else match
+                k = bisect_left(starts, start)
+                beside = [(max(p[1] - end, start - p[2]), p[1], p[0]) for p in others[max(0, k - 1) : k + 1]]
+                distance, place, other = min(beside, default=(None, None, None))
+                yield start, kind, value[:4], len(value), identifiers, len(others) - identifiers, other and f"{other}@{place}", distance
+
+
 def _quoted(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 

@@ -29,6 +29,10 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.findings(_table(spark, sf_dir, "documents"))
 
 
+def op4_secrets_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.scope_findings(_table(spark, sf_dir, "documents"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicate_groups(_table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_media": op2_media,
     "op3_html": op3_html,
     "op4_secrets": op4_secrets,
+    "op4_secrets_scope": op4_secrets_scope,
     "op5_minhash": op5_minhash,
     "op6_classifier": op6_classifier,
     "op7_sharding": op7_sharding,

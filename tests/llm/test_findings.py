@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import SparkSession
 
-from quillon.llm import htmltext, linededup, minhash
+from quillon.llm import credentials, htmltext, linededup, minhash
 
 DOCS = "doc_id long, text string"
 
@@ -52,3 +52,10 @@ _TEXT = "A long paragraph of running text that goes on. " * 8
 def test_html_unclosed_tags_lose_nothing_after_them(page: str) -> None:
     assert _TEXT.strip() in htmltext.main_text(page.format(_TEXT))[0]
     assert htmltext.main_text("<script>" + page.format(_TEXT))[0] == ""
+
+
+def test_secrets_are_linked_within_the_whole_scope(spark: SparkSession) -> None:
+    secret = 'token = "0123456789abcdef0123456789abcdef01234567'
+    texts = [f'ann@example.com {"x " * 150}{secret}"', f'ann@example.com\n\n{secret}"', f'{secret}" {"x " * 300}10.1.2.3:80 ann@example.com', None, secret]
+    got = sorted(tuple(r) for r in credentials.scope_findings(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect())
+    assert got == [(0, 316, "weak", "0123", 40, 1, 0, "identifier@0", 301), (2, 0, "weak", "0123", 40, 1, 1, f"endpoint@{len(secret) + 602}", 602)]
