@@ -1,184 +1,67 @@
 """Line deduplication by pairwise alignment.
 
-Documents overlap where they share a rare line. A line of at least MIN_CHARS characters is taken
-as rare: two documents don't hold the same one by chance. Short lines never lead to a pair.
-However many documents hold a line, a later document is paired for it with one document alone, the
-earliest holder (the least id). That takes one pair for each shared line and no cap: a line that any
-earlier document holds is held by the earliest holder, too.
-
-Each pair is aligned with a patience diff over line hashes. Aligned runs of common lines are blocks;
-a block with a rare line goes from the later document, short lines in it included. What alignment
-can't place, rare lines in another order or repeated in the later document, goes line by line.
-So a rare line stays in its earliest document alone, and short lines go only beside one.
-
-Passages that aren't whole lines (in the middle of a longer or an edited line, or over several short lines)
-are found over words, in what the lines leave of a document. Of the hashes of all runs of RUN words those
-are selected that are least in any RUN consecutive ones (winnowing), so that two documents with a common run
-of 2 * RUN - 1 words have a selected hash in common. A document is paired for each of its selected
-hashes with the earliest document that has it selected, as for lines, and loses every word that stands
-in a run of RUN words which that document holds. A line of which no word is left goes.
-So no run of 2 * RUN - 1 words that an earlier document holds stays whole; of shorter ones those go that
-are paired. Words are compared as they are written; punctuation and white space between them don't count.
-
-Lines end at newlines; white space around a line doesn't count for equality. The kept lines are
-rejoined unchanged, so a document that shares no line keeps its exact text.
+Documents overlap where they share the hash of a line, or of a passage. Passages carry what lines can't: common text in the
+middle of a longer or an edited line, or over several short ones. Of the hashes of all runs of RUN words those are
+selected that are least in any RUN consecutive ones (winnowing), so that two documents with a common run of
+2 * RUN - 1 words have a selected hash in common. Lines and runs are compared as sequences of words: punctuation and
+white space between words don't count, case does.
+
+A line is rare where RARE documents at most hold it, whatever its length. A rare line pairs each document that holds it with
+every earlier one (of lesser id) that does: RARE - 1 pairs a document at most. A line that more documents hold, and a run, pair
+each document with the earliest holder alone. This is exact for them: what any earlier document holds of such a hash, the
+earliest holder holds, too. So no group of copies is expanded into pairs, and none is left out for its size. The earliest
+holder comes from an aggregation with map-side combining that is joined back, so that no hash is gathered in one task.
+
+Each pair is aligned by patience: common lines and runs that continue each other in both documents are one block, the blocks
+that rise in both documents are aligned along the longest such sequence, and what it leaves (moved or repeated blocks) is aligned
+block by block. A block is then extended at both ends, word by word as long as the two documents agree, by RUN - 1
+words at most, and goes from the later document if it has BLOCK words at least. So of a line that is common by chance (a word
+or two) nothing goes, while a run of 2 * RUN - 1 words, or a line of BLOCK words, that any earlier document holds never stays whole.
+Earlier documents count with their whole text.
+
+What follows a cut word on its line, up to the next word, goes with it; a line of which no word is left goes. The kept lines
+are rejoined unchanged, and a document that loses nothing keeps its exact text.
+
+Whole texts are shuffled twice, once to look up the surroundings of blocks and once to cut; all else are hashes and places.
 
 Defined results: rows with a null id take no part and (in the pipeline) stay as they are; rows that
-share an id are one document, for which the smallest text stands; null and empty texts share nothing
-and stay; equal texts: the earliest stays, the rest lose every block with a rare line; repeats of a line within one document
-stay unless an earlier document holds it. A text all of whose lines went is empty. Empty tables give empty results.
+share an id are one document, for which the smallest text stands (in the pipeline further texts of the same id stay as they are,
+and of rows that share both one stays); null and empty texts and texts without words share nothing
+and stay; equal texts of BLOCK words or more: the earliest stays, the rest are left empty; repeats within one document
+stay unless an earlier document holds them. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import as_array, mix, one_row_per_id, powers, raw, slices, spans_hash, word_spans
-from quillon.session import cut_lineage
+from quillon.llm.common import as_array, mix, one_row_per_id, powers, raw, shared_ids, slices, spans_hash, word_spans
+from quillon.session import Scratch
 
-MIN_CHARS = 40
+RARE = 8
+BLOCK = 8
 RUN = 25
 
-
-def line_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash and length in characters of each trimmed line, and the first line of each row."""
-    data, offsets = raw(texts)
-    newline = np.flatnonzero(data == 10)
-    # a line starts at each row start and after each newline, also where these fall together
-    starts = np.sort(np.concatenate([offsets[:-1], newline + 1]), kind="stable")
-    first = np.arange(len(offsets)) + np.searchsorted(newline, offsets)
-    ends = np.append(starts[1:], len(data)) - 1
-    ends[first[1:] - 1] = offsets[1:]
-    solid = np.flatnonzero(data > 32)
-    low = np.searchsorted(solid, starts)
-    high = np.searchsorted(solid, ends)
-    some = high > low
-    if len(solid):
-        s = np.where(some, solid[np.minimum(low, len(solid) - 1)], starts)
-        e = np.where(some, solid[np.maximum(high - 1, 0)] + 1, starts)
-    else:
-        s = e = starts
-    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
-    return spans_hash(data, s, e), (chars[e] - chars[s]).astype(np.int32), first
-
-
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(id, lines, chars): hash and length of each line of a document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, part in slices(as_array(batch.column(1))):
-                hashes, chars, first = line_hashes(part)
-                to = pa.array(first.astype(np.int32))
-                columns = [pa.ListArray.from_arrays(to, pa.array(x)) for x in (hashes.view(np.int64), chars)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), *columns], ["id", "lines", "chars"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, lines array<long>, chars array<int>")
-
-
-def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The longest subsequence, of pairs ascending in the first, that ascends in the second."""
-    tails: list[int] = []
-    at: list[int] = []
-    before = [-1] * len(pairs)
-    for k, (_, y) in enumerate(pairs):
-        i = bisect_left(tails, y)
-        before[k] = at[i - 1] if i else -1
-        tails[i : i + 1] = [y]
-        at[i : i + 1] = [k]
-    out, k = [], at[-1] if at else -1
-    while k >= 0:
-        out.append(pairs[k])
-        k = before[k]
-    return out[::-1]
-
-
-def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
-    """Aligned (index in a, index in b) of equal lines, ascending in both.
-
-    Common beginnings and ends are matched, then the lines that are unique in both ranges along their
-    longest rising subsequence, and the ranges between these in the same way.
-    """
-    out: list[tuple[int, int]] = []
-    todo = [(0, len(a), 0, len(b))]
-    while todo:
-        i, j, p, q = todo.pop()
-        while i < j and p < q and a[i] == b[p]:
-            out.append((i, p))
-            i, p = i + 1, p + 1
-        while i < j and p < q and a[j - 1] == b[q - 1]:
-            j, q = j - 1, q - 1
-            out.append((j, q))
-        if i == j or p == q:
-            continue
-        na, nb = Counter(a[i:j]), Counter(b[p:q])
-        place = {x: k for k, x in enumerate(a[i:j], i) if na[x] == 1 and nb.get(x) == 1}
-        if not place:
-            continue
-        single = sorted((place[x], k) for k, x in enumerate(b[p:q], p) if x in place)
-        for x, y in [*_rising(single), (j, q)]:
-            todo.append((i, x, p, y))
-            if x < j:
-                out.append((x, y))
-                i, p = x + 1, y + 1
-    return sorted(out)
-
-
-def common_lines(a: list[int], b: list[int], chars: list[int], least: int = MIN_CHARS) -> list[int]:
-    """The lines of b, by index, that go because a holds them."""
-    gone: set[int] = set()
-    block: list[int] = []
-    last = (-2, -2)
-    for pair in [*patience(a, b), (-9, -9)]:
-        if pair != (last[0] + 1, last[1] + 1):
-            if any(chars[k] >= least for k in block):
-                gone.update(block)
-            block = []
-        block.append(pair[1])
-        last = pair
-    held = set(a)
-    gone.update(k for k, x in enumerate(b) if chars[k] >= least and x in held)
-    return sorted(gone)
-
-
-def shared_lines(docs: DataFrame, least: int = MIN_CHARS) -> DataFrame:
-    """(id, gone): the indexes of lines that go, for each document that loses any. `docs` has one row an id."""
-    lines = cut_lineage(lines_of(docs))
-    rare = lines.select("id", F.explode(F.arrays_zip("lines", "chars")).alias("x")).where(F.col("x.chars") >= least)
-    rare = rare.select(F.col("x.lines").alias("line"), "id")
-    held = rare.groupBy("line").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a < z").select("line", "a")
-    pairs = rare.join(held, "line").where("id > a").select(F.col("id").alias("b"), "a").distinct()
-    later = pairs.join(lines.select(F.col("id").alias("b"), F.col("lines").alias("y"), F.col("chars").alias("c")), "b")
-    both = later.join(lines.select(F.col("id").alias("a"), F.col("lines").alias("x")), "a").select("b", "x", "y", "c")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y, c = (batch.column(k).to_pylist() for k in (1, 2, 3))
-            gone = [common_lines(*args, least) for args in zip(x, y, c, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], ["b", "gone"])
-
-    found = both.mapInArrow(run, "b long, gone array<int>").where("size(gone) > 0")
-    return found.groupBy(F.col("b").alias("id")).agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
-
-
-def _kept(text: Column, gone: Column) -> Column:
-    cut = F.array_join(F.filter(F.split(text, "\n", -1), lambda _, k: ~F.array_contains(gone, k)), "\n")
-    return F.when(gone.isNull(), text).otherwise(cut)
+_LINE = np.uint64(0xA0761D6478BD642F)
 
 
 def run_hashes(words: np.ndarray, run: int = RUN) -> np.ndarray:
     """Hashes of all runs of `run` words."""
     n = len(words)
-    power, inverse = powers(n + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[:n])])
-    return mix((sums[run:] - sums[: n + 1 - run]) * inverse[: n + 1 - run]) if n >= run else np.zeros(0, np.uint64)
+    return sequence_hashes(words, np.arange(n + 1 - run), np.arange(run, n + 1)) if n >= run else np.zeros(0, np.uint64)
+
+
+def sequence_hashes(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of words[start:end]; equal sequences have equal hashes wherever they stand."""
+    power, inverse = powers(len(words) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words * power[: len(words)])])
+    return mix((sums[ends] - sums[starts]) * inverse[starts])
 
 
 def _least(x: np.ndarray, window: int) -> np.ndarray:
@@ -199,88 +82,174 @@ def selected(hashes: np.ndarray, valid: np.ndarray, window: int = RUN) -> np.nda
     return np.flatnonzero(valid & (~_least(~_least(x, window), window) == hashes)) if len(hashes) else np.zeros(0, np.int64)
 
 
-def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """32-bit hashes of the words of all rows, the first word of each row, and the first word of each line."""
     data, offsets = raw(texts)
     starts, ends, first = word_spans(data, offsets)
-    return spans_hash(data, starts, ends) >> np.uint64(32), first
+    line = np.union1d(np.searchsorted(starts, np.flatnonzero(data == 10)), first[:-1])
+    return spans_hash(data, starts, ends) >> np.uint64(32), first, line[line < len(starts)]
 
 
 def prints_of(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """(id, prints): the selected run hashes of each document."""
+    """(id, print, at, n, new): the hash of each line and selected run of a document, the word where it begins, its words (0 for a run), and whether it is the first of its kind in the document."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ids = as_array(batch.column(0)).to_numpy(zero_copy_only=False)
             for at, part in slices(as_array(batch.column(1))):
-                words, first = _words(part)
+                words, first, line = _words(part)
                 hashes = run_hashes(words, run)
                 # run - 1 invalid places at least stand between two rows, so that no window sees valid ones of both
                 stop = np.repeat(first[1:], np.diff(first))[: len(hashes)]
-                prints = selected(hashes, np.arange(len(hashes)) + run <= stop, run)
-                to = pa.array(np.searchsorted(prints, first).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.ListArray.from_arrays(to, pa.array(hashes[prints].view(np.int64)))], ["id", "prints"])
+                runs = selected(hashes, np.arange(len(hashes)) + run <= stop, run)
+                ends = np.append(line[1:], len(words))
+                prints = np.concatenate([hashes[runs], sequence_hashes(words, line, ends) ^ _LINE])
+                place, n = np.concatenate([runs, line]), np.concatenate([np.zeros(len(runs), np.int64), ends - line])
+                row = np.searchsorted(first, place, "right") - 1
+                order = np.lexsort((place, prints, row))
+                prints, place, n, row = prints[order], place[order], n[order], row[order]
+                new = np.ones(len(row), bool)
+                new[1:] = (prints[1:] != prints[:-1]) | (row[1:] != row[:-1])
+                columns = [ids[at + row], prints.view(np.int64), (place - first[row]).astype(np.int32), n.astype(np.int32), new]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["id", "print", "at", "n", "new"])
+
+    return docs.select("doc_id", "text").mapInArrow(make, "id long, print long, at int, n int, new boolean")
+
+
+def shared_prints(docs: DataFrame, run: int = RUN) -> DataFrame:
+    """(id, print, at, n, new, a, q, df): the prints of each document that an earlier one holds, with the earliest holder, its place there, and the number of holders."""
+    prints = prints_of(docs, run)
+    held = prints.where("new").groupBy("print").agg(F.count("*").alias("df"), F.min("id").alias("a"), F.min_by("at", "id").alias("q")).where("df > 1")
+    return prints.join(held.hint("merge"), "print").where("id > a")
+
+
+def matches(shared: DataFrame, rare: int = RARE) -> DataFrame:
+    """(b, a, at, q, n, rare): equal lines and runs of the pairs (b, a) that are to be aligned."""
+    own = shared.select(F.col("id").alias("b"), "a", "at", "q", "n", (F.col("n") > 0) & (F.col("df") <= rare))
+    # the further holders of a rare line; each has been compared with the earliest already
+    few = shared.where((F.col("n") > 0) & F.col("df").between(3, rare))
+    x, y = few.where("new").select("print", F.col("id").alias("a"), F.col("at").alias("q")), few.select("print", F.col("id").alias("b"), "at", "n")
+    return own.toDF("b", "a", "at", "q", "n", "rare").union(x.join(y.hint("merge"), "print").where("a < b").select("b", "a", "at", "q", "n", F.lit(True)))
+
+
+def _rising(pairs: list[tuple[int, int]]) -> list[int]:
+    """The longest subsequence, by index, of pairs ascending in the first, that ascends in the second."""
+    tails: list[int] = []
+    at: list[int] = []
+    before = [-1] * len(pairs)
+    for k, (_, y) in enumerate(pairs):
+        i = bisect_left(tails, y)
+        before[k] = at[i - 1] if i else -1
+        tails[i : i + 1] = [y]
+        at[i : i + 1] = [k]
+    out, k = [], at[-1] if at else -1
+    while k >= 0:
+        out.append(k)
+        k = before[k]
+    return out[::-1]
 
-    return docs.select("doc_id", "text").mapInArrow(make, "id long, prints array<long>")
 
+def joined(pair: np.ndarray, at: np.ndarray, q: np.ndarray, n: np.ndarray, rare: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Blocks of matches that continue each other in both documents of a pair: (pair, start, end, start in the other, rare)."""
+    order = np.lexsort((at, at - q, pair))
+    pair, at, q, n, rare = pair[order], at[order], q[order], n[order], rare[order]
+    if not len(pair):
+        return pair, at, at, q, rare
+    turn = np.ones(len(pair), bool)
+    turn[1:] = (pair[1:] != pair[:-1]) | ((at - q)[1:] != (at - q)[:-1])
+    reach = (np.cumsum(turn) - 1) * (1 << 40) + at + n
+    reach = np.maximum.accumulate(reach)
+    turn[1:] |= at[1:] > (reach[:-1] & ((1 << 40) - 1))
+    first = np.flatnonzero(turn)
+    last = np.append(first[1:], len(pair)) - 1
+    return pair[first], at[first], reach[last] & ((1 << 40) - 1), q[first], np.logical_or.reduceat(rare, first)
+
+
+def patience(blocks: list[tuple[int, int]]) -> list[bool]:
+    """Whether each block (start, start in the other document) of one pair is on the longest sequence of blocks that rises in both documents."""
+    order = sorted(range(len(blocks)), key=lambda k: (blocks[k][0], -blocks[k][1]))
+    out = [False] * len(blocks)
+    for k in _rising([blocks[k] for k in order]):
+        out[order[k]] = True
+    return out
+
+
+def aligned(pair: np.ndarray, start: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Whether each block is aligned in order; the others are moved or repeated and stand by themselves."""
+    out = np.ones(len(pair), bool)
+    order = np.lexsort((other, start, pair))
+    p, s, o = pair[order], start[order], other[order]
+    falls = (p[1:] == p[:-1]) & ((s[1:] == s[:-1]) | (o[1:] <= o[:-1]))
+    for k in np.unique(p[1:][falls]):  # all other pairs rise in both documents as they are
+        own = order[np.searchsorted(p, k) : np.searchsorted(p, k, "right")]
+        out[own] = patience(list(zip(start[own].tolist(), other[own].tolist(), strict=True)))
+    return out
+
+
+def blocks_of(found: DataFrame, run: int = RUN, least: int = BLOCK) -> DataFrame:
+    """(b, k, start, end, a, q): the common blocks of aligned pairs, numbered, as words of b and where they begin in a; those too short to go without an extension only with a rare line."""
+    lists = found.groupBy("b").agg(*(F.collect_list(c).alias(c) for c in ("a", "at", "q", "n", "rare")))
 
-def words_of(texts: DataFrame) -> DataFrame:
-    """(id, words): the words of each (id, text) as 32-bit hashes, in bytes."""
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = np.diff(as_array(batch.column(1)).offsets.to_numpy())
+            a, at, q, n, rare = (as_array(batch.column(k)).flatten().to_numpy(zero_copy_only=False) for k in range(1, 6))
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((a, row))
+            turn = np.ones(len(row), bool)
+            turn[1:] = (row[order][1:] != row[order][:-1]) | (a[order][1:] != a[order][:-1])
+            number = np.cumsum(turn) - 1
+            head = order[turn]
+            n = np.where(n > 0, n, run).astype(np.int64)
+            pair, start, end, other, rare = joined(number, at[order].astype(np.int64), q[order].astype(np.int64), n[order], rare[order])
+            good = (end - start >= least) | rare
+            pair, start, end, other = pair[good], start[good], end[good], other[good]
+            by = np.lexsort((start, ~aligned(pair, start, other), row[head][pair]))
+            pair, start, end, other = pair[by], start[by], end[by], other[by]
+            of = row[head][pair]
+            k = np.arange(len(of)) - np.searchsorted(of, of)
+            columns = [batch.column(0).take(pa.array(of)), *(pa.array(x.astype(np.int32)) for x in (k, start, end)), pa.array(a[head][pair]), pa.array(other.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["b", "k", "start", "end", "a", "q"])
+
+    return lists.mapInArrow(make, "b long, k int, start int, end int, a long, q int")
+
+
+def surroundings(ends: DataFrame, docs: DataFrame, size: int = RUN - 1) -> DataFrame:
+    """(a, q, left, words): for each end (a, q, left) of a block, the `size` words before it or from it on, as 32-bit hashes."""
+    asked = ends.groupBy("a").agg(F.collect_list("q").alias("q"), F.collect_list("left").alias("left"))
+    both = docs.select("doc_id", "text").join(asked.hint("shuffle_hash"), docs.doc_id == asked.a).select("a", "text", "q", "left")
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, part in slices(as_array(batch.column(1))):
-                words, first = _words(part)
+                words, first, _ = _words(part)
                 words = words.astype(np.uint32)
-                own = pa.array([words[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), own], ["id", "words"])
-
-    return texts.select("id", "text").mapInArrow(make, "id long, words binary")
-
-
-def common_runs(a: np.ndarray, b: np.ndarray, run: int = RUN) -> list[tuple[int, int]]:
-    """(first word, word after the last) of the stretches of b all of whose words stand in a run that a holds."""
-    at = np.flatnonzero(np.isin(run_hashes(b, run), run_hashes(a, run)))
-    if not len(at):
-        return []
-    cut = np.flatnonzero(np.diff(at) > run)
-    return list(zip(at[np.append(0, cut + 1)].tolist(), (at[np.append(cut, len(at) - 1)] + run).tolist(), strict=True))
-
-
-def run_pairs(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """(b, a): each document and the earliest holders of its selected run hashes."""
-    prints = prints_of(docs, run).select("id", F.explode(F.array_distinct("prints")).alias("print"))
-    held = prints.withColumn("a", F.min("id").over(Window.partitionBy("print")))
-    return held.where("id > a").select(F.col("id").alias("b"), "a").distinct()
-
-
-def shared_runs(pairs: DataFrame, whole: DataFrame, rest: DataFrame, run: int = RUN) -> DataFrame:
-    """(id, runs): the first words of the stretches that go from each text of `rest` and those after their last.
-
-    `rest` holds what the lines left of the texts of `whole`; earlier documents count with their whole text.
-    """
-    later = pairs.join(words_of(rest).select(F.col("id").alias("b"), F.col("words").alias("y")), "b")
-    both = later.join(words_of(whole).select(F.col("id").alias("a"), F.col("words").alias("x")), "a").select("b", "x", "y")
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = ([np.frombuffer(v.as_buffer(), np.uint32).astype(np.uint64) for v in as_array(batch.column(k))] for k in (1, 2))
-            runs = [[k for r in common_runs(*args, run) for k in r] for args in zip(x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.list_(pa.int32()))], ["b", "runs"])
-
-    found = both.mapInArrow(find, "b long, runs array<int>").where("size(runs) > 0")
-    return found.groupBy(F.col("b").alias("id")).agg(F.flatten(F.collect_list("runs")).alias("runs"))
-
+                asked = [as_array(batch.column(k)).slice(at, len(part)) for k in (2, 3)]
+                sizes = np.diff(asked[0].offsets.to_numpy())
+                q, left = (x.flatten().to_numpy(zero_copy_only=False) for x in asked)
+                row = np.repeat(np.arange(len(part)), sizes)
+                place = first[row] + q
+                low, high = np.where(left, np.maximum(place - size, first[row]), place), np.where(left, place, np.minimum(place + size, first[row + 1]))
+                made = [words[i:j].tobytes() for i, j in zip(low.tolist(), high.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at + row)), pa.array(q), pa.array(left), pa.array(made, pa.binary())], ["a", "q", "left", "words"])
+
+    return both.mapInArrow(make, "a long, q int, left boolean, words binary")
+
+
+def agreement(words: np.ndarray, place: int, other: np.ndarray, left: bool) -> int:
+    """How many words before the place, or from it on, agree with the other document's."""
+    if left:
+        own, other = words[max(0, place - len(other)) : place][::-1], other[::-1]
+    else:
+        own = words[place : place + len(other)]
+    k = min(len(own), len(other))
+    differs = np.flatnonzero(own[:k] != other[:k])
+    return int(differs[0]) if len(differs) else k
 
-def without_runs(text: str, runs: list[int]) -> tuple[str, int]:
-    """The text without the words of the runs (first, after the last, first, ...), and the number of lines that lost any.
 
-    What follows a cut word on its line, up to the next word, goes with it; a line of which no word is left goes.
-    """
-    data, offsets = raw(pa.array([text]))
-    starts, ends, _ = word_spans(data, offsets)
-    gone = np.zeros(len(starts) + 1, np.int64)
-    np.add.at(gone, runs[::2], 1)
-    np.add.at(gone, runs[1::2], -1)
-    gone = np.cumsum(gone)[:-1] > 0
+def without_words(text: str, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> tuple[str, int]:
+    """The text without the words marked as gone, and the number of lines that lost any."""
+    data = np.frombuffer(text.encode(), np.uint8)
     newline = np.flatnonzero(data == 10)
     after = np.append(newline, len(data))
     to = np.minimum(np.append(starts[1:], len(data)), after[np.searchsorted(after, ends)])
@@ -300,50 +269,110 @@ def without_runs(text: str, runs: list[int]) -> tuple[str, int]:
     return data[keep].tobytes().decode(), len(lost)
 
 
-def _cut(docs: DataFrame, least: int, run: int) -> DataFrame:
-    """(id, text, lines_removed) of each document that loses any; `docs` has one row an id."""
-    gone = cut_lineage(shared_lines(docs, least))
-    pairs = cut_lineage(run_pairs(docs, run))
-    ids = pairs.selectExpr("b as id", "false as holds", "true as seeks").union(pairs.selectExpr("a", "true", "false")).union(gone.selectExpr("id", "false", "false"))
-    ids = ids.groupBy("id").agg(F.max("holds").alias("holds"), F.max("seeks").alias("seeks"))
-    involved = docs.join(ids.join(gone, "id", "left").withColumnRenamed("id", "__id").hint("shuffle_hash"), F.col("doc_id") == F.col("__id"))
-    involved = cut_lineage(involved.select(F.col("doc_id").alias("id"), "text", "gone", "holds", "seeks"))
-    rest = involved.select("id", _kept(F.col("text"), F.col("gone")).alias("text"), F.coalesce(F.size("gone"), F.lit(0)).alias("n"), "seeks")
-    runs = cut_lineage(shared_runs(pairs, involved.where("holds"), rest.where("seeks"), run))
-    both = rest.join(runs, "id", "left").where("n > 0 or runs is not null").select("id", "text", "n", "runs")
+def cut(text: str, found: list[tuple[int, int, int, bool, bytes]], least: int = BLOCK) -> tuple[str, int]:
+    """The text without the blocks, and the number of lines that lost any words.
+
+    `found` has for each end of a block its number, start, end, whether it is the beginning, and the other document's words there;
+    the block is extended as far as both documents agree.
+    """
+    data, offsets = raw(pa.array([text], pa.string()))
+    starts, ends, _ = word_spans(data, offsets)
+    words = (spans_hash(data, starts, ends) >> np.uint64(32)).astype(np.uint32)
+    blocks: dict[int, list[int]] = {}
+    for k, start, end, left, other in found:
+        block = blocks.setdefault(k, [start, end])
+        other = np.frombuffer(other, np.uint32)
+        if left:
+            block[0] = start - agreement(words, start, other, True)
+        else:
+            block[1] = end + agreement(words, end, other, False)
+    gone = np.zeros(len(words) + 1, np.int64)
+    for start, end in blocks.values():
+        if end - start >= least:
+            gone[start] += 1
+            gone[end] -= 1
+    gone = np.cumsum(gone)[:-1] > 0
+    return without_words(text, starts, ends, gone) if gone.any() else (text, 0)
+
+
+_FOUND = ("k", "start", "end", "left", "words")
+
+
+def cuts_of(docs: DataFrame, rare: int = RARE, least: int = BLOCK, run: int = RUN) -> DataFrame:
+    """(id, k, start, end, left, words): lists of the ends of the blocks of each document that any are found in, with the earlier document's words there; `docs` has one row an id."""
+    scratch = Scratch(docs.sparkSession)
+    shared = scratch.keep(shared_prints(docs, run), "shared")
+    blocks = scratch.keep(blocks_of(matches(shared, rare), run, least), "blocks")
+    scratch.drop(shared)
+    sides = F.explode(F.array(F.struct(F.col("q"), F.lit(True).alias("left")), F.struct((F.col("q") + F.col("end") - F.col("start")).alias("q"), F.lit(False).alias("left"))))
+    ends = blocks.select("b", "k", "start", "end", "a", sides.alias("x")).select("b", "k", "start", "end", "a", "x.q", "x.left")
+    around = scratch.keep(surroundings(ends.select("a", "q", "left").distinct(), docs, run - 1), "surroundings")
+    lists = ends.join(around.hint("merge"), ["a", "q", "left"]).groupBy(F.col("b").alias("id")).agg(*(F.collect_list(c).alias(c) for c in _FOUND))
+    cuts = scratch.keep(lists, "cuts")
+    scratch.drop(blocks, around)
+    return cuts
+
+
+def _applied(joined: DataFrame, least: int) -> DataFrame:
+    """The rows (doc_id, text, the lists of cuts, others), with the blocks cut: (doc_id, text, lines_removed, others)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, n, runs = (batch.column(k).to_pylist() for k in (1, 2, 3))
-            made = [without_runs(t, r) if r else (t, 0) for t, r in zip(text, runs, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m[0] for m in made], pa.string()), pa.array([m[1] + k for m, k in zip(made, n, strict=True)], pa.int32())], ["id", "text", "lines_removed"])
+            text, lost = as_array(batch.column(1)), np.zeros(batch.num_rows, np.int32)
+            some = np.flatnonzero(as_array(batch.column(2)).is_valid().to_numpy(zero_copy_only=False))
+            if len(some):
+                texts = text.to_pylist()
+                lists = [as_array(batch.column(k)).take(pa.array(some)).to_pylist() for k in range(2, 7)]
+                for k, *found in zip(some.tolist(), *lists, strict=True):
+                    if texts[k] is not None:
+                        texts[k], lost[k] = cut(texts[k], list(zip(*found, strict=True)), least)
+                text = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), text, pa.array(lost), *batch.columns[7:]], ["doc_id", "text", "lines_removed", *batch.schema.names[7:]])
 
-    return both.mapInArrow(make, "id long, text string, lines_removed int")
+    return joined.mapInArrow(make, "doc_id long, text string, lines_removed int" + (", others " + joined.schema["others"].dataType.simpleString() if "others" in joined.columns else ""))
 
 
-def deduplicated(docs: DataFrame, least: int = MIN_CHARS, run: int = RUN) -> DataFrame:
-    """(doc_id, text, lines_removed) of every document with an id, without the blocks and passages that earlier documents hold.
+def deduplicated(docs: DataFrame, rare: int = RARE, least: int = BLOCK, run: int = RUN) -> DataFrame:
+    """(doc_id, text, lines_removed) of every document with an id, without the blocks that earlier documents hold.
 
     lines_removed counts the lines that went, whole or in part.
     """
-    docs = one_row_per_id(docs.select("doc_id", "text"))
-    cut = _cut(docs, least, run).select("id", F.col("text").alias("rest"), "lines_removed")
-    joined = docs.join(cut.hint("shuffle_hash"), docs.doc_id == cut.id, "left")
-    return joined.select("doc_id", F.when(F.col("id").isNull(), F.col("text")).otherwise(F.col("rest")).alias("text"), F.coalesce("lines_removed", F.lit(0)).alias("lines_removed"))
+    docs = one_row_per_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    cuts = cuts_of(docs, rare, least, run)
+    both = docs.join(cuts.hint("shuffle_hash"), docs.doc_id == cuts.id, "left").select("doc_id", "text", *_FOUND)
+    return _applied(both, least)
 
 
-def without_shared_lines(docs: DataFrame, least: int = MIN_CHARS, run: int = RUN) -> DataFrame:
-    """The documents with shared blocks and passages cut and n_chars, where there is such a column, renewed for those that lost any.
+def without_shared_lines(docs: DataFrame, rare: int = RARE, least: int = BLOCK, run: int = RUN) -> DataFrame:
+    """The documents with shared blocks cut and n_chars, where there is such a column, renewed for those that lost any.
 
     A document of which nothing but white space is left after a cut goes; all others stay.
     """
-    whole = one_row_per_id(docs)
-    gone = _cut(whole.select("doc_id", "text"), least, run).select(F.col("id").alias("__quillon_id"), F.col("text").alias("__quillon_text"))
-    cut = whole.join(gone.hint("shuffle_hash"), whole.doc_id == F.col("__quillon_id"), "left")
-    touched = F.col("__quillon_id").isNotNull()
-    cut = cut.withColumn("text", F.when(touched, F.col("__quillon_text")).otherwise(F.col("text")))
-    cut = cut.where(~touched | (F.length(F.regexp_replace("text", r"\s+", "")) > 0))
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        cut = cut.withColumn("n_chars", F.when(touched, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return cut.select(*(F.col(f"`{c}`") for c in docs.columns)).unionByName(docs.where("doc_id is null"))
+    known = docs.where("doc_id is not null")
+    more = None
+    if shared_ids(docs):
+        first = one_row_per_id(docs)
+        more = known.dropDuplicates(["doc_id", "text"]).join(first.select(F.col("doc_id").alias("__quillon_id"), F.col("text").alias("__quillon_text")).hint("merge"), (F.col("doc_id") == F.col("__quillon_id")) & F.col("text").eqNullSafe(F.col("__quillon_text")), "left_anti")
+        known = first
+    cuts = cuts_of(known.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), rare, least, run)
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    others = F.struct(*(F.col(n) for n in names))
+    both = known.toDF(*names)
+    key, text = names[docs.columns.index("doc_id")], names[docs.columns.index("text")]
+    both = both.join(cuts.hint("shuffle_hash"), both[key] == cuts.id, "left").select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), *_FOUND, others.withField(text, F.lit(None).cast("string")).alias("others"))
+    done = _applied(both, least)
+    touched = F.col("lines_removed") > 0
+    done = done.where(~touched | (F.length(F.regexp_replace("text", r"\s+", "")) > 0))
+    columns = []
+    for name, c in zip(names, docs.columns, strict=True):
+        column = F.col(f"others.{name}")
+        if c == "text":
+            column = F.col("text")
+        elif c == "n_chars":
+            column = F.when(touched, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(column)
+        columns.append(column)
+    out = done.select(*(x.alias(n) for x, n in zip(columns, names, strict=True))).toDF(*docs.columns)
+    for rest in (more, docs.where("doc_id is null")):
+        if rest is not None:
+            out = out.unionByName(rest)
+    return out

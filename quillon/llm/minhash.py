@@ -10,7 +10,9 @@ The threshold lies in the gap between near copies and other pairs: one edited wo
 shingles, so that copies with a tenth of their words edited have a similarity of about 0.6.
 
 Every candidate group is verified with exact Jaccard similarity over all word shingles.
-No bucket, partner or candidate is capped. Documents are linked in rounds, each of which leaves
+No bucket, partner or candidate is capped. A bucket's least document comes from an aggregation with
+map-side combining and is joined back, so that no bucket is gathered in one task and a hot one can be
+split. Nothing is broadcast. Documents are linked in rounds, each of which leaves
 to the next only pairs that are not yet in one group, so that a group of n copies costs about n
 verifications and not n*n/2:
 
@@ -33,12 +35,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.common import as_array, mix, one_row_per_id, shingles, slices, word_hashes
+from quillon.llm.common import as_array, mix, one_row_per_id, shared_ids, shingles, slices, word_hashes
 from quillon.llm.components import forest_roots, merged_roots
-from quillon.session import cut_lineage
+from quillon.session import Scratch
 
 THRESHOLD = 0.55
 BANDS = 9
@@ -116,91 +118,96 @@ def shingle_sets(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "id long, items binary")
 
 
-def jaccard(pairs: DataFrame, docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(a, b, similarity) of document pairs (a, b), exact over shingle sets."""
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = cut_lineage(shingle_sets(docs.join(ids, docs.doc_id == ids.id, "left_semi"), width))
-    with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
-    both = with_b.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").select("a", "b", "x", "y")
+def jaccard(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similar) of document pairs (a, b) by the exact similarity of their shingle sets (id, items)."""
+    with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")).hint("merge"), "b")
+    both = with_b.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")).hint("merge"), "a").select("a", "b", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.empty(batch.num_rows)
+            out = np.zeros(batch.num_rows, bool)
             for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 p, q = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
+                if min(len(p), len(q)) < threshold * max(len(p), len(q)) - 1e-9:
+                    continue
                 joint = np.concatenate([p, q])
                 joint.sort(kind="stable")
                 common = int(np.count_nonzero(joint[1:] == joint[:-1]))
-                out[k] = common / (len(joint) - common) if len(joint) else 0.0
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], ["a", "b", "similarity"])
+                out[k] = len(joint) > 0 and common >= threshold * (len(joint) - common)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], ["a", "b", "similar"])
 
-    return both.mapInArrow(run, "a long, b long, similarity double")
+    return both.mapInArrow(run, "a long, b long, similar boolean")
 
 
 def near_duplicate_groups(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
     """(doc_id, group_id, group_size, kept) for every document with an id; group_id is the least id of its group, which is kept."""
-    docs = one_row_per_id(docs.select("doc_id", "text"))
-    sketched = cut_lineage(sketch(docs, bands, rows, width))
+    grouped = _grouped(one_row_per_id(docs.select("doc_id", "text")), threshold, bands, rows, width)
+    sizes = grouped.groupBy("group_id").agg(F.count("*").alias("group_size")).hint("merge")
+    return grouped.join(sizes, "group_id").select(F.col("id").alias("doc_id"), "group_id", "group_size", (F.col("id") == F.col("group_id")).alias("kept"))
+
+
+def _grouped(docs: DataFrame, threshold: float, bands: int, rows: int, width: int) -> DataFrame:
+    """(id, group_id) of `docs`, which has one row an id."""
+    scratch = Scratch(docs.sparkSession)
+    sketched = scratch.keep(sketch(docs, bands, rows, width), "sketch")
     signature = [*(f"u{i}" for i in range(bands)), *(f"v{i}" for i in range(bands))]
     worded = sketched.where("n > 0")
-    sets = worded.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), *(F.first(x).alias(x) for x in signature))
-    keys = F.array(*(F.xxhash64(F.lit(i * bands + j), f"u{i}", f"v{j}") for i in range(bands) for j in range(bands)))
-    bucket = Window.partitionBy("key")
-    shared = (
-        sets.select("rep", "n", F.explode(keys).alias("key"))
-        .withColumns({"least": F.min(F.struct("rep", "n")).over(bucket), "last": F.max("rep").over(bucket)})
-        .where("last > least.rep")
-        .select("key", "rep", "n", F.col("least.rep").alias("pivot"), F.col("least.n").alias("pivot_n"))
-    )
-    buckets = cut_lineage(shared)
-    close = F.least("n", "pivot_n") >= F.lit(threshold) * F.greatest("n", "pivot_n") - F.lit(1e-9)
-    stars = buckets.where("rep > pivot").where(close).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    tested = cut_lineage(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"))
-    roots = forest_roots(_verified(tested, docs, threshold, width))
+    distinct = scratch.keep(worded.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"), *(F.first(x).alias(x) for x in signature)), "distinct")
+    tables = F.array(*(F.xxhash64(F.lit(i * bands + j), f"u{i}", f"v{j}") for i in range(bands) for j in range(bands)))
+    keys = distinct.select("rep", F.explode(tables).alias("key"))
+    pivots = keys.groupBy("key").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("last > pivot").select("key", "pivot")
+    buckets = scratch.keep(keys.join(pivots.hint("merge"), "key").where("rep > pivot").select("key", "rep", "pivot"), "buckets")
+    nearest = buckets.groupBy("rep").agg(F.min("pivot").alias("a")).select("a", F.col("rep").alias("b"))
+    ids = buckets.select(F.col("rep").alias("id")).union(buckets.select("pivot")).distinct()
+    sets = scratch.keep(shingle_sets(docs.join(ids.hint("merge"), docs.doc_id == ids.id, "left_semi"), width), "sets")
+    first = scratch.keep(jaccard(nearest, sets, threshold), "first")
+    roots = scratch.keep(forest_roots(first.where("similar").select("a", "b")), "roots")
+    stars = buckets.select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
     for step in (2, 3):
         if step == 2:
-            pairs = _apart(stars, roots).join(tested, ["a", "b"], "left_anti")
+            pairs = _apart(stars, roots).join(first.where("not similar").select("a", "b").hint("merge"), ["a", "b"], "left_anti")
         else:
-            pairs = _across(buckets, roots, threshold).join(stars, ["a", "b"], "left_anti")
-        pairs = cut_lineage(pairs)
+            pairs = _across(buckets, roots).join(stars.hint("merge"), ["a", "b"], "left_anti")
+        pairs = scratch.keep(pairs, "pairs")
         if not pairs.isEmpty():
-            more = _verified(pairs, docs, threshold, width)
+            more = scratch.keep(jaccard(pairs, sets, threshold).where("similar").select("a", "b"), "more")
             if not more.isEmpty():
-                roots = cut_lineage(merged_roots(roots, more))
-    members = worded.select("id", "f1", "f2", "n").join(sets.select("f1", "f2", "n", "rep"), ["f1", "f2", "n"])
-    grouped = members.join(roots, members.rep == roots.node, "left").select("id", F.coalesce("root", "rep").alias("group_id"))
-    alone = sketched.where("n = 0").select("id", F.col("id").alias("group_id"))
-    grouped = cut_lineage(grouped.union(alone))
-    sizes = grouped.groupBy("group_id").agg(F.count("*").alias("group_size"))
-    return grouped.join(sizes, "group_id").select(F.col("id").alias("doc_id"), "group_id", "group_size", (F.col("id") == F.col("group_id")).alias("kept"))
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, threshold: float, width: int) -> DataFrame:
-    return cut_lineage(jaccard(pairs, docs, width).where(F.col("similarity") >= threshold).select("a", "b"))
+                roots = scratch.keep(merged_roots(roots, more), "roots")
+        scratch.drop(pairs)
+    scratch.drop(sets, buckets, first)
+    members = worded.select("id", "f1", "f2", "n").join(distinct.select("f1", "f2", "n", "rep").hint("merge"), ["f1", "f2", "n"])
+    grouped = members.join(roots.hint("merge"), members.rep == roots.node, "left").select("id", F.coalesce("root", "rep").alias("group_id"))
+    grouped = scratch.keep(grouped.union(sketched.where("n = 0").select("id", F.col("id").alias("group_id"))), "grouped")
+    scratch.drop(sketched, distinct, roots)
+    return grouped
 
 
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs that aren't in one group so far."""
-    ra, rb = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in "ab")
+    ra, rb = (roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")).hint("merge") for x in "ab")
     return pairs.join(ra, "a", "left").join(rb, "b", "left").where("coalesce(ra, a) <> coalesce(rb, b)").select("a", "b")
 
 
-def _across(buckets: DataFrame, roots: DataFrame, threshold: float) -> DataFrame:
-    """All pairs of a bucket whose members aren't in one group and whose sizes allow the threshold."""
-    root = buckets.join(roots, buckets.rep == roots.node, "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("root"))
-    split = root.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("key")
-    left = root.join(split, "key", "left_semi")
-    x, y = (left.select("key", F.col("rep").alias(a), F.col("n").alias(f"n{a}"), F.col("root").alias(f"r{a}")) for a in "ab")
-    fits = (F.least("na", "nb") >= F.lit(threshold) * F.greatest("na", "nb") - F.lit(1e-9)) & (F.col("ra") != F.col("rb"))
-    return x.join(y, "key").where("a < b").where(fits).select("a", "b").distinct()
+def _across(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """All pairs of a bucket whose members aren't in one group."""
+    of = roots.select(F.col("node").alias("rep"), "root").hint("merge")
+    member = buckets.select("key", "rep").union(buckets.select("key", "pivot").distinct())
+    member = member.join(of, "rep", "left").select("key", "rep", F.coalesce("root", "rep").alias("root"))
+    split = member.groupBy("key").agg(F.min("root").alias("p"), F.max("root").alias("q")).where("p <> q").select("key")
+    left = member.join(split.hint("merge"), "key", "left_semi")
+    x, y = (left.select("key", F.col("rep").alias(a), F.col("root").alias(f"r{a}")) for a in "ab")
+    return x.join(y.hint("merge"), "key").where("a < b and ra <> rb").select("a", "b").distinct()
 
 
-def without_near_duplicates(docs: DataFrame, **parameters: float) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS, width: int = WIDTH) -> DataFrame:
     """The documents without those that are near copies of one with a lesser id; columns as they were.
 
-    Rows with a null id stay. Of rows that share an id one stays.
+    Rows with a null id stay. Of rows that share id and text one stays; rows that share an id but not the text stay or go together.
     """
-    gone = near_duplicate_groups(docs, **parameters).where("not kept").select(F.col("doc_id").alias("__quillon_gone"))
-    rest = one_row_per_id(docs)
-    kept = rest.join(gone, rest.doc_id == F.col("__quillon_gone"), "left_anti")
+    known = docs.where("doc_id is not null")
+    if shared_ids(docs):
+        known = known.dropDuplicates(["doc_id", "text"])
+    grouped = _grouped(one_row_per_id(docs.select("doc_id", "text")), threshold, bands, rows, width)
+    gone = grouped.where("id <> group_id").select(F.col("id").alias("__quillon_gone")).hint("merge")
+    kept = known.join(gone, known.doc_id == F.col("__quillon_gone"), "left_anti")
     return kept.unionByName(docs.where("doc_id is null"))

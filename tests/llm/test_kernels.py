@@ -14,7 +14,7 @@ from quillon.llm import bpe, classifier, credentials, decontaminate, htmltext, l
 from quillon.llm.common import shingles, word_hashes
 
 
-# ---------------------------------------------------------------- WebP
+# WebP
 
 _STYLES = [*webp._STYLES, {"transforms": ("predict", "cross", "green"), "cache_bits": 8, "refer": True, "meta_bits": 3}, {}]
 
@@ -54,7 +54,7 @@ def test_webp_in_extended_container() -> None:
     assert (webp.decode(wrapped)[2] == pixels).all()
 
 
-# ---------------------------------------------------------------- HTML
+# HTML
 
 
 def _plain_stretches(lengths: list[int], window: int, surge: int) -> list[tuple[int, int]]:
@@ -89,7 +89,7 @@ def test_html_odd_pages(page: str) -> None:
     assert htmltext.main_text(None) == (None, None, None)
 
 
-# ---------------------------------------------------------------- secrets
+# secrets
 
 _HEX = "0123456789abcdef0123456789abcdef01234567"
 
@@ -123,7 +123,7 @@ def test_secrets_long_text_is_linear() -> None:
     assert len(list(credentials.found_in(text))) == 3000
 
 
-# ---------------------------------------------------------------- Hilbert
+# Hilbert
 
 
 @pytest.mark.parametrize(("dims", "bits"), [(2, 4), (3, 3), (4, 2), (3, 5)])
@@ -134,7 +134,7 @@ def test_curve_visits_each_cell_once_by_single_steps(dims: int, bits: int) -> No
     assert (np.abs(np.diff(cells[np.argsort(at)], axis=0)).sum(axis=1) == 1).all()
 
 
-# ---------------------------------------------------------------- rules
+# rules
 
 
 def test_inverted_index_fires_as_subsets_do() -> None:
@@ -147,32 +147,32 @@ def test_inverted_index_fires_as_subsets_do() -> None:
         assert index.fired(held) == [k for k, r in enumerate(rules) if set(r[0]) <= set(held)]
 
 
-# ---------------------------------------------------------------- line dedup
+# line dedup
 
 
-def _hashed(*texts: str) -> list[list[int]]:
-    hashes, _, first = linededup.line_hashes(pa.array(texts))
-    return [hashes[i:j].tolist() for i, j in zip(first[:-1], first[1:], strict=True)]
-
-
-@given(st.lists(st.sampled_from("abcdef"), max_size=14), st.lists(st.sampled_from("abcdef"), max_size=14))
+@given(st.lists(st.tuples(st.integers(0, 9), st.integers(0, 9)), max_size=9))
 @settings(max_examples=200, deadline=None)
-def test_patience_aligns_equal_lines_in_order(a: list[str], b: list[str]) -> None:
-    pairs = linededup.patience([ord(x) for x in a], [ord(x) for x in b])
-    assert all(a[i] == b[j] for i, j in pairs)
-    assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:], strict=False))
-    ranges = 0
-    while ranges < min(len(a), len(b)) and a[ranges] == b[ranges]:
-        ranges += 1
-    assert pairs[:ranges] == [(k, k) for k in range(ranges)]
+def test_patience_takes_a_longest_rising_sequence(blocks: list[tuple[int, int]]) -> None:
+    taken = sorted(b for b, t in zip(blocks, linededup.patience(blocks), strict=True) if t)
+    assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(taken, taken[1:], strict=False))
+    longest = [1] * len(blocks)
+    order = sorted(blocks)
+    for k, y in enumerate(order):
+        longest[k] = 1 + max((longest[i] for i, x in enumerate(order[:k]) if x[0] < y[0] and x[1] < y[1]), default=0)
+    assert len(taken) == max(longest, default=0)
 
 
-def test_lines_are_trimmed_and_counted() -> None:
-    one, two = _hashed("a\n  b \n\nc", "b\n")
-    assert len(one) == 4 and len(two) == 2 and one[1] == two[0] and one[2] == two[1]
+@given(st.lists(st.tuples(st.integers(0, 2), st.integers(0, 30), st.integers(0, 30), st.integers(1, 9), st.booleans()), max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_blocks_are_the_joined_matches(found: list[tuple]) -> None:
+    columns = [np.array([f[k] for f in found], kind) for k, kind in enumerate([np.int64] * 4 + [bool])]
+    pair, start, end, other, _ = linededup.joined(*columns)
+    covered = {(p, w, w - s + q) for p, s, e, q in zip(pair, start, end, other, strict=True) for w in range(s, e)}
+    assert covered == {(p, at + k, q + k) for p, at, q, n, _ in found for k in range(n)}
+    assert sum(end - start) == len(covered)
 
 
-# ---------------------------------------------------------------- decontamination
+# decontamination
 
 
 def _distance(pattern: str, text: str) -> int:
@@ -208,7 +208,7 @@ def test_matcher_finds_all_within_the_budget() -> None:
         assert matcher.find(text) == expected
 
 
-# ---------------------------------------------------------------- BPE
+# BPE
 
 
 @pytest.fixture(scope="module")
@@ -237,7 +237,7 @@ def test_bpe_agrees_with_a_public_library(encoder: bpe.Encoder, peer, texts: lis
     assert [bytes(made[i:j]).decode() for i, j in zip(at[:-1], at[1:], strict=True)] == texts
 
 
-# ---------------------------------------------------------------- MinHash
+# MinHash
 
 
 def test_band_hashes_estimate_similarity() -> None:
@@ -249,7 +249,7 @@ def test_band_hashes_estimate_similarity() -> None:
     assert abs((got[:, 0] == got[:, 1]).mean() - len(a & b) / len(a | b)) < 0.1
 
 
-# ---------------------------------------------------------------- classifier
+# classifier
 
 
 def test_classifier_on_held_out_texts() -> None:

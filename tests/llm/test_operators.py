@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pyarrow as pa
 import pytest
-from oracle import differences
+from tests.oracle import differences
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,7 +55,7 @@ def rows_of(df: DataFrame) -> list[tuple]:
     return [tuple(r) for r in df.collect()]
 
 
-# ---------------------------------------------------------------- odd rows
+# odd rows
 
 
 def test_minhash_odd_rows(odd: DataFrame, none: DataFrame) -> None:
@@ -149,7 +149,7 @@ def test_media_odd_rows(spark: SparkSession) -> None:
     assert rows_of(webp.decoded(webp.drawn(vectors.limit(0)))) == []
 
 
-# ---------------------------------------------------------------- brute force
+# brute force
 
 
 def _sets(texts: list[str]) -> list[set[int]]:
@@ -190,35 +190,6 @@ def test_components_against_union_find(spark: SparkSession) -> None:
     assert {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()} == root
 
 
-def _without_earlier(texts: list[str]) -> list[str]:
-    """Line dedup pair by pair, each document against every earlier one."""
-    lines = [t.split("\n") for t in texts]
-    first: dict[str, int] = {}
-    for k, own in enumerate(lines):
-        for x in own:
-            if len(x.strip()) >= linededup.MIN_CHARS:
-                first.setdefault(x.strip(), k)
-    out = []
-    for k, own in enumerate(lines):
-        gone: set[int] = set()
-        for a in {first[x.strip()] for x in own if len(x.strip()) >= linededup.MIN_CHARS} - {k}:
-            pa_, pb = [x.strip() for x in lines[a]], [x.strip() for x in own]
-            number = {x: n for n, x in enumerate(dict.fromkeys(pa_ + pb))}
-            gone.update(linededup.common_lines([number[x] for x in pa_], [number[x] for x in pb], [len(x) for x in pb]))
-        out.append("\n".join(x for n, x in enumerate(own) if n not in gone))
-    return out
-
-
-def test_line_dedup_against_all_documents(spark: SparkSession) -> None:
-    rng = random.Random(4)
-    rare = [f"a line number {k} that is long enough to be taken as a rare one" for k in range(25)]
-    texts = ["\n".join(rng.choice([*rare, "short", "", "other"]) for _ in range(rng.randint(1, 12))) for _ in range(60)]
-    got = {r.doc_id: r.text for r in linededup.deduplicated(docs_of(spark, texts)).collect()}
-    assert [got[k] for k in range(len(texts))] == _without_earlier(texts)
-    left = [x.strip() for t in got.values() for x in set(t.split("\n")) if len(x.strip()) >= linededup.MIN_CHARS]
-    assert len(left) == len(set(left))
-
-
 def test_planted_benchmark_passages(spark: SparkSession) -> None:
     rng = random.Random(8)
     words = [f"word{k}x" for k in range(500)]
@@ -258,7 +229,7 @@ def test_shards_prune_each_dimension(spark: SparkSession) -> None:
         assert hit < 0.75 * len(shards), column
 
 
-# ---------------------------------------------------------------- whole queries
+# whole queries
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
