@@ -10,8 +10,9 @@ item that lies in a document within its budget is found with its least distance.
 Items and documents are compared in a normal form: lower case, runs of ASCII characters that are
 neither letters nor digits as one space. Budgets and distances count its characters.
 
-The items are sent to the workers in chunks of at most CHUNK_CHARS characters; a larger benchmark
-takes one scan of the documents for each chunk.
+The items are sent to the workers in chunks of at most CHUNK_CHARS characters, so that the automaton of a worker is
+bounded however large the benchmark (some 100 bytes a character). A larger benchmark takes one scan of the documents for each chunk, one
+after the other, and what a scan leaves is written to the shared folder: no worker holds two automata at once.
 
 Defined results: null ids, null or empty texts and items without letters or digits match nothing; a
 document is reported once for each item that it holds, with the least distance over all its places
@@ -22,6 +23,7 @@ held exactly. Empty tables give empty results.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -31,9 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.common import as_array, kept_rows, raw, slices
+from quillon.session import Scratch
 
 RATE = 0.08
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 1_000_000
 
 _FORM = np.full(256, 32, np.uint8)
 _FORM[[*range(48, 58), *range(97, 123), *range(128, 256)]] = [*range(48, 58), *range(97, 123), *range(128, 256)]
@@ -128,44 +131,54 @@ def _masks(x: str) -> dict[str, int]:
     return out
 
 
-def _chunks(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    """The items in normal form, in chunks of bounded size."""
+def _chunks(items: DataFrame, size: int) -> Iterator[list[tuple[int, str]]]:
+    """The items in normal form, in chunks of about `size` characters; at least one chunk."""
     items = items.where("item_id is not null and text is not null").select("item_id", "text")
     total = items.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
-    n = total // CHUNK_CHARS + 1
+    n = total // size + 1
     for c in range(n):
         rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == c).collect()
         forms = normal_forms(pa.array([r.text for r in rows], pa.string()))
         yield sorted({(r.item_id, x) for r, x in zip(rows, forms, strict=True) if x})
 
 
-def contaminations(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
+def contaminations(docs: DataFrame, items: DataFrame, rate: float = RATE, size: int = CHUNK_CHARS) -> DataFrame:
     """(doc_id, item_id, distance) for each item that lies in a document within its budget."""
-    spark, found = docs.sparkSession, None
+    scratch, parts = Scratch(docs.sparkSession), []
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
-    for chunk in _chunks(items):
-        sent = spark.sparkContext.broadcast(chunk)
+    for chunk in _chunks(items, size):
+        if parts:
+            parts[-1] = scratch.keep(parts[-1], "found")
+        parts.append(_found(docs, chunk, rate))
+    return reduce(DataFrame.union, parts).groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
 
-        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            matcher = Matcher(sent.value, rate)
-            for batch in batches:
-                ids, hits = batch.column(0), ([], [], [])
-                for at, part in slices(as_array(batch.column(1))):
-                    for k, text in enumerate(normal_forms(part), at):
-                        for item, distance in matcher.find(text).items():
-                            for column, x in zip(hits, (k, item, distance), strict=True):
-                                column.append(x)
-                columns = [ids.take(pa.array(hits[0], pa.int64())), pa.array(hits[1], pa.int64()), pa.array(hits[2], pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "distance"])
-
-        part = docs.mapInArrow(run, "doc_id long, item_id long, distance int")
-        found = part if found is None else found.union(part)
-    return found.groupBy("doc_id", "item_id").agg(F.min("distance").alias("distance"))
-
-
-def without_contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE) -> DataFrame:
+
+def _found(docs: DataFrame, chunk: list[tuple[int, str]], rate: float) -> DataFrame:
+    sent = docs.sparkSession.sparkContext.broadcast(chunk)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        matcher = Matcher(sent.value, rate)
+        for batch in batches:
+            ids, hits = batch.column(0), ([], [], [])
+            for at, part in slices(as_array(batch.column(1))):
+                for k, text in enumerate(normal_forms(part), at):
+                    for item, distance in matcher.find(text).items():
+                        for column, x in zip(hits, (k, item, distance), strict=True):
+                            column.append(x)
+            columns = [ids.take(pa.array(hits[0], pa.int64())), pa.array(hits[1], pa.int64()), pa.array(hits[2], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "distance"])
+
+    return docs.mapInArrow(run, "doc_id long, item_id long, distance int")
+
+
+def without_contaminated(docs: DataFrame, items: DataFrame, rate: float = RATE, size: int = CHUNK_CHARS) -> DataFrame:
     """The documents that hold no item within its budget, columns as they were; decided row by row, without a shuffle."""
-    for chunk in _chunks(items):
+    scratch, names, first = Scratch(docs.sparkSession), docs.columns, True
+    for chunk in _chunks(items, size):
+        if not first:
+            # odd or clashing column names don't matter to a table of numbered columns
+            docs = scratch.keep(docs.toDF(*(f"c{k}" for k in range(len(names)))), "left").toDF(*names)
+        first = False
         sent = docs.sparkSession.sparkContext.broadcast(chunk)
 
         def clean(sent=sent):  # noqa: ANN001, ANN202

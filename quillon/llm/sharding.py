@@ -13,8 +13,10 @@ over the places fit one small task. The curve is cut every TARGET_CHARS characte
 more than that takes several shards, over which its rows go by their id.
 
 Cells and places are joined to the rows by broadcast as long as they have at most BROADCAST_ROWS rows,
-which only the distinct values of a string can exceed; these are then joined by a shuffle. Rows of a
-shard come together by one range exchange on the shard, and are sorted in it by curve index and id. Whole rows travel, as the files are to be rewritten in the new order.
+which only the distinct values of a string can exceed; these are then joined by a shuffle. One exchange sends the rows of each
+shard to a partition of its own (up to MAX_PARTITIONS; beyond that to as few as may be, in order), so that a task reads about TARGET_CHARS
+however large the table. Within a partition rows are sorted by shard, curve index and id. Whole rows travel, as the files are
+to be rewritten in the new order: `write_shards` writes one file a shard, whose Parquet statistics bound every dimension.
 
 Defined results: a null dimension, or a number that isn't finite or reaches 2**62, has cell 0; a null id goes to the first shard of its place; a null
 text counts as no characters; repeated rows stay and lie beside one another; ties in the curve index
@@ -36,6 +38,7 @@ BITS = 5
 BITS_BELOW = 5
 TARGET_CHARS = 16_000_000
 BROADCAST_ROWS = 100_000
+MAX_PARTITIONS = 100_000
 DIMENSIONS = ("source", "lang", "n_chars")
 
 
@@ -121,10 +124,19 @@ def sharded(docs: DataFrame, dimensions: tuple[str, ...] = DIMENSIONS, bits: int
     extra = F.sum(F.when(F.col("__quillon_own") > 1, F.col("__quillon_own")).otherwise(0)).over(before)
     first = F.call_function("div", F.col("__quillon_before"), F.lit(target).cast("long")) + F.coalesce(extra, F.lit(0))
     places = places.withColumn("__quillon_first", first + F.when(F.col("__quillon_own") > 1, 1).otherwise(0))
-    placed = celled.join(small(places), names)
+    places = cut_lineage(places)
+    last = places.agg(F.max(F.col("__quillon_first") + F.col("__quillon_own"))).first()[0] or 1
+    placed = celled.join(F.broadcast(places), names)
     turn = F.coalesce(F.pmod(F.col(key), F.col("__quillon_own")), F.lit(0))
     out = placed.withColumn("shard", (F.col("__quillon_first") + turn).cast("long")).select(*(F.col(f"`{c}`") for c in kept), "curve", "shard")
-    return out.repartitionByRange("shard").sortWithinPartitions("shard", "curve", key)
+    parts = min(last, MAX_PARTITIONS)
+    target_part = F.call_function("div", F.col("shard") * F.lit(parts).cast("long"), F.lit(last).cast("long")).cast("int")
+    return out.repartitionById(parts, target_part).sortWithinPartitions("shard", "curve", key)
+
+
+def write_shards(rows: DataFrame, path: str) -> None:
+    """One Parquet file for each shard of `sharded` rows, under shard=<number>."""
+    rows.write.partitionBy("shard").parquet(path)
 
 
 #: The same rows in DuckDB: the curve by Skilling's algorithm over lists, five bits and three dimensions.

@@ -3,36 +3,44 @@
 Labelled URLs are transactions: the distinct tokens of the URL, each with the part that it stands in
 (scheme, host label, top-level domain, path segment, query name), and the marker of a bad page. Spark's
 FP-growth mines the sets of tokens that are frequent among all labelled pages, and the rules from a
-set of tokens to the marker. Rules are pruned by support and confidence, and a rule goes where
-another that needs fewer of its tokens is at least as confident.
+set of tokens to the marker, of any length. Rules are pruned by support (a share of the labelled pages, and MIN_PAGES bad
+pages that bear a rule out), by confidence, and by chance: the lower bound of the confidence (Wilson, one-sided 95 %) must lie
+above the share of bad pages among all labelled ones. A rule goes where another that needs fewer of its tokens is at least as confident.
+
+Tokens that stand in exactly the same labelled pages say the same, so that the least of them stands for all: a host with
+thousands of pages of one long template is one token, and doesn't make a rule of each subset of its tokens.
 
 Rules are matched by an inverted index: each rule is listed under every one of its tokens, a page
 counts for each rule how many of its tokens it holds, and the rule fires when that is all of them. The
 number of frequent tokens is at most the tokens a URL divided by the least support, so that the
 index that goes to the workers doesn't grow with the pages. Matching is row by row, without a shuffle.
 
-Mining covers every labelled page. Rules of more than MAX_TOKENS tokens aren't used.
+Mining covers every labelled page. Labels are those of documents: a page is taken to be labelled by the row of `labels` whose
+doc_id is its page_id.
 
 Defined results: a null or empty URL has no tokens, fires no rule and is kept; labels with a null in any column aren't
 used; of labels that share an id, one bad one is enough; repeated rows of pages are each matched and
 count for mining once a distinct URL and id; of rules that fire, the one with the greatest confidence,
-then support, then the least token string is named; without bad labels there are no rules and all
+then support, then the least token string is named; a very long URL is matched like any other; without bad labels there are no rules and all
 pages are kept; empty tables give empty results; further columns aren't looked at.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import pyarrow as pa
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.session import Scratch
+
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.5
-MAX_TOKENS = 3
+MIN_PAGES = 5
+Z = 1.6449
 BAD = "label:bad"
 
 
@@ -64,28 +72,55 @@ def labelled(pages: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.where(F.size("tokens") > 0)
 
 
-def mined(transactions: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def distinct_tokens(transactions: DataFrame) -> DataFrame:
+    """(page, tokens, bad): the transactions with the least of each set of tokens that stand in exactly the same of them."""
+    pages = transactions.withColumn("page", F.monotonically_increasing_id())
+    each = pages.select("page", F.explode("tokens").alias("token"))
+    # two sums of hashes of the pages tell sets of pages apart
+    sums = [F.sum(F.xxhash64(F.lit(k), "page").cast("decimal(20,0)")).alias(f"s{k}") for k in (1, 2)]
+    first = each.groupBy("token").agg(F.count("*").alias("n"), *sums).groupBy("n", "s1", "s2").agg(F.min("token").alias("token")).select("token")
+    kept = each.join(first, "token").groupBy("page").agg(F.collect_list("token").alias("tokens"))
+    return pages.select("page", "bad").join(kept, "page")
+
+
+def lower_bound(share: Column, n: Column, z: float = Z) -> Column:
+    """Wilson's lower bound of a share of n."""
+    return (share + z * z / (2 * n) - z * F.sqrt(share * (1 - share) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def mined(transactions: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES) -> DataFrame:
     """(tokens, confidence, n): the rules that lead from a set of tokens to a bad page, n being the pages that bear one out."""
+    scratch = Scratch(transactions.sparkSession)
+    rows = scratch.keep(distinct_tokens(scratch.keep(transactions, "pages")), "transactions")
+    total, bad = rows.agg(F.count("*"), F.coalesce(F.sum("bad"), F.lit(0))).first()
+    least = max(math.ceil(min_support * total - 1e-9), min_pages, 1)
     items = F.when(F.col("bad") == 1, F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=0.0).fit(transactions.select(items.alias("items")))
-    sets = model.freqItemsets.where(F.size("items") <= max_tokens + 1)
+    # the support is a share; half a page less keeps rounding out of it
+    model = FPGrowth(itemsCol="items", minSupport=min((least - 0.5) / max(total, 1), 1.0), minConfidence=0.0).fit(rows.select(items.alias("items")))
+    sets = scratch.keep(model.freqItemsets.where(F.col("freq") >= least), "sets")
     with_mark = sets.where(F.array_contains("items", BAD)).select(F.sort_array(F.array_remove("items", BAD)).alias("tokens"), F.col("freq").alias("n")).where(F.size("tokens") > 0)
     without = sets.where(~F.array_contains("items", BAD)).select(F.sort_array("items").alias("tokens"), F.col("freq").alias("all"))
-    rules = with_mark.join(without, "tokens").select("tokens", (F.col("n") / F.col("all")).alias("confidence"), "n")
-    return rules.where(F.col("confidence") >= min_confidence)
+    rules = with_mark.join(without, "tokens").select("tokens", (F.col("n") / F.col("all")).alias("confidence"), "n", "all")
+    return rules.where((F.col("confidence") >= min_confidence) & (lower_bound(F.col("confidence"), F.col("all")) > F.lit(bad / max(total, 1)))).drop("all")
 
 
 Rule = tuple[tuple[str, ...], float, int]
 
 
 def pruned(rules: DataFrame) -> list[Rule]:
-    """The rules without those that a part of their tokens bears out as well, most confident first."""
-    confidence = {tuple(r.tokens): (r.confidence, r.n) for r in rules.collect()}
-    out = []
-    for tokens, (c, n) in confidence.items():
-        parts = (p for k in range(1, len(tokens)) for p in combinations(tokens, k))
-        if not any(p in confidence and confidence[p][0] >= c for p in parts):
-            out.append((tokens, c, n))
+    """The rules without those that a part of their tokens bears out as well, most confident first.
+
+    Rules are held against the shorter ones that stay, found by an index on their least token, so that a long rule isn't taken apart into all of its subsets.
+    """
+    out: list[Rule] = []
+    by_least: dict[str, list[Rule]] = {}
+    for r in sorted(rules.collect(), key=lambda r: len(r.tokens)):
+        tokens = tuple(r.tokens)
+        held = set(tokens)
+        if not any(c >= r.confidence and held.issuperset(part) for t in tokens for part, c, _ in by_least.get(t, ()) if len(part) < len(tokens)):
+            rule = (tokens, r.confidence, r.n)
+            out.append(rule)
+            by_least.setdefault(tokens[0], []).append(rule)
     return sorted(out, key=lambda r: (-r[1], -r[2], r[0]))
 
 
@@ -125,14 +160,14 @@ def matched(pages: DataFrame, rules: list[Rule]) -> DataFrame:
     return tokens.mapInArrow(run, "page_id long, url string, n_rules int, rule string, confidence double, kept boolean")
 
 
-def filtered(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, max_tokens: int = MAX_TOKENS) -> DataFrame:
+def filtered(pages: DataFrame, labels: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_pages: int = MIN_PAGES) -> DataFrame:
     """Rules mined from the labelled pages, applied to all pages."""
-    return matched(pages, pruned(mined(labelled(pages, labels), min_support, min_confidence, max_tokens)))
+    return matched(pages, pruned(mined(labelled(pages, labels), min_support, min_confidence, min_pages)))
 
 
-#: The same in DuckDB, with frequent sets of up to three tokens by self-joins.
+#: The same in DuckDB, with all subsets of the frequent tokens of each page.
 SQL = r"""
-WITH p AS (SELECT row_number() OVER () AS r, page_id, url, lower(trim(coalesce(url, ''), ' ')) AS low FROM pages),
+WITH RECURSIVE p AS (SELECT row_number() OVER () AS r, page_id, url, lower(trim(coalesce(url, ''), ' ')) AS low FROM pages),
 q AS (SELECT *, regexp_extract(low, '^([a-z][a-z0-9+.-]*)://', 1) AS scheme, regexp_replace(regexp_replace(low, '^[a-z][a-z0-9+.-]*://', ''), '#.*$', '') AS rest FROM p),
 h AS (SELECT *, regexp_replace(regexp_extract(rest, '^([^/?]*)', 1), '^[^@]*@|:[0-9]*$', '', 'g') AS host, regexp_extract(rest, '^[^/?]*([^?]*)', 1) AS path, regexp_extract(rest, '\?(.*)$', 1) AS query FROM q),
 raw AS (
@@ -146,16 +181,19 @@ raw AS (
 ),
 marks AS (SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id),
 train AS (SELECT row_number() OVER () AS i, tokens, bad FROM (SELECT DISTINCT page_id, url, tokens FROM raw WHERE url IS NOT NULL) JOIN marks ON page_id = doc_id WHERE len(tokens) > 0),
-least AS (SELECT ceil(count(*) * 0.002) AS least FROM train),
+base AS (SELECT greatest(ceil(count(*) * 0.002), 5) AS least, sum(bad) / count(*)::DOUBLE AS share FROM train),
 one AS (SELECT i, bad, unnest(tokens) AS t FROM train),
-single AS (SELECT t FROM one GROUP BY t HAVING count(*) >= (SELECT least FROM least)),
+stands AS (SELECT t, list(i ORDER BY i) AS places FROM one GROUP BY t HAVING count(*) >= (SELECT least FROM base)),
+single AS (SELECT min(t) AS t FROM stands GROUP BY places),
 few AS (SELECT i, bad, t FROM one JOIN single USING (t)),
-sets AS (
-  SELECT [t] AS s, count(*) AS everything, sum(bad) AS n FROM few GROUP BY t
-  UNION ALL SELECT [a.t, b.t], count(*), sum(a.bad) FROM few a JOIN few b ON a.i = b.i AND a.t < b.t GROUP BY a.t, b.t
-  UNION ALL SELECT [a.t, b.t, c.t], count(*), sum(a.bad) FROM few a JOIN few b ON a.i = b.i AND a.t < b.t JOIN few c ON a.i = c.i AND b.t < c.t GROUP BY a.t, b.t, c.t
+subs AS (
+  SELECT i, bad, [t] AS s, t AS last FROM few
+  UNION ALL SELECT u.i, u.bad, list_append(u.s, f.t), f.t FROM subs u JOIN few f ON u.i = f.i AND f.t > u.last
 ),
-rules AS (SELECT s, n, n::DOUBLE / everything AS confidence FROM sets WHERE n >= (SELECT greatest(least, 1) FROM least) AND n::DOUBLE / everything >= 0.5),
+sets AS (SELECT s, count(*) AS everything, sum(bad) AS n FROM subs GROUP BY s),
+bounds AS (SELECT *, n::DOUBLE / everything AS confidence, 1.6449 * 1.6449 AS zz FROM sets),
+rules AS (SELECT s, n, confidence FROM bounds WHERE n >= (SELECT least FROM base) AND confidence >= 0.5
+  AND (confidence + zz / (2 * everything) - 1.6449 * sqrt(confidence * (1 - confidence) / everything + zz / (4.0 * everything * everything))) / (1 + zz / everything) > (SELECT share FROM base)),
 kept AS (SELECT * FROM rules a WHERE NOT EXISTS (SELECT 1 FROM rules b WHERE len(b.s) < len(a.s) AND list_has_all(a.s, b.s) AND b.confidence >= a.confidence)),
 fired AS (
   SELECT r, count(*) AS n_rules, first(array_to_string(s, ' ') ORDER BY confidence DESC, n DESC, s) AS rule, max(confidence) AS confidence

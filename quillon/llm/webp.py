@@ -12,14 +12,17 @@ search for the smallest file.
 
 Defined results: a null picture has null size, pixels and error; bytes that aren't a lossless WebP file, or are
 cut short, have the reason in `error` and no pixels; null ids and repeated rows are decoded as any other row;
-an empty table gives no rows; further columns aren't looked at.
+an empty table gives no rows; further columns aren't looked at. A picture of more than MAX_PIXELS pixels, which would not fit a worker
+beside others (a file of a few bytes can state 2**28), has that as its `error`; the bound is a parameter.
 """
 
 from __future__ import annotations
 
 import heapq
 import struct
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +32,14 @@ from quillon.llm.common import as_array
 
 _ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
 _DISTANCES = sorted(((x, y) for y in range(8) for x in range(-7, 9) if (y > 0 or x > 0)), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]) > p[1], abs(p[0]), -p[0]))
-_TOO_LARGE = 1 << 28
+MAX_PIXELS = 1 << 24
 
 
 class Broken(ValueError):
     """Why a picture can't be decoded."""
 
 
-# ---------------------------------------------------------------- bits and prefix codes
+# bits and prefix codes
 
 
 class Bits:
@@ -69,13 +72,11 @@ class Bits:
 
 def canonical(lengths: list[int]) -> dict[int, tuple[int, int]]:
     """symbol: (code with its first bit lowest, length) of a canonical prefix code."""
-    out, code = {}, 0
-    for n in range(1, 16):
-        for s, k in enumerate(lengths):
-            if k == n:
-                out[s] = int(f"{code:0{n}b}"[::-1], 2), n
-                code += 1
-        code <<= 1
+    out, code, last = {}, 0, 0
+    for n, s in sorted((n, s) for s, n in enumerate(lengths) if n):
+        code <<= n - last
+        out[s] = int(f"{code:0{n}b}"[::-1], 2), n
+        code, last = code + 1, n
     return out
 
 
@@ -147,10 +148,10 @@ def _extended(symbol: int, bits: Bits) -> int:
     return ((2 + (symbol & 1)) << n) + bits.read(n) + 1
 
 
-# ---------------------------------------------------------------- decoding
+# decoding
 
 
-def _pixels(bits: Bits, width: int, height: int, main: bool) -> list[int]:
+def _pixels(bits: Bits, width: int, height: int, main: bool) -> array:
     """Entropy-coded ARGB pixels."""
     cache_bits = 0
     if bits.read(1):
@@ -158,7 +159,7 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> list[int]:
         if not 1 <= cache_bits <= 11:
             raise Broken("colour cache size")
     groups, shift, across = 1, 0, 0
-    meta: list[int] = []
+    meta: list[int] = []  # the group of each block
     if main and bits.read(1):
         shift = bits.read(3) + 2
         across = -(-width >> shift)
@@ -167,12 +168,19 @@ def _pixels(bits: Bits, width: int, height: int, main: bool) -> list[int]:
     cache_size = 1 << cache_bits if cache_bits else 0
     codes = [[_read_prefix(bits, n) for n in (280 + cache_size, 256, 256, 256, 40)] for _ in range(groups)]
     cache, rest = [0] * cache_size, 32 - cache_bits
-    total, out = width * height, []
-    group, known = codes[0], 0
+    # a group whose codes have one symbol each takes no bits: its pixel fills all that it covers
+    plain = [None if any(c.width for c in g[:4]) or g[0].table[0][0] > 255 else _joined([g[k].table[0][0] for k in (3, 1, 0, 2)]) for g in codes]
+    total, out = width * height, array("I")
+    number, known = 0, 0
+    group = codes[0]
     while (at := len(out)) < total:
         if meta:
             y, x = divmod(at, width)
-            group = codes[meta[(y >> shift) * across + (x >> shift)]]
+            number = meta[(y >> shift) * across + (x >> shift)]
+            group = codes[number]
+        if plain[number] is not None:
+            out.extend(array("I", [plain[number]]) * (min(((x >> shift) + 1 << shift) - x, width - x) if meta else total - at))
+            continue
         s = group[0].read(bits)
         if s < 256:
             red, blue, alpha = group[1].read(bits), group[2].read(bits), group[3].read(bits)
@@ -272,8 +280,8 @@ def _neighbours(done: list[int], at: int, x: int, y: int, width: int, modes: lis
     return predicted(mode, done[at - 1], done[at - width], done[at - width + 1], done[at - width - 1])
 
 
-def _unpredict(pixels: list[int], width: int, modes: list[int], bits: int) -> list[int]:
-    done: list[int] = []
+def _unpredict(pixels: array, width: int, modes: array, bits: int) -> array:
+    done = array("I")
     for at, p in enumerate(pixels):
         y, x = divmod(at, width)
         done.append(_sum(p, _neighbours(done, at, x, y, width, modes, bits)))
@@ -285,8 +293,8 @@ def _bytes(pixels: list[int]) -> np.ndarray:
     return np.array(pixels, np.uint32).view(np.uint8).reshape(-1, 4).copy()
 
 
-def _ints(channels: np.ndarray) -> list[int]:
-    return np.ascontiguousarray(channels).view(np.uint32).ravel().tolist()
+def _ints(channels: np.ndarray) -> array:
+    return array("I", np.ascontiguousarray(channels).tobytes())
 
 
 def _blocks(values: list[int], width: int, height: int, bits: int) -> np.ndarray:
@@ -327,7 +335,7 @@ def _unpalette(pixels: list[int], width: int, height: int, colours: list[int]) -
         green = index.reshape(height, -1)[:, :width]
     table = np.zeros(256, np.uint32)
     table[: len(colours)] = colours
-    return table[green.ravel()].tolist()
+    return array("I", table[green.ravel()].tobytes())
 
 
 def _chunk(data: bytes) -> bytes:
@@ -345,12 +353,14 @@ def _chunk(data: bytes) -> bytes:
     raise Broken("no lossless picture")
 
 
-def decode(data: bytes) -> tuple[int, int, np.ndarray]:
-    """Width, height and the pixels as rows of red, green, blue, alpha."""
+def decode(data: bytes, most: int = MAX_PIXELS) -> tuple[int, int, np.ndarray]:
+    """Width, height and the pixels as rows of red, green, blue, alpha; a picture of more than `most` pixels is an error."""
     bits = Bits(_chunk(data))
     if bits.read(8) != 0x2F:
         raise Broken("no lossless signature")
     width, height = bits.read(14) + 1, bits.read(14) + 1
+    if width * height > most:
+        raise Broken("a picture of too many pixels")
     alpha = bits.read(1)
     if bits.read(3):
         raise Broken("unknown version")
@@ -391,7 +401,7 @@ def decode(data: bytes) -> tuple[int, int, np.ndarray]:
     return width, height, out
 
 
-# ---------------------------------------------------------------- encoding
+# encoding
 
 
 class _Writer:
@@ -483,6 +493,12 @@ def _prefixed(value: int) -> tuple[int, int, int]:
     return 2 * (n + 1) + (value >> n & 1), value & ((1 << n) - 1), n
 
 
+@lru_cache
+def _distances(width: int) -> dict[int, int]:
+    """The short code of each distance that has one."""
+    return {x + y * width: k + 1 for k, (x, y) in reversed(list(enumerate(_DISTANCES))) if x + y * width >= 1}
+
+
 def _put_pixels(w: _Writer, pixels: list[int], width: int, main: bool, cache_bits: int = 0, refer: bool = False, meta_bits: int = 0) -> None:
     """Writes entropy-coded pixels; with `refer` repeats become back-references, with meta_bits blocks take turns in two prefix code groups."""
     w.put(cache_bits > 0, 1)
@@ -498,7 +514,7 @@ def _put_pixels(w: _Writer, pixels: list[int], width: int, main: bool, cache_bit
     cache: dict[int, int] = {}
     seen: dict[tuple[int, int, int], int] = {}
     words: list[tuple[int, list[tuple[int, int, int, int]]]] = []  # group; (alphabet, symbol, further bits, their number)
-    distances = {x + y * width: k + 1 for k, (x, y) in reversed(list(enumerate(_DISTANCES))) if x + y * width >= 1}
+    distances = _distances(width)
     at = 0
     while at < len(pixels):
         y, x = divmod(at, width)
@@ -523,7 +539,7 @@ def _put_pixels(w: _Writer, pixels: list[int], width: int, main: bool, cache_bit
         for k in range(at, at + n):
             if cache_bits:
                 cache[(0x1E35A7BD * pixels[k] & 0xFFFFFFFF) >> (32 - cache_bits)] = pixels[k]
-            if k + 3 <= len(pixels):
+            if refer and k + 3 <= len(pixels):
                 seen[tuple(pixels[k : k + 3])] = k
         at += n
     codes = []
@@ -591,7 +607,7 @@ def encode(rgba: np.ndarray, width: int, transforms: tuple[str, ...] = (), cache
     return b"RIFF" + struct.pack("<I", 4 + len(chunk)) + b"WEBP" + chunk
 
 
-# ---------------------------------------------------------------- tables
+# tables
 
 #: What the pictures of `drawn` are encoded with, in turn.
 _STYLES = (
@@ -628,7 +644,7 @@ def drawn(embeddings: DataFrame) -> DataFrame:
     return embeddings.select("vec_id", "embedding").mapInArrow(run, "vec_id long, picture binary")
 
 
-def decoded(media: DataFrame, key: str = "vec_id", column: str = "picture") -> DataFrame:
+def decoded(media: DataFrame, key: str = "vec_id", column: str = "picture", most: int = MAX_PIXELS) -> DataFrame:
     """(key, width, height, pixels, error) of every row; pixels are red, green, blue, alpha of each, row by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -636,7 +652,7 @@ def decoded(media: DataFrame, key: str = "vec_id", column: str = "picture") -> D
             rows = []
             for x in batch.column(1):
                 try:
-                    rows.append((*decode(x.as_py()), None) if x.is_valid else (None, None, None, None))
+                    rows.append((*decode(x.as_py(), most), None) if x.is_valid else (None, None, None, None))
                 except Broken as e:
                     rows.append((None, None, None, str(e)))
             lists = pa.array([None if r[2] is None else r[2].ravel().astype(np.int32) for r in rows], pa.list_(pa.int32()))

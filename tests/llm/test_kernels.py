@@ -41,6 +41,32 @@ def test_webp_broken() -> None:
         webp.decode(b"RIFF\x10\0\0\0WEBPVP8 \x04\0\0\0abcd")
 
 
+def _blank(size: int) -> bytes:
+    """A picture of size x size pixels whose five codes have one symbol each, by hand: green 7, red 1, blue 0, full alpha."""
+    value = count = 0
+    for v, n in ((0x2F, 8), (size - 1, 14), (size - 1, 14), (1, 1), (0, 3), (0, 1), (0, 1), (0, 1), *[x for s in (7, 1, 0, 255, 0) for x in ((1, 1), (0, 1), (1, 1), (s, 8))]):
+        value |= v << count
+        count += n
+    body = value.to_bytes((count + 7) // 8, "little")
+    body += b"\0" * (len(body) % 2)
+    return b"RIFF" + (12 + len(body)).to_bytes(4, "little") + b"WEBPVP8L" + len(body).to_bytes(4, "little") + body
+
+
+def test_webp_few_bytes_of_many_pixels() -> None:
+    width, height, pixels = webp.decode(_blank(2000))
+    assert (width, height) == (2000, 2000) and (pixels == [1, 7, 0, 255]).all()
+    with pytest.raises(webp.Broken, match="too many"):
+        webp.decode(_blank(16384))
+
+
+def test_webp_large_pictures_with_bundles_and_groups() -> None:
+    rng = np.random.default_rng(4)
+    for colours, style in ((2, {"transforms": ("palette",)}), (4, {"transforms": ("palette",), "refer": True}), (13, {"transforms": ("palette",), "meta_bits": 4}), (200, {"transforms": ("palette", "predict")})):
+        table = rng.integers(0, 256, (colours, 4))
+        pixels = table[rng.integers(0, colours, 67 * 53)]
+        assert (webp.decode(webp.encode(pixels, 67, **style))[2] == pixels).all()
+
+
 def test_webp_distances_are_those_of_the_specification() -> None:
     assert len(webp._DISTANCES) == 120
     assert webp._DISTANCES[:6] == [(0, 1), (1, 0), (1, 1), (-1, 1), (0, 2), (2, 0)]

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import random
 from collections import defaultdict
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from tests.oracle import differences
 from pyspark.sql import DataFrame, SparkSession
@@ -130,10 +132,10 @@ def test_urls_odd_rows(spark: SparkSession) -> None:
     rows = [(k, f"http://{'spam-farm' if k % 3 == 0 else 'good'}.example.org/{'buy' if k % 2 else 'read'}/{k}") for k in range(120)]
     pages = spark.createDataFrame([(*r, None) for r in [*rows, rows[0], (None, None), (None, "x"), (500, ""), (501, None)]], "page_id long, url string, tokens string")
     marks = spark.createDataFrame([(k, 0 if k % 3 == 0 else 1, 0) for k in range(90)] + [(None, 0, 1), (1, None, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
-    got = urlrules.filtered(pages, marks, min_support=0.05).collect()
+    got = urlrules.filtered(pages, marks, min_support=0.05, min_pages=1).collect()
     assert len(got) == pages.count()
     assert all(r.kept == (r.page_id is None or r.page_id >= 500 or r.page_id % 3 != 0) for r in got)
-    assert {r.rule for r in got if not r.kept} == {"host:farm"} and {r.n_rules for r in got if not r.kept} == {2}
+    assert {r.rule for r in got if not r.kept} == {"host:farm"} and {r.n_rules for r in got if not r.kept} == {1}
     assert all(r.kept for r in urlrules.filtered(pages, marks.limit(0)).collect())
     assert all(r.kept for r in urlrules.filtered(pages, marks.where("quality = 1")).collect())
     assert rows_of(urlrules.filtered(pages.limit(0), marks)) == []
@@ -205,17 +207,40 @@ def test_planted_benchmark_passages(spark: SparkSession) -> None:
     assert {r.doc_id: r.distance for r in rows} == {k: k % 5 for k in range(10)}
 
 
-def test_frequent_rules_against_counts(spark: SparkSession) -> None:
+def test_rules_of_any_length_against_all_subsets(spark: SparkSession) -> None:
     rng = random.Random(6)
-    rows = [([f"t{rng.randrange(6)}", f"u{rng.randrange(4)}"], int(rng.random() < 0.4)) for _ in range(300)]
-    rules = urlrules.mined(spark.createDataFrame(rows, "tokens array<string>, bad int"), 0.02, 0.4, 2).collect()
+    rows = []
+    for _ in range(400):
+        tokens = sorted(rng.sample("abcdefg", rng.randint(2, 6)))
+        bad = int(rng.random() < (0.95 if {"a", "b", "c", "d"} <= set(tokens) else 0.2))
+        rows.append((tokens + (["twin"] if "a" in tokens else []), bad))  # a and its twin stand in the same pages
+    share = sum(b for _, b in rows) / len(rows)
     counts: dict[tuple, list[int]] = defaultdict(lambda: [0, 0])
     for tokens, bad in rows:
-        for s in ((tokens[0],), (tokens[1],), tuple(sorted(tokens))):
-            counts[s][0] += 1
-            counts[s][1] += bad
-    expected = {s: (b / n, b) for s, (n, b) in counts.items() if b >= 6 and b / n >= 0.4}
-    assert {tuple(r.tokens): (r.confidence, r.n) for r in rules} == expected
+        own = [t for t in tokens if t != "twin"]
+        for k in range(1, len(own) + 1):
+            for s in combinations(own, k):
+                counts[s][0] += 1
+                counts[s][1] += bad
+
+    def bound(p: float, n: int) -> float:
+        z = urlrules.Z
+        return (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
+
+    expected = {s: (b / n, b) for s, (n, b) in counts.items() if b >= 8 and b / n >= 0.4 and bound(b / n, n) > share}
+    rules = urlrules.mined(spark.createDataFrame(rows, "tokens array<string>, bad int"), 0.02, 0.4, 1)
+    assert {tuple(r.tokens): (r.confidence, r.n) for r in rules.collect()} == expected
+    assert any(len(s) >= 4 for s in expected)
+    left = {s: c for s, (c, _) in expected.items() if not any(set(t) < set(s) and expected[t][0] >= c for t in expected)}
+    assert {t: c for t, c, _ in urlrules.pruned(rules)} == left
+
+
+def test_one_template_of_many_tokens_is_one_rule(spark: SparkSession) -> None:
+    url = "http://shop." + "/".join(f"part{k}" for k in range(60))
+    pages = spark.createDataFrame([(k, url if k < 40 else f"http://good.org/{k % 7}") for k in range(100)], "page_id long, url string")
+    marks = spark.createDataFrame([(k, int(k >= 40), 0) for k in range(100)], "doc_id long, quality int, toxic int")
+    got = urlrules.filtered(pages, marks).collect()
+    assert all(r.kept == (r.page_id >= 40) and r.n_rules == int(r.page_id < 40) for r in got)
 
 
 def test_shards_prune_each_dimension(spark: SparkSession) -> None:
@@ -229,6 +254,37 @@ def test_shards_prune_each_dimension(spark: SparkSession) -> None:
         assert hit < 0.75 * len(shards), column
 
 
+def test_written_shards_are_pruned_by_their_statistics(spark: SparkSession, tmp_path) -> None:  # noqa: ANN001
+    rng = np.random.default_rng(5)
+    rows = [(k, "x" * 50, f"l{rng.integers(8)}", f"s{rng.integers(20):02d}", int(rng.integers(1, 5000))) for k in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    made = sharding.sharded(docs, target=5000)
+    assert made.rdd.getNumPartitions() == made.select("shard").distinct().count() or made.rdd.getNumPartitions() == made.agg(F.max("shard")).first()[0] + 1
+    sharding.write_shards(made, str(tmp_path / "out"))
+    files = sorted((tmp_path / "out").rglob("*.parquet"))
+    assert len(files) == made.select("shard").distinct().count()
+    for column, value in (("lang", "l3"), ("source", "s11"), ("n_chars", 2500)):
+        hit = 0
+        for f in files:
+            meta = pq.ParquetFile(f).metadata
+            k = [meta.schema.column(c).name for c in range(meta.num_columns)].index(column)
+            stats = [meta.row_group(g).column(k).statistics for g in range(meta.num_row_groups)]
+            hit += min(x.min for x in stats) <= value <= max(x.max for x in stats)
+        assert hit < 0.6 * len(files), (column, hit, len(files))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 4000
+
+
+def test_decontamination_in_chunks_is_the_same(spark: SparkSession) -> None:
+    rng = random.Random(3)
+    words = [f"word{k}" for k in range(300)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(12))) for k in range(30)]
+    texts = [" ".join(rng.choice(words) for _ in range(60)) + (" " + items[k][1] if k < 20 else "") for k in range(40)]
+    docs, bench = docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted(rows_of(decontaminate.contaminations(docs, bench, size=500))) == sorted(rows_of(decontaminate.contaminations(docs, bench)))
+    kept = decontaminate.without_contaminated(docs, bench, size=500)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(20, 40))
+
+
 # whole queries
 
 
