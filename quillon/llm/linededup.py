@@ -35,9 +35,11 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -236,63 +238,83 @@ def surroundings(ends: DataFrame, docs: DataFrame, size: int = RUN - 1) -> DataF
     return both.mapInArrow(make, "a long, q int, left boolean, words binary")
 
 
-def agreement(words: np.ndarray, place: int, other: np.ndarray, left: bool) -> int:
-    """How many words before the place, or from it on, agree with the other document's."""
-    if left:
-        own, other = words[max(0, place - len(other)) : place][::-1], other[::-1]
-    else:
-        own = words[place : place + len(other)]
-    k = min(len(own), len(other))
-    differs = np.flatnonzero(own[:k] != other[:k])
-    return int(differs[0]) if len(differs) else k
-
-
-def without_words(text: str, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> tuple[str, int]:
-    """The text without the words marked as gone, and the number of lines that lost any."""
-    data = np.frombuffer(text.encode(), np.uint8)
-    newline = np.flatnonzero(data == 10)
-    after = np.append(newline, len(data))
-    to = np.minimum(np.append(starts[1:], len(data)), after[np.searchsorted(after, ends)])
-    keep = np.zeros(len(data) + 1, np.int64)
-    np.add.at(keep, starts[gone], 1)
-    np.add.at(keep, to[gone], -1)
-    keep = np.cumsum(keep)[:-1] == 0
-    line = np.searchsorted(newline, starts)
-    lost = np.unique(line[gone])
-    for k in np.setdiff1d(lost, line[~gone]):
-        begin, end = newline[k - 1] + 1 if k else 0, after[k]
-        keep[begin : end + 1] = False
-        if end == len(data) and k:
-            last = np.flatnonzero(keep[:begin])
-            if len(last) and data[last[-1]] == 10:
-                keep[last[-1]] = False
-    return data[keep].tobytes().decode(), len(lost)
-
-
-def cut(text: str, found: list[tuple[int, int, int, bool, bytes]], least: int = BLOCK) -> tuple[str, int]:
-    """The text without the blocks, and the number of lines that lost any words.
-
-    `found` has for each end of a block its number, start, end, whether it is the beginning, and the other document's words there;
-    the block is extended as far as both documents agree.
-    """
-    data, offsets = raw(pa.array([text], pa.string()))
-    starts, ends, _ = word_spans(data, offsets)
+@dataclass
+class Ends:
+    """The ends of blocks, one after the other: the row of the text, the block's number in it, its words, which end, and the other document's words there."""
+
+    row: np.ndarray
+    k: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    left: np.ndarray
+    words: pa.Array
+
+
+def _agreement(words: np.ndarray, first: np.ndarray, e: Ends) -> np.ndarray:
+    """How many words before a beginning, or from an end on, agree with the other document's."""
+    to = np.frombuffer(e.words.buffers()[1], np.int32)[e.words.offset : e.words.offset + len(e.words) + 1].astype(np.int64) // 4
+    data = e.words.buffers()[2]
+    other = np.frombuffer(data, np.uint32, len(data) // 4) if data is not None and len(data) >= 4 else np.zeros(0, np.uint32)
+    n = np.diff(to)
+    at = first[e.row] + np.where(e.left, e.start - 1, e.end)
+    room = np.where(e.left, e.start, first[e.row + 1] - at)
+    n = np.minimum(n, room)
+    j = np.arange(int(n.max()) if len(n) else 0)[None, :]
+    valid = j < n[:, None]
+    step = np.where(e.left, -1, 1)[:, None]
+    mine = np.where(valid, at[:, None] + step * j, 0)
+    theirs = np.where(valid, np.where(e.left, to[1:] - 1, to[:-1])[:, None] + step * j, 0)
+    equal = valid.copy()
+    equal[valid] = words[mine[valid]] == other[theirs[valid]]
+    return np.cumprod(equal, axis=1, dtype=np.int8).sum(axis=1)
+
+
+def cut(texts: pa.Array, e: Ends, least: int = BLOCK) -> tuple[pa.Array, np.ndarray]:
+    """The texts without their blocks, each extended as far as both documents agree, and the number of lines that lost any words."""
+    data, offsets = raw(texts)
+    starts, ends, first = word_spans(data, offsets)
     words = (spans_hash(data, starts, ends) >> np.uint64(32)).astype(np.uint32)
-    blocks: dict[int, list[int]] = {}
-    for k, start, end, left, other in found:
-        block = blocks.setdefault(k, [start, end])
-        other = np.frombuffer(other, np.uint32)
-        if left:
-            block[0] = start - agreement(words, start, other, True)
-        else:
-            block[1] = end + agreement(words, end, other, False)
+    reach = _agreement(words, first, e)
+    order = np.lexsort((~e.left, e.k, e.row))
+    a, b = order[::2], order[1::2]  # each block has two ends
+    low, high = e.start[a] - reach[a], e.end[b] + reach[b]
+    good = high - low >= least
     gone = np.zeros(len(words) + 1, np.int64)
-    for start, end in blocks.values():
-        if end - start >= least:
-            gone[start] += 1
-            gone[end] -= 1
-    gone = np.cumsum(gone)[:-1] > 0
-    return without_words(text, starts, ends, gone) if gone.any() else (text, 0)
+    np.add.at(gone, first[e.row[a]][good] + low[good], 1)
+    np.add.at(gone, first[e.row[a]][good] + high[good], -1)
+    return without_words(data, offsets, starts, ends, np.cumsum(gone)[:-1] > 0)
+
+
+def without_words(data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, ends: np.ndarray, gone: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The rows without the words marked as gone, and the number of lines of each that lost any."""
+    rows, size = len(offsets) - 1, len(data)
+    line_end = np.sort(np.concatenate([np.flatnonzero(data == 10), offsets[1:]]), kind="stable")
+    line = np.searchsorted(line_end, starts, "right")
+    to = np.minimum(np.append(starts[1:], size)[: len(starts)], line_end[np.minimum(line, len(line_end) - 1)]) if len(starts) else ends
+    change = np.zeros(size + 1, np.int64)
+    np.add.at(change, starts[gone], 1)
+    np.add.at(change, to[gone], -1)
+    lost = np.unique(line[gone])
+    row_of = np.searchsorted(offsets, line_end[lost], "left") - 1  # a line with words ends after its row's beginning
+    whole = lost[np.bincount(line, gone, len(line_end))[lost] == np.bincount(line, minlength=len(line_end))[lost]]
+    row = np.searchsorted(offsets, line_end[whole], "left") - 1
+    before = np.where(whole > 0, line_end[whole - 1], -1)
+    inner = (before >= offsets[row]) & (data[np.clip(before, 0, max(size - 1, 0))] == 10) if size else before >= 0
+    begin = np.where(inner, before + 1, offsets[row])
+    stop = np.minimum(line_end[whole] + 1, offsets[row + 1])
+    np.add.at(change, begin, 1)
+    np.add.at(change, stop, -1)
+    keep = np.cumsum(change)[:-1] == 0
+    # a text whose last line went doesn't end with the line end before it
+    last = row[line_end[whole] == offsets[row + 1]]
+    kept = np.flatnonzero(keep)
+    if len(kept) and len(last):
+        at = np.searchsorted(kept, offsets[last + 1]) - 1
+        at = kept[at[at >= 0]][kept[at[at >= 0]] >= offsets[last[at >= 0]]]
+        keep[at[data[at] == 10]] = False
+    to = np.concatenate([[0], np.cumsum(keep)])[offsets].astype(np.int64)
+    made = pa.LargeStringArray.from_buffers(rows, pa.py_buffer(to.tobytes()), pa.py_buffer(data[keep].tobytes()))
+    return made.cast(pa.string()), np.bincount(row_of, minlength=rows).astype(np.int32)
 
 
 _FOUND = ("k", "start", "end", "left", "words")
@@ -319,14 +341,21 @@ def _applied(joined: DataFrame, least: int) -> DataFrame:
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             text, lost = as_array(batch.column(1)), np.zeros(batch.num_rows, np.int32)
-            some = np.flatnonzero(as_array(batch.column(2)).is_valid().to_numpy(zero_copy_only=False))
+            touched = as_array(batch.column(2)).is_valid()
+            some = np.flatnonzero(touched.to_numpy(zero_copy_only=False))
             if len(some):
-                texts = text.to_pylist()
-                lists = [as_array(batch.column(k)).take(pa.array(some)).to_pylist() for k in range(2, 7)]
-                for k, *found in zip(some.tolist(), *lists, strict=True):
-                    if texts[k] is not None:
-                        texts[k], lost[k] = cut(texts[k], list(zip(*found, strict=True)), least)
-                text = pa.array(texts, pa.string())
+                lists = [as_array(batch.column(k)).take(pa.array(some)) for k in range(2, 7)]
+                to = lists[0].offsets.to_numpy()
+                flat = [x.flatten() for x in lists]
+                k, start, end, left = (x.to_numpy(zero_copy_only=False) for x in flat[:4])
+                made = []
+                for at, part in slices(text.take(pa.array(some))):
+                    i, j = to[at] - to[0], to[at + len(part)] - to[0]
+                    row = np.repeat(np.arange(len(part)), np.diff(to[at : at + len(part) + 1]))
+                    new, n = cut(part, Ends(row, k[i:j], start[i:j].astype(np.int64), end[i:j].astype(np.int64), left[i:j], flat[4][i:j]), least)
+                    made.append(new)
+                    lost[some[at : at + len(part)]] = n
+                text = pc.replace_with_mask(text, touched, pa.concat_arrays(made))
             yield pa.RecordBatch.from_arrays([batch.column(0), text, pa.array(lost), *batch.columns[7:]], ["doc_id", "text", "lines_removed", *batch.schema.names[7:]])
 
     return joined.mapInArrow(make, "doc_id long, text string, lines_removed int" + (", others " + joined.schema["others"].dataType.simpleString() if "others" in joined.columns else ""))

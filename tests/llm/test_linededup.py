@@ -5,10 +5,13 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import SparkSession
 
 from quillon.llm import linededup
+from quillon.llm.common import raw, word_spans
 
 DOCS = "doc_id long, text string"
 
@@ -117,3 +120,19 @@ def test_rows_that_share_an_id_are_not_lost(spark: SparkSession) -> None:
     docs = spark.createDataFrame([(1, line), (2, line + " x"), (2, "another text"), (2, "another text"), (None, line)], DOCS)
     got = sorted((str(r.doc_id), r.text) for r in linededup.without_shared_lines(docs).collect())
     assert got == [("1", line), ("2", "another text"), ("2", line + " x"), ("None", line)]
+
+
+def test_cut_texts_in_one_go() -> None:
+    texts = pa.array(["  a b\nc d\n", "", None, "\n-x y-\nkeep", "x\n\n(y z)"])
+    data, offsets = raw(texts)
+    starts, ends, _ = word_spans(data, offsets)
+    words = [bytes(data[i:j]).decode() for i, j in zip(starts, ends, strict=True)]
+
+    def left(gone: str) -> tuple[list[str], list[int]]:
+        made, n = linededup.without_words(data, offsets, starts, ends, np.array([w in gone for w in words]))
+        return made.to_pylist(), n.tolist()
+
+    assert left("") == (["  a b\nc d\n", "", "", "\n-x y-\nkeep", "x\n\n(y z)"], [0] * 5)
+    assert left("abxyz") == (["c d\n", "", "", "\nkeep", ""], [1, 0, 0, 1, 2])  # a text whose last line went doesn't end with a line end
+    assert left("acy") == (["  b\nd\n", "", "", "\n-x \nkeep", "x\n\n(z)"], [2, 0, 0, 1, 1])
+    assert left("cdz") == (["  a b\n", "", "", "\n-x y-\nkeep", "x\n\n(y "], [1, 0, 0, 0, 1])
