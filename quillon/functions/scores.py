@@ -84,7 +84,7 @@ def normalizer5(x: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.sqrt(F.abs(x)))
 
 
-# ---------------------------------------------------------------- chunk scores
+# chunk scores
 
 
 def weighted_chunk(relevance: Column, query_weight: Column, weight: Column, mode: str = "multiply") -> Column:
@@ -143,7 +143,7 @@ def bm25_chunk(hits: DataFrame, chunks_in_doc: DataFrame, n_chunks: Column, n_do
     return _with_frequency(hits, threshold, first_chunk_only).join(chunks_in_doc, "doc_id", "left").withColumn("score", score)
 
 
-# ---------------------------------------------------------------- document scores
+# document scores
 
 
 def coord_doc(score: Column, n_matched: Column, n_chunks: Column) -> Column:
@@ -155,7 +155,7 @@ def weighted_doc(score: Column, weight: Column, mode: str = "multiply") -> Colum
     return combined(mode, score, weight)
 
 
-# ---------------------------------------------------------------- explanations
+# explanations
 
 
 def explained(value: Column, name: str, operands: list[Column] | Column | None = None, **more: Column) -> Column:

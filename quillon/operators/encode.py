@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 JITTER = 1e-10
 
 
-# ---------------------------------------------------------------- helpers
+# helpers
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -43,7 +43,7 @@ def moments(rows: DataFrame, vector: str = "vector") -> tuple[np.ndarray, np.nda
     return np.array([r.m for r in got]), np.array([r.v for r in got]), got[0].n if got else 0
 
 
-# ---------------------------------------------------------------- text
+# text
 
 
 def character_table(dims: int = 128, seed: int = 0) -> np.ndarray:
@@ -51,28 +51,46 @@ def character_table(dims: int = 128, seed: int = 0) -> np.ndarray:
     return np.random.default_rng(seed).uniform(-1, 1, (97, dims))
 
 
+def _code_points(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts, one after the other, and where each text begins; nulls as empty texts."""
+    made = ["" if x is None else x for x in texts.to_pylist()]
+    points = np.frombuffer("".join(made).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    return points, np.concatenate([[0], np.cumsum([len(x) for x in made])]).astype(np.int64)
+
+
+def _counts(places: np.ndarray, to: np.ndarray, width: int) -> np.ndarray:
+    """How often each place below `width` stands in each text."""
+    return np.stack([np.bincount(places[i:j], minlength=width) for i, j in zip(to[:-1], to[1:], strict=True)]) if len(to) > 1 else np.zeros((0, width))
+
+
+def _with_nulls(values: np.ndarray, texts: pa.Array) -> pa.Array:
+    made = lists(values, pa.float64())
+    if not texts.null_count:
+        return made
+    return pa.array([None if n else v for n, v in zip(texts.is_null().to_pylist(), made.to_pylist(), strict=True)], pa.list_(pa.float64()))
+
+
 def character_means(text: Column, table: np.ndarray) -> Column:
     """The mean of the rows of a text's characters; an empty text has zeros, a null text null."""
 
     @F.arrow_udf("array<double>")
     def run(texts: pa.Array) -> pa.Array:
-        out = np.zeros((len(texts), table.shape[1]))
-        for k, x in enumerate(texts.to_pylist()):
-            if x:
-                points = np.frombuffer(x.encode("utf-32-le"), np.uint32).astype(np.int64) - 32
-                counts = np.bincount(np.where((points >= 0) & (points < 96), points, 96), minlength=97)
-                out[k] = counts @ table / len(points)
-        made = lists(out, pa.float64())
-        return pa.array([None if n else v for n, v in zip(texts.is_null().to_pylist(), made.to_pylist(), strict=True)], pa.list_(pa.float64())) if texts.null_count else made
+        points, to = _code_points(texts)
+        counts = _counts(np.where((points >= 32) & (points < 128), points - 32, 96), to, 97)
+        return _with_nulls(counts @ table / np.maximum(np.diff(to), 1)[:, None], texts)
 
     return run(text)
 
 
 def hashed_means(text: Column, dims: int = 16) -> Column:
-    """A seedless text vector that any SQL engine can follow: how often characters fall on each of `dims` places, as shares."""
-    points = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.pmod(F.ascii(c) * 31, F.lit(dims)))
-    share = lambda k: F.coalesce(F.try_divide(F.size(F.filter(points, lambda p: p == k)).cast("double"), F.size(points).cast("double")), F.lit(0.0))
-    return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), share)
+    """A seedless text vector that any SQL engine can follow: how often characters fall on each of `dims` places, as shares; zeros for an empty text, null for null."""
+
+    @F.arrow_udf("array<double>")
+    def run(texts: pa.Array) -> pa.Array:
+        points, to = _code_points(texts)
+        return _with_nulls(_counts(points * 31 % dims, to, dims) / np.maximum(np.diff(to), 1)[:, None], texts)
+
+    return run(text)
 
 
 def word_vectors(tokens: DataFrame, vocabulary: DataFrame, dims: int) -> DataFrame:
@@ -88,7 +106,7 @@ def padded(ids: Column, length: int) -> tuple[Column, Column]:
     return F.concat(F.slice(ids, 1, length), F.array_repeat(F.lit(0), F.lit(length) - n)), F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(length) - n))
 
 
-# ---------------------------------------------------------------- pooling
+# pooling
 
 
 def pooled(rows: DataFrame, keys: tuple[str, ...], mode: str = "mean", vector: str = "vector") -> DataFrame:
@@ -102,7 +120,7 @@ def pooled(rows: DataFrame, keys: tuple[str, ...], mode: str = "mean", vector: s
     return both.select(*keys, F.concat(*parts[mode]).alias("embedding"))
 
 
-# ---------------------------------------------------------------- numbers
+# numbers
 
 
 @dataclass

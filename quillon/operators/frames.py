@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-# ---------------------------------------------------------------- windows over pictures
+# windows over pictures
 
 
 def sliding_windows(pictures: DataFrame, window: int = 64, stride: int = 64, weighted: bool = False) -> DataFrame:
@@ -82,7 +82,7 @@ def detected_chunks(boxes: DataFrame, least: float = 0.5) -> DataFrame:
     return out.withColumns({"cell": F.array((-F.col("best.k")) % 3, F.floor(-F.col("best.k") / 3).cast("int")), "iou": F.col("best.iou"), "weight": area(*own) / (F.col("width") * F.col("height"))}).drop("best")
 
 
-# ---------------------------------------------------------------- frames
+# frames
 
 
 def selected_frames(frames: Column, wanted: int) -> Column:
@@ -226,7 +226,7 @@ def without_repeats(hashes: list[int], bits: int = 5, look_back: int = 8) -> lis
     return kept
 
 
-# ---------------------------------------------------------------- sound
+# sound
 
 
 def sounding_spans(samples: DataFrame, group: str, at: str, level: str, silence: float = 1e-3, least: int = 3) -> DataFrame:

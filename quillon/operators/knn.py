@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.session import Scratch
+
 DIGITS = 9
 BLOCK_ROWS = 1024
 STRIP = 64
@@ -38,7 +40,8 @@ def _cosine(q: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def _angular(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(2 * _cosine(q, c), 0))
+    # rounded first, as the root would make a visible distance of the rounding error of equal vectors
+    return np.sqrt(np.maximum(2 * np.round(_cosine(q, c), DIGITS), 0))
 
 
 def _binary(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -62,22 +65,33 @@ def _blocks(side: DataFrame, n: int, name: str) -> DataFrame:
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l1", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, id, distance, rank): the k nearest rows of the corpus for every query.
 
-    Both sides are (id, vector). A corpus of fewer than k rows gives all of them.
+    Both sides are (id, vector); vectors that cost something to make should come from a stored table (see `stored`), as each side is read
+    once for its count and once for its blocks. A corpus of fewer than k rows gives all of them.
     """
     if k <= 0:
         raise ValueError("k must be positive")
     distance = METRICS[metric]
+    # the length of the vectors is that of the query with the least id
+    asked, dims = queries.where("id is not null and vector is not null").agg(F.count("*"), F.min_by(F.size("vector"), "id")).first()
+    held = corpus.where("id is not null and vector is not null").count()
     sides = []
-    first = queries.where("vector is not null").select(F.size("vector")).first()
-    dims = first[0] if first else 0
-    for side, name in ((queries, "q"), (corpus, "c")):
-        side = side.where(F.col("id").isNotNull() & (F.size("vector") == dims)).select(F.col("id").alias(f"{name}_id"), F.col("vector").cast("array<double>").alias(f"{name}_vector"))
-        sides.append(_blocks(side, -(-side.count() // block_rows) or 1, name))
+    for side, name, rows in ((queries, "q", asked), (corpus, "c", held)):
+        side = side.where(F.col("id").isNotNull() & (F.size("vector") == (dims or 0))).select(F.col("id").alias(f"{name}_id"), F.col("vector").cast("array<double>").alias(f"{name}_vector"))
+        sides.append(_blocks(side, -(-rows // block_rows) or 1, name))
     pairs = sides[0].crossJoin(sides[1])
 
+    return top(pairs.mapInArrow(_searched(distance, k, dims or 0), _FOUND), k)
+
+
+_FOUND = "query_id long, id long, distance double"
+
+
+def _searched(distance: Callable[[np.ndarray, np.ndarray], np.ndarray], k: int, dims: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The k best of each query of a block among the rows of a block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in range(batch.num_rows):
+            for r in range(batch.num_rows if dims else 0):
                 qi, ci = (batch.column(x)[r].values.to_numpy() for x in (0, 2))
                 q, c = (batch.column(x)[r].values.to_numpy().reshape(-1, dims) for x in (1, 3))
                 for at in range(0, len(q), STRIP):
@@ -86,8 +100,12 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, metric: str = "l1", b
                     ids = np.repeat(qi[at : at + STRIP], order.shape[1])
                     yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ci[order].ravel()), pa.array(np.take_along_axis(d, order, 1).ravel())], ["query_id", "id", "distance"])
 
-    found = pairs.mapInArrow(run, "query_id long, id long, distance double")
-    return top(found, k)
+    return run
+
+
+def stored(vectors: DataFrame) -> DataFrame:
+    """The same rows, made once on all cores and read from the shared folder from then on."""
+    return Scratch(vectors.sparkSession).keep(vectors, "vectors")
 
 
 def _best(d: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -149,15 +167,13 @@ def approximate(queries: DataFrame, corpus: DataFrame, k: int, cells: int, probe
         order = np.argsort(_l2(x, centres), axis=1, kind="stable")[:, :probes].astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * order.shape[1]), pa.array(order.ravel()))
 
-    @F.arrow_udf("double")
-    def distance(a: pa.Array, b: pa.Array) -> pa.Array:
-        x, y = (v.values.to_numpy().reshape(len(v), -1) for v in (a, b))
-        return pa.array(np.round([measure(x[i : i + 1], y[i : i + 1])[0, 0] for i in range(len(x))], DIGITS))
-
-    asked = queries.where("id is not null and vector is not null").select(F.col("id").alias("query_id"), F.col("vector").cast("array<double>").alias("qv"))
-    q = asked.withColumn("cell", F.explode(closest("qv")))
-    c = own.withColumn("cell", F.get(closest("vector"), F.lit(0)))
-    return top(q.join(c, "cell").select("query_id", "id", distance("qv", "vector").alias("distance")), k)
+    asked = queries.where("id is not null and vector is not null").select(F.col("id").alias("query_id"), F.col("vector").cast("array<double>").alias("vector"))
+    # a large cell is cut into blocks of rows, each of which meets all of the cell's query blocks
+    c = own.withColumn("cell", F.get(closest("vector"), F.lit(0))).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-own.count() // (BLOCK_ROWS * cells))))))
+    q = asked.withColumn("cell", F.explode(closest("vector"))).withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-asked.count() * probes // (BLOCK_ROWS * cells))))))
+    qb = q.groupBy("cell", "part").agg(F.collect_list(F.struct("query_id", "vector")).alias("x")).select("cell", F.col("x.query_id").alias("q_ids"), F.flatten(F.col("x.vector")).alias("q_values"))
+    cb = c.groupBy("cell", "part").agg(F.collect_list(F.struct("id", "vector")).alias("x")).select("cell", F.col("x.id").alias("c_ids"), F.flatten(F.col("x.vector")).alias("c_values"))
+    return top(qb.join(cb, "cell").select("q_ids", "q_values", "c_ids", "c_values").mapInArrow(_searched(measure, k, centres.shape[1]), _FOUND), k)
 
 
 def lsh(queries: DataFrame, corpus: DataFrame, k: int, bucket: float, tables: int = 8, seed: int = 3) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillon.session import spread
+
 DELIMITERS = ".!?。！？"
 
 
@@ -14,14 +16,27 @@ def _class(delimiters: str) -> str:
     return "".join("\\" + c if c in "\\]^-[&" else c for c in delimiters)
 
 
-def _found(text: Column, delimiters: str, group: int) -> Column:
-    """The pieces with the delimiters before them (group 0), or these delimiters (group 1), of the part of a text that pieces fill.
+def _found(text: Column, delimiters: str) -> Column:
+    """The pieces, each with the delimiters before it, of the part of a text that pieces fill.
 
     What follows the last piece is cut first: a search for the next piece would run to the end of the text from each of its characters.
     """
     d = _class(delimiters)
     head = F.regexp_extract(text, f"(?s)^.*[^{d}][{d}]", 0)
-    return F.regexp_extract_all(head, F.lit(f"([{d}]*+)([^{d}]++[{d}])"), F.lit(group))
+    return F.regexp_extract_all(head, F.lit(f"[{d}]*+[^{d}]++[{d}]"), F.lit(0))
+
+
+def _pieces(docs: DataFrame, delimiters: str, key: str, text: str) -> DataFrame:
+    """(doc_id, all, whole, offset, p): the pieces of each text, or the text itself (`whole`) where it has none, and the text's length."""
+    # the text's length is taken before its pieces become rows, so that no row carries the text
+    cut = spread(docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), F.col(text).alias("t"))).select("doc_id", "t", F.length("t").alias("all"), _found(F.col("t"), delimiters).alias("found"))
+    none = F.size("found") == 0
+    return cut.select("doc_id", "all", none.alias("whole"), F.posexplode(F.when(none, F.array("t")).otherwise(F.col("found"))).alias("offset", "p"))
+
+
+def _body(delimiters: str) -> Column:
+    """A piece without the delimiters before it; a text that is no piece as it is."""
+    return F.when(F.col("whole"), F.col("p")).otherwise(F.ltrim(F.col("p"), F.lit(delimiters)))
 
 
 def cleaned(piece: Column) -> Column:
@@ -37,30 +52,16 @@ def sentences(docs: DataFrame, min_len: int = 1, max_len: int = 256, delimiters:
     at most min_len characters after cleaning are dropped, but count for `offset`. The weight is the
     share of the text that the cleaned and cut piece has.
     """
-    whole = F.col(text)
-    found, skipped = (_found(whole, delimiters, g) for g in (0, 1))
-    none = F.size(found) == 0
-    pieces = F.when(none, F.array(whole)).otherwise(found)
-    skips = F.when(none, F.array(F.lit(""))).otherwise(skipped)
-    pairs = F.arrays_zip(pieces.alias("p"), skips.alias("s"))
-    # the text's length is taken before its pieces become rows, so that no row carries the text
-    cut = docs.where(whole.isNotNull()).select(F.col(key).alias("doc_id"), F.length(whole).alias("all"), pairs.alias("pairs"))
-    each = cut.select("doc_id", "all", F.posexplode("pairs").alias("offset", "x"))
-    each = each.select("doc_id", "offset", "all", F.col("x.p").alias("p"), F.length("x.s").alias("skip"))
-    body = F.substring("p", F.col("skip") + 1, F.length("p"))
-    out = each.select("doc_id", "offset", "all", cleaned(body).alias("f"))
-    out = out.where(F.length("f") > min_len).withColumn("text", F.substring("f", 1, max_len))
+    each = _pieces(docs, delimiters, key, text).select("doc_id", "offset", "all", cleaned(_body(delimiters)).alias("f"))
+    out = each.where(F.length("f") > min_len).withColumn("text", F.substring("f", 1, max_len))
     return out.select("doc_id", "offset", "text", (F.length("text") / F.col("all")).alias("weight"))
 
 
 def sentence_places(docs: DataFrame, delimiters: str = DELIMITERS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, offset, start, end): where each piece stands in its text; ids are taken to be unique."""
-    found, skipped = (_found(F.col(text), delimiters, g) for g in (0, 1))
-    none = F.size(found) == 0
-    pairs = F.when(none, F.arrays_zip(F.array(F.col(text)).alias("p"), F.array(F.lit("")).alias("s"))).otherwise(F.arrays_zip(found.alias("p"), skipped.alias("s")))
-    each = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), F.posexplode(pairs).alias("offset", "x"))
-    end = F.sum(F.length("x.p")).over(Window.partitionBy("doc_id").orderBy("offset"))
-    return each.select("doc_id", "offset", (end - F.length("x.p") + F.length("x.s")).alias("start"), end.alias("end"))
+    each = _pieces(docs, delimiters, key, text).select("doc_id", "offset", F.length("p").alias("n"), F.length(_body(delimiters)).alias("own"))
+    end = F.sum("n").over(Window.partitionBy("doc_id").orderBy("offset"))
+    return each.select("doc_id", "offset", (end - F.col("own")).alias("start"), end.alias("end"))
 
 
 def json_documents(docs: DataFrame, column: str = "json", content: str = "Content") -> DataFrame:

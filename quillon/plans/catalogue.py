@@ -1,7 +1,7 @@
 """The queries of the engine over the test tables, each with the SQL that says the same.
 
-Every query reads its whole tables; in searches every row is a query. Sums of floating-point numbers
-are rounded, as engines add in different orders.
+Every query reads its whole tables. Searches ask with every row whose id is divisible by ASKED, against all rows. Sums of floating-point
+numbers are rounded, as engines add in different orders.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import scores
 from quillon.operators import encode, frames, knn, reduce, split
+from quillon.session import spread
 from quillon.sources import documents as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,6 +22,7 @@ ORACLES: dict[str, str] = {}
 
 K = 10
 DOCS = 100
+ASKED = 50
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Callable], Callable]:
@@ -45,7 +47,7 @@ def r6(x: Column) -> Column:
     return F.round(x, 6)
 
 
-# ---------------------------------------------------------------- text to chunks
+# text to chunks
 
 _D = split.DELIMITERS
 _PIECES = f"""
@@ -112,7 +114,7 @@ def doc_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce.batches(table(spark, sf_dir, "documents").select("doc_id"), 64)
 
 
-# ---------------------------------------------------------------- nearest neighbours
+# nearest neighbours
 
 _EMB = "emb AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE embedding IS NOT NULL)"
 _L1 = "list_sum(list_transform(list_zip(a.v, b.v), lambda p: abs(p[1] - p[2]))) / 64"
@@ -122,13 +124,19 @@ _METRICS = {
     "l1": _L1,
     "l2": "list_sum(list_transform(list_zip(a.v, b.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))",
     "cosine": _COS,
-    "binary": "list_sum(list_transform(list_zip(a.v, b.v), lambda p: CASE WHEN p[1] <> p[2] THEN 1.0 ELSE 0.0 END)) / 64",
+    "angular": f"sqrt(greatest(2 * round({_COS}, 9), 0))",
+    "binary": "list_sum(list_transform(list_zip(a.v, b.v), lambda p: CASE WHEN (p[1] > 0) <> (p[2] > 0) THEN 1.0 ELSE 0.0 END)) / 64",
 }
 
 
 def _knn_sql(metric: str, k: int = K, name: str = "near", rows: str = "emb") -> str:
     return f"""{name} AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round({metric}, 9) + 0.0 AS distance,
-  row_number() OVER (PARTITION BY a.vec_id ORDER BY round({metric}, 9), b.vec_id)::INT AS rank FROM {rows} a, {rows} b QUALIFY rank <= {k})"""
+  row_number() OVER (PARTITION BY a.vec_id ORDER BY round({metric}, 9), b.vec_id)::INT AS rank FROM {rows} a, {rows} b WHERE a.vec_id % {ASKED} = 0 QUALIFY rank <= {k})"""
+
+
+def asked(rows: DataFrame, key: str = "id") -> DataFrame:
+    """The rows that searches ask with."""
+    return rows.where(F.col(key) % ASKED == 0)
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,21 +147,15 @@ def _register_knn(metric: str) -> None:
     @query(f"knn_{metric}", f"WITH {_EMB}, {_knn_sql(_METRICS[metric])} SELECT * FROM near")
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         x = _vectors(spark, sf_dir)
-        if metric == "binary":
-            return knn.nearest(x, x, K, "binary")
-        return knn.nearest(x, x, K, metric)
+        if metric == "binary":  # over the signs, as binary codes are
+            x = x.withColumn("vector", F.transform("vector", lambda v: (v > 0).cast("double")))
+        return knn.nearest(asked(x), x, K, metric)
 
 
 for _m in _METRICS:
     _register_knn(_m)
 
 
-@query("knn_angular")
-def knn_angular(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _vectors(spark, sf_dir)
-    return knn.nearest(x, x, K, "angular")
-
-
 _CODES = "codes AS (SELECT vec_id, list_transform(range(8), lambda i: list_sum(list_transform(range(8), lambda j: CASE WHEN v[8 * i + j + 1] > 0 THEN 1 << j ELSE 0 END))::INT) AS v FROM emb)"
 
 
@@ -167,36 +169,36 @@ def _codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("knn_byte_hamming", f"WITH {_EMB}, {_CODES}, {_knn_sql('list_sum(list_transform(list_zip(a.v, b.v), lambda p: CASE WHEN p[1] <> p[2] THEN 1.0 ELSE 0.0 END))', rows='codes')} SELECT * FROM near")
 def knn_byte_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _codes(spark, sf_dir).withColumnRenamed("code", "vector")
-    return knn.nearest(x, x, K, "bytes")
+    return knn.nearest(asked(x), x, K, "bytes")
 
 
-@query("exact_code_match", f"WITH {_EMB}, {_CODES} SELECT a.vec_id AS query_id, b.vec_id AS id, 0.0::DOUBLE AS distance FROM codes a JOIN codes b ON a.v[1] = b.v[1] AND a.v[2] % 4 = b.v[2] % 4")
+@query("exact_code_match", f"WITH {_EMB}, {_CODES} SELECT a.vec_id AS query_id, b.vec_id AS id, 0.0::DOUBLE AS distance FROM codes a JOIN codes b ON a.v = b.v WHERE a.vec_id % {ASKED} = 0")
 def exact_code_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _codes(spark, sf_dir).select("id", F.array(F.get("code", F.lit(0)), F.get("code", F.lit(1)) % 4).alias("code"))
-    return knn.equal_codes(x, x)
+    x = _codes(spark, sf_dir)
+    return knn.equal_codes(asked(x), x)
 
 
 _BITS = "list_sum(list_transform(list_zip(a.v, b.v), lambda p: bit_count(xor(p[1], p[2]))))::DOUBLE"
 
 
-@query("knn_bucket_bit_hamming", f"""WITH {_EMB}, {_CODES}, pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {_BITS} AS distance FROM codes a, codes b WHERE a.v[1] % 8 = b.v[1] % 8 OR a.v[2] % 8 = b.v[2] % 8)
+@query("knn_bucket_bit_hamming", f"""WITH {_EMB}, {_CODES}, pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {_BITS} AS distance FROM codes a, codes b WHERE a.vec_id % {ASKED} = 0 AND (a.v[1] % 8 = b.v[1] % 8 OR a.v[2] % 8 = b.v[2] % 8))
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INT AS rank FROM pairs QUALIFY rank <= {K}""")
 def knn_bucket_bit_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _codes(spark, sf_dir).withColumn("clusters", F.array(F.get("code", F.lit(0)) % 8, F.get("code", F.lit(1)) % 8))
-    return knn.bucketed(x, x, K)
+    return knn.bucketed(asked(x), x, K)
 
 
 @query("knn_cells")
 def knn_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Approximate: the cells that hold a recall of at least 0.9 on vectors without structure are about half of all."""
     x = _vectors(spark, sf_dir)
-    return knn.approximate(x, x, K, cells=16, probes=11)
+    return knn.approximate(asked(x), x, K, cells=16, probes=11)
 
 
 @query("knn_lsh")
 def knn_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _vectors(spark, sf_dir)
-    return knn.lsh(x, x, K, bucket=2.0, tables=4)
+    return knn.lsh(asked(x), x, K, bucket=2.0, tables=4)
 
 
 _TEXT_VECTORS = """chars AS (SELECT doc_id, list_transform(list_filter(string_split(text, ''), lambda c: c <> ''), lambda c: (unicode(c) * 31) % 16) AS p FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
@@ -205,13 +207,13 @@ vecs AS (SELECT doc_id AS vec_id, list_transform(range(16), lambda k: coalesce(l
 
 @query("search_text", f"WITH {_TEXT_VECTORS}, {_knn_sql('list_sum(list_transform(list_zip(a.v, b.v), lambda p: abs(p[1] - p[2]))) / 16', 5, rows='vecs')} SELECT * FROM near")
 def search_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document as a query against all documents, by the shares of its characters."""
+    """Documents against all documents, by the shares of their characters; the vectors are made once."""
     docs = table(spark, sf_dir, "documents").where("doc_id is not null and text is not null")
-    x = docs.select(F.col("doc_id").alias("id"), encode.hashed_means(F.col("text")).alias("vector"))
-    return knn.nearest(x, x, 5, "l1")
+    x = knn.stored(spread(docs.select("doc_id", "text")).select(F.col("doc_id").alias("id"), encode.hashed_means(F.col("text")).alias("vector")))
+    return knn.nearest(asked(x), x, 5, "l1")
 
 
-# ---------------------------------------------------------------- scores over hits
+# scores over hits
 
 _HITS = f"""{_EMB}, {_knn_sql(_L1)}, counts AS (SELECT vec_id % {DOCS} AS doc_id, count(*) AS n_chunks FROM emb GROUP BY 1), sizes AS (SELECT count(*) AS chunks, count(DISTINCT vec_id % {DOCS}) AS docs FROM emb),
 hits AS (SELECT query_id % {DOCS} AS query_id, query_id // {DOCS} AS query_offset, id % {DOCS} AS doc_id, id // {DOCS} AS "offset", round(1 / (1 + sqrt(distance)), 9) AS relevance,
@@ -223,7 +225,7 @@ _KEYS = ("query_id", "query_offset", "doc_id", "offset")
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hits of all chunks, a chunk being a vector, its document the remainder of its id and its offset the quotient."""
     x = _vectors(spark, sf_dir)
-    near = knn.nearest(x, x, K, "l1")
+    near = knn.nearest(asked(x), x, K, "l1")
     part = lambda c: (F.col(c) % DOCS, F.floor(F.col(c) / DOCS))
     (q, qo), (d, o) = part("query_id"), part("id")
     return near.select(q.alias("query_id"), qo.alias("query_offset"), d.alias("doc_id"), o.alias("offset"), r9(scores.normalizer1(F.col("distance"))).alias("relevance"), (F.lit(1.0) / (1 + qo)).alias("query_weight"), (F.lit(1.0) / (1 + o)).alias("weight"))
@@ -290,7 +292,7 @@ _SHARDS = f"{_EMB}, {_knn_sql(_L1).replace('PARTITION BY a.vec_id', 'PARTITION B
 def _sharded(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     """The hits of four shards, each with its own top k."""
     x = _vectors(spark, sf_dir)
-    found = [knn.nearest(x, x.where(F.col("id") % 4 == s), K, "l1") for s in range(4)]
+    found = [knn.nearest(asked(x), x.where(F.col("id") % 4 == s), K, "l1") for s in range(4)]
     return [f.select("query_id", (F.col("id") % DOCS).alias("doc_id"), F.floor(F.col("id") / DOCS).alias("offset"), r9(scores.normalizer1(F.col("distance"))).alias("score")) for f in found]
 
 
@@ -304,7 +306,7 @@ def chunk_topk_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce.merged_chunks(_sharded(spark, sf_dir)).withColumn("score", r6(F.col("score")))
 
 
-# ---------------------------------------------------------------- documents of results
+# documents of results
 
 
 @query("search_documents", f"""WITH {_HITS}, d AS (SELECT query_id, doc_id, sum(relevance) AS s, count(*) AS n FROM hits GROUP BY ALL)
@@ -352,7 +354,7 @@ def doc_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce.filled([lacking, docs], ("doc_id",), "text").join(lacking.withColumnRenamed("text", "first_only"), "doc_id")
 
 
-# ---------------------------------------------------------------- score expressions
+# score expressions
 
 _MODIFIER_SQL = {
     "none": "x", "log": "CASE WHEN x > 0 THEN log10(x) END", "log1p": "CASE WHEN x + 1 > 0 THEN log10(x + 1) END", "log2p": "CASE WHEN x + 2 > 0 THEN log10(x + 2) END",
@@ -393,7 +395,7 @@ def score_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce.explained_docs(hits)
 
 
-# ---------------------------------------------------------------- encoders
+# encoders
 
 
 def _exploded(rows: DataFrame, *keys: str, vector: str = "embedding") -> DataFrame:
@@ -544,10 +546,10 @@ def hash_fit_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _vectors(spark, sf_dir)
     coded = rows.select("id", encode.Hasher.fit(rows, n_bytes=8, slots=2, clusters=4)(F.col("vector")).alias("c"))
     x = coded.select("id", F.slice("c", 1, 2).alias("clusters"), F.slice("c", 3, 8).alias("code"))
-    return knn.bucketed(x, x, K)
+    return knn.bucketed(asked(x), x, K)
 
 
-# ---------------------------------------------------------------- frames, shots, boxes
+# frames, shots, boxes
 
 
 @query("frame_select", "SELECT vec_id, [v[33]] AS middle, list_filter(v, lambda x, i: (i - 1) % 7 = 0) AS ten FROM (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)")
@@ -627,7 +629,7 @@ def hist_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("vec_id", *((r6(frames.histogram_distance(F.col("a"), F.col("b"), m)) + F.lit(0.0)).alias(m) for m in _METRIC_NAMES))
 
 
-# ---------------------------------------------------------------- routes and barriers
+# routes and barriers
 
 
 @query("barrier_batch", "SELECT user_id AS request_id, count(DISTINCT event_type) AS n_parts, max(4 + user_id % 3) AS num_parts, count(DISTINCT event_type) >= max(4 + user_id % 3) AS complete FROM events GROUP BY user_id")

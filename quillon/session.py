@@ -43,6 +43,15 @@ def shared_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores where a table comes in fewer pieces than there are cores; a table of more pieces isn't shuffled.
+
+    For small files before a heavy step: a Parquet file isn't read by more tasks than it has row groups.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use spark.checkpoint.dir of the session; only where none is set (local sessions), make one."""
     folder = shared_folder(spark)

@@ -25,7 +25,7 @@ def value(spark: SparkSession, column) -> object:
     return spark.range(1).select(column.alias("x")).first().x
 
 
-# ---------------------------------------------------------------- scores
+# scores
 
 
 @pytest.mark.parametrize(("expression", "expected"), [
@@ -60,7 +60,7 @@ def test_chunk_scores_sum_up(spark: SparkSession) -> None:
     assert got == {1: (0.6, 3), 2: (0.4, 1), 3: (0.3, 1)}
 
 
-# ---------------------------------------------------------------- text
+# text
 
 
 def _pieces(text: str, least: int = 1, most: int = 256) -> list[tuple[int, str]]:
@@ -95,7 +95,7 @@ def test_json_documents(spark: SparkSession) -> None:
         split.chain(docs)
 
 
-# ---------------------------------------------------------------- nearest neighbours
+# nearest neighbours
 
 
 @pytest.mark.parametrize("metric", sorted(knn.METRICS))
@@ -120,7 +120,7 @@ def test_few_rows_and_wrong_k(spark: SparkSession) -> None:
         sources.query_rows(side, 0)
 
 
-# ---------------------------------------------------------------- encoders and frames
+# encoders and frames
 
 
 def test_quantisers_and_groups() -> None:
@@ -177,7 +177,7 @@ def test_slots(spark: SparkSession) -> None:
         bound(rows.drop("samples"))
 
 
-# ---------------------------------------------------------------- merging
+# merging
 
 
 def test_merging_of_results(spark: SparkSession) -> None:
@@ -212,7 +212,7 @@ def test_barrier_over_a_stream(spark: SparkSession, tmp_path: Path) -> None:
     assert all(v[2] == "expired" for k, v in got.items() if k in (("r", 2), ("r", 3)))
 
 
-# ---------------------------------------------------------------- sources
+# sources
 
 
 def test_sources(spark: SparkSession, tmp_path: Path) -> None:
@@ -242,7 +242,7 @@ def test_document_store(spark: SparkSession, tmp_path: Path) -> None:
     assert [r.text for r in sources.read_chunk_files(spark, str(tmp_path / "chunks"), 1).orderBy("offset").collect()] == ["a", "b"]
 
 
-# ---------------------------------------------------------------- flows
+# flows
 
 
 def test_flow(spark: SparkSession) -> None:
@@ -268,7 +268,7 @@ def test_flow_from_yaml(spark: SparkSession) -> None:
         Flow.from_yaml("[{name: a, use: os.system}]")
 
 
-# ---------------------------------------------------------------- models and logs
+# models and logs
 
 
 def test_models_come_back(spark: SparkSession, tmp_path: Path) -> None:
