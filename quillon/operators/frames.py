@@ -136,26 +136,6 @@ def histogram_distance(a: Column, b: Column, metric: str) -> Column:
     raise ValueError(f"unknown metric {metric!r}")
 
 
-def rgb_histogram(pixels: Column, bins: int = 256) -> Column:
-    """Counts by value of a flat array of 0..255, in one pass over an Arrow batch."""
-
-    @F.arrow_udf("array<int>")
-    def run(x: pa.Array) -> pa.Array:
-        return pa.array([None if v is None else np.bincount(np.array(v, np.int64) * bins // 256, minlength=bins).astype(np.int32) for v in x.to_pylist()], pa.list_(pa.int32()))
-
-    return run(pixels)
-
-
-def block_histogram(pixels: np.ndarray, blocks: int = 3, bins: int = 64) -> np.ndarray:
-    """Histograms of a grid of blocks, one after the other."""
-    return np.concatenate([np.bincount(b.ravel().astype(np.int64) * bins // 256, minlength=bins) for row in np.array_split(pixels, blocks) for b in np.array_split(row, blocks, axis=1)])
-
-
-def pyramid_histogram(pixels: np.ndarray, levels: int = 3, bins: int = 64) -> np.ndarray:
-    """Histograms of the whole, of 2 by 2 blocks, of 4 by 4 blocks and so on."""
-    return np.concatenate([block_histogram(pixels, 1 << k, bins) for k in range(levels)])
-
-
 def smoothed(series: DataFrame, group: str, at: str, value: str, rounds: int = 1) -> DataFrame:
     """The greatest of each value and its neighbours, `rounds` times; the rows at either end go each time."""
     w = Window.partitionBy(group).orderBy(at)
@@ -175,57 +155,6 @@ def shots(series: DataFrame, group: str, at: str, value: str, threshold: float)
     return by.withColumn("weight", F.col("n") / F.sum("n").over(Window.partitionBy(group)))
 
 
-def peaks(distances: np.ndarray, threshold: float = 0.6, apart: int = 10, most: int = 30) -> list[int]:
-    """Local maxima of at least the threshold, greatest first, at least `apart` from one another, `most` of them, in order of place."""
-    d = np.asarray(distances, float)
-    padded = np.concatenate([[-np.inf], d, [-np.inf]])
-    high = np.flatnonzero((d >= threshold) & (d >= padded[:-2]) & (d > padded[2:]))
-    chosen: list[int] = []
-    for k in high[np.lexsort((high, -d[high]))]:
-        if all(abs(int(k) - j) >= apart for j in chosen):
-            chosen.append(int(k))
-    return sorted(chosen[:most])
-
-
-def shot_boundaries(series: DataFrame, group: str, at: str, value: str, threshold: float = 0.6, apart: int = 10, most: int = 30) -> DataFrame:
-    """(group, boundaries): the peaks of a series of distances; the choice is greedy, so it runs group by group on sorted arrays."""
-    gathered = series.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(at, value))).alias("a")).select(group, F.col(f"a.{at}").alias("at"), F.col(f"a.{value}").alias("d"))
-
-    @F.arrow_udf("array<long>")
-    def run(places: pa.Array, d: pa.Array) -> pa.Array:
-        return pa.array([[p[k] for k in peaks(np.array(x), threshold, apart, most)] for p, x in zip(places.to_pylist(), d.to_pylist(), strict=True)], pa.list_(pa.int64()))
-
-    return gathered.select(group, run(F.col("at").cast("array<long>"), F.col("d").cast("array<double>")).alias("boundaries"))
-
-
-def motion_filtered(boundaries: list[int], distances: np.ndarray, look_back: int = 15) -> list[int]:
-    """The boundaries whose distance exceeds the mean of those just before by its deviation."""
-    d = np.asarray(distances, float)
-    kept = []
-    for k in boundaries:
-        before = d[max(0, k - look_back) : k]
-        if not len(before) or d[k] > before.mean() + before.std():
-            kept.append(k)
-    return kept
-
-
-def edge_change(edges: np.ndarray, other: np.ndarray) -> float:
-    """The greater share of edge pixels that come in or go out between two edge maps."""
-    a, b = np.asarray(edges, bool), np.asarray(other, bool)
-    gone = (a & ~b).sum() / max(a.sum(), 1)
-    come = (b & ~a).sum() / max(b.sum(), 1)
-    return float(max(gone, come))
-
-
-def without_repeats(hashes: list[int], bits: int = 5, look_back: int = 8) -> list[int]:
-    """The frames, by index, whose hash differs by more than `bits` from each of the last ones kept."""
-    kept: list[int] = []
-    for k, h in enumerate(hashes):
-        if all((h ^ hashes[j]).bit_count() > bits for j in kept[-look_back:]):
-            kept.append(k)
-    return kept
-
-
 # sound
 
 

@@ -131,6 +131,12 @@ def equal_codes(queries: DataFrame, corpus: DataFrame) -> DataFrame:
     return q.join(c, "code").select("query_id", "id", F.lit(0.0).alias("distance"))
 
 
+def exact_first(exact: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """(query_id, id, distance, rank): equal rows first, then what an approximate search found at a distance, k of them in all; ties by id."""
+    other = found.where("distance > 0").select("query_id", "id", "distance")
+    return top(exact.select("query_id", "id", F.lit(0.0).alias("distance")).union(other).groupBy("query_id", "id").agg(F.min("distance").alias("distance")), k)
+
+
 def bit_distance(a: Column, b: Column) -> Column:
     """The number of differing bits of two arrays of bytes."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)).cast("int")), F.lit(0), lambda n, x: n + x)

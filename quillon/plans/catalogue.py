@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.functions import scores
-from quillon.operators import encode, frames, knn, reduce, split
+from quillon.operators import encode, frames, knn, reduce, split, video
 from quillon.session import spread
 from quillon.sources import documents as sources
 
@@ -338,6 +338,15 @@ def joint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.chunk_of_document(_hits(spark, sf_dir), chunks).select(*_KEYS, "relevance", "label")
 
 
+@query("exact_first", f"""WITH {_EMB}, {_CODES}, pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {_BITS} AS distance FROM codes a, codes b WHERE a.vec_id % {ASKED} = 0 AND (a.v = b.v OR a.v[1] % 8 = b.v[1] % 8 OR a.v[2] % 8 = b.v[2] % 8))
+SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id)::INT AS rank FROM pairs QUALIFY rank <= {K}""")
+def exact_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal codes, then those found by bits among the rows of the same buckets."""
+    x = _codes(spark, sf_dir)
+    found = knn_bucket_bit_hamming(spark, sf_dir)
+    return knn.exact_first(knn.equal_codes(asked(x), x), found, K)
+
+
 @query("chunk_info", "SELECT e.vec_id AS seq, e.vec_id % 100 AS doc_id, e.vec_id // 100 AS \"offset\", floor((e.vec_id % 1000) / 1000.0 * 65535.0) / 65535.0 AS weight FROM embeddings e")
 def chunk_info(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions to keys, with weights as they come back from 16 bits."""
@@ -572,9 +581,103 @@ def shot_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.shots(table(spark, sf_dir, "events"), "user_id", "event_id", "value", 20.0)
 
 
-@query("shot_peaks")
-def shot_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return frames.shot_boundaries(table(spark, sf_dir, "events"), "user_id", "event_id", "value", threshold=20.0)
+def _boundaries_sql(method: str) -> str:
+    """Peaks as runs of equal values above both neighbours, thinned by height, and from these the boundaries, over series(g, d)."""
+    before = "CASE WHEN i >= 15 THEN list_slice(d, i - 14, i) ELSE list_slice(d, greatest(i - 15 + len(d), 0) + 1, i) END"
+    still = "true" if method == "threshold" else f"2 * len(list_filter({before}, lambda x: x > 0.75 * d[i + 1])) < len({before})"
+    return f"""x AS (SELECT g, unnest(d) AS v, (generate_subscripts(d, 1) - 1)::INT AS i, list_min(d) AS lo, list_max(d) AS hi FROM series),
+t AS (SELECT *, CASE WHEN v = lag(v) OVER (PARTITION BY g ORDER BY i) THEN 0 ELSE 1 END AS t FROM x),
+u AS (SELECT *, sum(t) OVER (PARTITION BY g ORDER BY i) AS run FROM t),
+r AS (SELECT g, run, min(v) AS v, min(i) AS s, max(i) AS e, min(lo) AS lo, min(hi) AS hi FROM u GROUP BY g, run),
+h AS (SELECT *, lag(v) OVER w AS a, lead(v) OVER w AS b FROM r WINDOW w AS (PARTITION BY g ORDER BY run)),
+p AS (SELECT g, ((s + e) // 2)::INT AS i, v FROM h WHERE v > a AND v > b AND v > 0.6 * (hi - lo) + lo),
+nms AS (
+  SELECT g, list(i ORDER BY v DESC, i DESC) AS rest, []::INT[] AS chosen FROM p GROUP BY g
+  UNION ALL SELECT g, list_filter(rest, lambda q: abs(q - rest[1]) > 10), list_append(chosen, rest[1]) FROM nms WHERE len(rest) > 0
+),
+c AS (SELECT g, list_sort(list_slice(chosen, 1, 29)) AS c FROM nms WHERE len(rest) = 0),
+o AS (SELECT g, d, c, unnest(c) AS i, generate_subscripts(c, 1) AS k FROM c JOIN series USING (g)),
+f AS (SELECT g, list(i + 1 ORDER BY i) AS b FROM o WHERE k = 1 OR {still} GROUP BY g),
+every AS (SELECT g, len(d) + 1 AS n, list_prepend(0, coalesce(b, []::INT[])) AS b FROM series LEFT JOIN f USING (g)),
+cuts AS (SELECT g, n, CASE WHEN len(b) = 1 OR b[-1] < n - 10 THEN list_append(b, n::INT) WHEN b[-1] > n THEN list_append(b[:-2], n::INT) ELSE b END AS b FROM every)"""
+
+
+def _register_boundaries(method: str) -> None:
+    @query(f"shot_{method}", f"WITH RECURSIVE series AS (SELECT user_id AS g, list(value ORDER BY event_id) AS d FROM events GROUP BY user_id), {_boundaries_sql(method)} SELECT g AS user_id, array_to_string(b, ' ') AS boundaries FROM cuts")
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = video.shot_boundaries(table(spark, sf_dir, "events"), "user_id", "event_id", "value", method)
+        return found.select("user_id", F.array_join(F.col("boundaries").cast("array<string>"), " ").alias("boundaries"))
+
+
+for _m in ("threshold", "motion"):
+    _register_boundaries(_m)
+
+
+@query("shot_kmeans")
+def shot_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The boundaries where the greater of two clusters of distances lies."""
+    return video.shot_boundaries(table(spark, sf_dir, "events"), "user_id", "event_id", "value", "kmeans")
+
+
+_LEVELS = "list_transform(embedding, lambda v: greatest(0, least(255, floor((v::DOUBLE + 1) * 127.5)))::INT)"
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures of 8 x 8 grey pixels made of vectors; a label is a video, and vectors are its frames in order."""
+    level = lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((v.cast("double") + 1) * 127.5))).cast("int")
+    e = table(spark, sf_dir, "embeddings").where("embedding is not null")
+    return e.select(F.col("label").cast("long").alias("doc_id"), F.col("vec_id").alias("pos"), F.lit(8).alias("height"), F.lit(8).alias("width"), F.lit(1).alias("channels"), F.transform("embedding", level).alias("pixels"))
+
+
+@query("video_shots", f"""WITH RECURSIVE px AS (SELECT label, vec_id, unnest({_LEVELS}) AS v FROM embeddings WHERE embedding IS NOT NULL), hist AS (SELECT label, vec_id, v, count(*) / 64::DOUBLE AS n FROM px GROUP BY ALL),
+ord AS (SELECT label, vec_id, lag(vec_id) OVER (PARTITION BY label ORDER BY vec_id) AS before FROM embeddings WHERE embedding IS NOT NULL),
+pairs AS (
+  SELECT o.label, o.vec_id, h.v, h.n AS x, 0.0::DOUBLE AS y FROM ord o JOIN hist h ON h.vec_id = o.before
+  UNION ALL SELECT o.label, o.vec_id, h.v, 0.0::DOUBLE, h.n FROM ord o JOIN hist h ON h.vec_id = o.vec_id WHERE o.before IS NOT NULL
+),
+dist AS (SELECT label, vec_id, round(sum(2 * (x - y) * (x - y) / (x + y)), 9) AS d FROM (SELECT label, vec_id, v, sum(x) AS x, sum(y) AS y FROM pairs GROUP BY ALL) GROUP BY ALL),
+series AS (SELECT label AS g, list(d ORDER BY vec_id) AS d FROM dist GROUP BY label), {_boundaries_sql("threshold")}
+SELECT g::BIGINT AS doc_id, (k - 1)::INT AS "offset", b[k] AS first, b[k + 1] - b[k] AS n_frames, round((b[k + 1] - b[k]) / n::DOUBLE, 9) AS weight FROM (SELECT g, n, b, unnest(range(1, len(b))) AS k FROM cuts)""")
+def video_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames to histograms, distances, boundaries and shots."""
+    made = video.descriptors(_frames(spark, sf_dir), "rgb_histogram")
+    far = video.neighbour_distances(made, "chisqr_alt").withColumn("distance", r9(F.col("distance")))
+    return video.chunks_of_shots(made, video.shot_boundaries(far, "doc_id", "pos", "distance")).withColumn("weight", r9(F.col("weight")))
+
+
+@query("frame_repeats")
+def frame_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames that differ from those kept before them, by perceptual hash."""
+    return video.without_repeats(video.hashes(_frames(spark, sf_dir)))
+
+
+@query("frame_clusters")
+def frame_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return video.clustered_segments(video.hashes(_frames(spark, sf_dir)), 3)
+
+
+_OUT = ", ".join(f"round_even((l[{16 * i + 2 * j + 1}] + l[{16 * i + 2 * j + 2}] + l[{16 * i + 2 * j + 9}] + l[{16 * i + 2 * j + 10}]) / 4.0::DOUBLE, 0)::INT" for i in range(4) for j in range(4))
+
+
+@query("resize", f"SELECT vec_id, 4::INT AS height, 4::INT AS width, [{_OUT}] AS pixels FROM (SELECT vec_id, {_LEVELS} AS l FROM embeddings WHERE embedding IS NOT NULL)")
+def resize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return video.resized_pictures(_frames(spark, sf_dir), 4, 4).select(F.col("pos").alias("vec_id"), "height", "width", "pixels")
+
+
+@query("cepstrum", f"WITH {_EACH} SELECT vec_id, c::INT AS k, round(sum(x * cos(pi() * (2 * k + 1) * c / 128)) * sqrt(2 / 64.0::DOUBLE) / CASE WHEN c = 0 THEN sqrt(2) ELSE 1 END, 6) + 0.0 AS x FROM each, (SELECT unnest(range(13)) AS c) GROUP BY vec_id, c")
+def cepstrum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as one log-mel frame of 64 bands each."""
+    return _exploded(_vectors(spark, sf_dir).select(F.col("id").alias("vec_id"), video.cepstrum(F.array("vector"), 13, 1).alias("embedding")), "vec_id")
+
+
+@query("whole_pictures", """WITH b AS (SELECT l_orderkey AS doc_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_discount) - 1)::INT AS "offset", (l_partkey % 3)::INT AS x, (l_suppkey % 3)::INT AS y, l_discount::DOUBLE AS weight FROM lineitem WHERE l_quantity > 10)
+SELECT doc_id, "offset", x, y, weight FROM b UNION ALL SELECT o_orderkey, count("offset")::INT, 100, 100, 1.0 FROM orders LEFT JOIN b ON doc_id = o_orderkey GROUP BY o_orderkey""")
+def whole_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as detected chunks of orders, and each order as a whole."""
+    at = (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_discount")) - 1).alias("offset")
+    chunks = table(spark, sf_dir, "lineitem").where("l_quantity > 10").select(F.col("l_orderkey").alias("doc_id"), at, F.array((F.col("l_partkey") % 3).cast("int"), (F.col("l_suppkey") % 3).cast("int")).alias("cell"), F.col("l_discount").cast("double").alias("weight"))
+    made = video.with_whole_pictures(chunks, table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id")))
+    return made.select("doc_id", "offset", F.get("cell", F.lit(0)).alias("x"), F.get("cell", F.lit(1)).alias("y"), "weight")
 
 
 @query("smooth_max3", """WITH a AS (SELECT user_id, event_id, greatest(lag(value) OVER w, value, lead(value) OVER w) AS value, lag(value) OVER w IS NOT NULL AND lead(value) OVER w IS NOT NULL AS inner_row FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
