@@ -2,6 +2,10 @@
 
     flow = Flow().add("split", sentences).add("encode", encode).add("merge", merge, after=("split", "encode"))
     flow.run(docs)
+
+A step is a function of DataFrames. A step with a method `fit` is an estimator: `train` gives the flow with what it fitted in its
+place, and an untrained one doesn't run. A flow may have further sources, which `run` takes by name. `index` writes the result of a
+flow, `query` runs one with what is written as its source `index`.
 """
 
 from __future__ import annotations
@@ -33,6 +37,10 @@ def register(name: str) -> Callable[[Callable[..., Step]], Callable[..., Step]]:
 class Node:
     after: tuple[str, ...]
     step: Step = field(compare=False)
+    kind: str = field(default="step", compare=False)
+    #: What a configuration named, to export it again.
+    use: str | None = field(default=None, compare=False)
+    options: tuple[tuple[str, object], ...] = field(default=(), compare=False)
 
 
 @dataclass(frozen=True)
@@ -41,26 +49,51 @@ class Flow:
 
     nodes: tuple[tuple[str, Node], ...] = ()
     last: str = SOURCE
+    sources: tuple[str, ...] = (SOURCE,)
 
     def _names(self) -> dict[str, Node]:
         return dict(self.nodes)
 
-    def add(self, name: str, step: Step, after: str | tuple[str, ...] | None = None) -> Flow:
+    def source(self, name: str) -> Flow:
+        """A further source, which steps may follow and `run` takes by name."""
+        if not name.isidentifier() or name in self._names() or name in self.sources:
+            raise ValueError(f"{name!r} can't be the name of a source")
+        return replace(self, sources=(*self.sources, name))
+
+    def add(self, name: str, step: Step, after: str | tuple[str, ...] | None = None, kind: str = "step", use: str | None = None, options: dict | None = None) -> Flow:
         """A further step; without `after` it follows the one added or changed last."""
         names = self._names()
-        if not name.isidentifier() or name == SOURCE:
+        if not name.isidentifier() or name in self.sources:
             raise ValueError(f"{name!r} can't be a name")
         if name in names:
             raise ValueError(f"{name} is there already")
         after = (self.last,) if after is None else (after,) if isinstance(after, str) else tuple(after)
         self._check(name, after, names)
-        return replace(self, nodes=(*self.nodes, (name, Node(after, step))), last=name)
+        return replace(self, nodes=(*self.nodes, (name, Node(after, step, kind, use, tuple(sorted((options or {}).items()))))), last=name)
+
+    def add_preprocessor(self, name: str, step: Step, after: str | tuple[str, ...] | None = None) -> Flow:
+        return self.add(name, step, after, "preprocessor")
+
+    def add_encoder(self, name: str, step: Step, after: str | tuple[str, ...] | None = None) -> Flow:
+        return self.add(name, step, after, "encoder")
+
+    def add_indexer(self, name: str, step: Step, after: str | tuple[str, ...] | None = None) -> Flow:
+        return self.add(name, step, after, "indexer")
+
+    def add_router(self, name: str, step: Step, after: str | tuple[str, ...] | None = None) -> Flow:
+        return self.add(name, step, after, "router")
+
+    def use(self, name: str, registered: str, after: str | tuple[str, ...] | None = None, **options: object) -> Flow:
+        """A step that is registered, with its options."""
+        if registered not in REGISTRY:
+            raise ValueError(f"nothing is registered as {registered!r}")
+        return self.add(name, REGISTRY[registered](**options), after, use=registered, options=options)
 
     def _check(self, name: str, after: tuple[str, ...], names: dict[str, Node]) -> None:
         for a in after:
             if a == name:
                 raise ValueError(f"{name} can't follow itself")
-            if a != SOURCE and a not in names:
+            if a not in self.sources and a not in names:
                 raise ValueError(f"no step {a}")
 
     def set(self, name: str, step: Step | None = None, after: str | tuple[str, ...] | None = None) -> Flow:
@@ -71,7 +104,7 @@ class Flow:
         old = names[name]
         after = old.after if after is None else (after,) if isinstance(after, str) else tuple(after)
         self._check(name, after, names)
-        names[name] = Node(after, step or old.step)
+        names[name] = replace(old, after=after) if step is None else Node(after, step, old.kind)
         made = replace(self, nodes=tuple(names.items()), last=name)
         made.order()
         return made
@@ -94,7 +127,7 @@ class Flow:
 
     def order(self) -> list[str]:
         """Names so that each comes after its inputs; a cycle is an error."""
-        names, done, out = self._names(), {SOURCE}, []
+        names, done, out = self._names(), set(self.sources), []
         while len(out) < len(names):
             ready = [k for k, n in names.items() if k not in done and all(a in done for a in n.after)]
             if not ready:
@@ -103,15 +136,38 @@ class Flow:
             done.update(ready)
         return out
 
-    def run(self, source: DataFrame) -> DataFrame:
-        """The plan of the last step over a source. A step that several others follow is one plan that Spark can reuse."""
+    def run(self, source: DataFrame, **others: DataFrame) -> DataFrame:
+        """The plan of the last step over its sources. A step that several others follow is one plan that Spark can reuse."""
+        return self._made(source, others, train=False)[0]
+
+    def train(self, source: DataFrame, **others: DataFrame) -> Flow:
+        """The flow with each estimator fitted to what comes in to it. Fitted steps and plain ones stay as they are."""
+        return self._made(source, others, train=True)[1]
+
+    def index(self, path: str, source: DataFrame, **others: DataFrame) -> None:
+        """Adds the result to the table at `path`."""
+        self.run(source, **others).write.mode("append").parquet(path)
+
+    def query(self, path: str, source: DataFrame, **others: DataFrame) -> DataFrame:
+        """The result over a source, with the table at `path` as the source `index`."""
+        return self.run(source, index=source.sparkSession.read.parquet(path), **others)
+
+    def _made(self, source: DataFrame, others: dict[str, DataFrame], train: bool) -> tuple[DataFrame, Flow]:
         if not self.nodes:
             raise ValueError("a flow needs a step")
-        made = {SOURCE: source}
+        if missing := [x for x in self.sources[1:] if x not in others]:
+            raise ValueError(f"no source {', '.join(missing)}")
+        made = {SOURCE: source} | others
         names = self._names()
         for k in self.order():
-            made[k] = names[k].step(*(made[a] for a in names[k].after))
-        return made[self.last]
+            step, inputs = names[k].step, [made[a] for a in names[k].after]
+            if hasattr(step, "fit"):
+                if not train:
+                    raise ValueError(f"{k} has to be trained")
+                step = step.fit(*inputs)
+                names[k] = replace(names[k], step=step)
+            made[k] = step(*inputs)
+        return made[self.last], replace(self, nodes=tuple(names.items()))
 
     def mermaid(self) -> str:
         return "\n".join(["graph LR", *(f"{a}-->{k}" for k, n in self.nodes for a in n.after)])
@@ -120,15 +176,36 @@ class Flow:
         """The names and inputs as JSON."""
         return json.dumps({k: list(n.after) for k, n in self.nodes}, sort_keys=True)
 
+    def to_config(self) -> list[dict]:
+        """What `from_config` makes this flow from; every step must be a registered one."""
+        if plain := [k for k, n in self.nodes if n.use is None]:
+            raise ValueError(f"not registered: {', '.join(plain)}")
+        steps = [{"name": k, "use": n.use, "with": dict(n.options), "after": list(n.after)} for k, n in self.nodes]
+        return [*({"source": x} for x in self.sources[1:]), *steps]
+
+    def to_yaml(self) -> str:
+        import yaml
+
+        return yaml.safe_dump(self.to_config(), sort_keys=False)
+
+    def to_code(self) -> str:
+        """Python that makes this flow from registered steps."""
+        lines = ["Flow()", *(f".source({x!r})" for x in self.sources[1:])]
+        for entry in self.to_config()[len(self.sources) - 1 :]:
+            options = "".join(f", {k}={v!r}" for k, v in entry["with"].items())
+            lines.append(f".use({entry['name']!r}, {entry['use']!r}, after={tuple(entry['after'])!r}{options})")
+        return "(" + "\n    ".join(lines) + ")"
+
     @classmethod
     def from_config(cls, config: list[dict]) -> Flow:
-        """From entries {name, use, with, after}; `use` is a registered factory, and nothing else is looked up or evaluated."""
+        """From entries {name, use, with, after} and {source}; `use` is a registered factory, and nothing else is looked up or evaluated."""
         flow = cls()
         for entry in config:
-            if entry["use"] not in REGISTRY:
-                raise ValueError(f"nothing is registered as {entry['use']!r}")
+            if "source" in entry:
+                flow = flow.source(entry["source"])
+                continue
             after = entry.get("after")
-            flow = flow.add(entry["name"], REGISTRY[entry["use"]](**entry.get("with", {})), tuple(after) if isinstance(after, list) else after)
+            flow = flow.use(entry["name"], entry["use"], tuple(after) if isinstance(after, list) else after, **entry.get("with", {}))
         return flow
 
     @classmethod
@@ -136,3 +213,22 @@ class Flow:
         import yaml
 
         return cls.from_config(yaml.safe_load(text))
+
+
+def _open(kind: str) -> Step:
+    def step(*_: DataFrame) -> DataFrame:
+        raise NotImplementedError(f"give this {kind} a step with set()")
+
+    return step
+
+
+def index_flow() -> Flow:
+    """Preparation, encoding, the table of vectors beside that of documents, and their join; the steps are to be given with `set`."""
+    flow = Flow().add_preprocessor("prep", _open("preprocessor")).add_encoder("enc", _open("encoder")).add_indexer("vec_idx", _open("indexer"))
+    return flow.add_indexer("doc_idx", _open("indexer"), after="prep").add_router("sync", _open("router"), after=("vec_idx", "doc_idx"))
+
+
+def query_flow() -> Flow:
+    """Preparation, encoding, search, scores by document, the documents; the steps are to be given with `set`."""
+    flow = Flow().add_preprocessor("prep", _open("preprocessor")).add_encoder("enc", _open("encoder")).add_indexer("vec_idx", _open("indexer"))
+    return flow.add_router("scorer", _open("router")).add_indexer("doc_idx", _open("indexer"))
