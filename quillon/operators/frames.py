@@ -57,12 +57,6 @@ def histogram_weights(values: DataFrame, group: str, item: str, bin_of: Column)
     return e.select(group, item, (F.col("e") / F.sum("e").over(w)).alias("weight"))
 
 
-def grid_boxes(width: Column, height: Column) -> Column:
-    """The nine boxes of a 3 by 3 grid, as structs of column, row and edges."""
-    cell = lambda k: F.struct((k % 3).alias("i"), F.floor(k / 3).cast("int").alias("j"), (width * (k % 3) / 3).alias("x0"), (height * F.floor(k / 3) / 3).alias("y0"), (width * (k % 3 + 1) / 3).alias("x1"), (height * (F.floor(k / 3) + 1) / 3).alias("y1"))
-    return F.transform(F.sequence(F.lit(0), F.lit(8)), cell)
-
-
 def area(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.greatest(x1 - x0, F.lit(0.0)) * F.greatest(y1 - y0, F.lit(0.0))
 
@@ -77,9 +71,14 @@ def overlap(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
 def detected_chunks(boxes: DataFrame, least: float = 0.5) -> DataFrame:
     """Detector boxes (doc_id, score, x0, y0, x1, y1, width, height) of at least a score as chunks, with area share and the grid cell of greatest overlap."""
     own = tuple(F.col(c) for c in ("x0", "y0", "x1", "y1"))
-    best = F.array_max(F.transform(grid_boxes(F.col("width"), F.col("height")), lambda g: F.struct(overlap(own, (g["x0"], g["y0"], g["x1"], g["y1"])).alias("iou"), (-(g["j"] * 3 + g["i"])).alias("k"))))
-    out = boxes.where(F.col("score") >= least).withColumn("best", best)
-    return out.withColumns({"cell": F.array((-F.col("best.k")) % 3, F.floor(-F.col("best.k") / 3).cast("int")), "iou": F.col("best.iou"), "weight": area(*own) / (F.col("width") * F.col("height"))}).drop("best")
+    w, h = F.col("width"), F.col("height")
+    # nine columns of plain arithmetic, which compile, in place of an array of structs
+    each = {f"__iou{3 * j + i}": overlap(own, (w * i / 3, h * j / 3, w * (i + 1) / 3, h * (j + 1) / 3)) for j in range(3) for i in range(3)}
+    out = boxes.where(F.col("score") >= least).withColumns(each).withColumn("iou", F.greatest(*each))
+    cell = F.coalesce(*(F.when(F.col(c) == F.col("iou"), F.lit(k)) for k, c in enumerate(each)))
+    out = out.withColumn("__cell", cell).withColumn("cell", F.array((F.col("__cell") % 3).cast("int"), F.floor(F.col("__cell") / 3).cast("int")))
+    kept = [F.col(f"`{c}`") for c in boxes.columns if c not in ("cell", "iou", "weight")]
+    return out.select(*kept, "cell", "iou", (area(*own) / (w * h)).alias("weight"))
 
 
 # frames

@@ -394,8 +394,7 @@ def normalizers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", *(r9(c).alias(f"n{k}") for k, c in enumerate(made, 1)))
 
 
-@query("score_explained")
-def score_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+def explained_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Document scores with the explanations of their chunks as nested JSON."""
     hits = _hits(spark, sf_dir)
     leaf = lambda c: scores.explained(F.col(c), c)
@@ -404,6 +403,16 @@ def score_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce.explained_docs(hits)
 
 
+@query("score_explained", f"""WITH {_HITS} SELECT query_id, doc_id, count(*) AS n_hits, round(sum(relevance * query_weight * weight), 6) AS score, round(sum(relevance * query_weight * weight), 6) AS parts,
+round(sum(relevance), 6) AS relevance, round(sum(query_weight), 6) AS query_weight, round(sum(weight), 6) AS weight FROM hits GROUP BY query_id, doc_id""")
+def score_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the explanations say, read back from their JSON and summed up."""
+    parsed = F.from_json("explained", "array<struct<value:double,name:string,operands:array<struct<value:double,name:string>>>>")
+    each = explained_hits(spark, sf_dir).select("query_id", "doc_id", "n_hits", r6(F.col("score")).alias("score"), F.explode(parsed).alias("p"))
+    of = lambda name: r6(F.sum(F.get(F.filter("p.operands", lambda o: o["name"] == name), F.lit(0))["value"])).alias(name)
+    return each.groupBy("query_id", "doc_id", "n_hits", "score").agg(r6(F.sum("p.value")).alias("parts"), of("relevance"), of("query_weight"), of("weight"))
+
+
 # encoders
 
 
@@ -515,9 +524,15 @@ def unit_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exploded(_vectors(spark, sf_dir).select(F.col("id").alias("vec_id"), encode.unit(F.col("vector")).alias("embedding")), "vec_id")
 
 
-@query("char_encode")
+_CHARACTERS = encode.character_table(16)
+_CHARACTER_SQL = "[" + ", ".join("[" + ", ".join(f"{float(x)!r}::DOUBLE" for x in row) + "]" for row in _CHARACTERS) + "]"
+
+
+@query("char_encode", f"""WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS c FROM documents WHERE text IS NOT NULL), n AS (SELECT doc_id, CASE WHEN unicode(c) BETWEEN 32 AND 127 THEN unicode(c) - 31 ELSE 97 END AS place, count(*) AS n FROM c WHERE c <> '' GROUP BY ALL),
+t AS (SELECT {_CHARACTER_SQL} AS t), e AS (SELECT p::INT AS place, k::INT AS k, t[p][k + 1] AS x FROM t, (SELECT unnest(range(1, 98)) AS p), (SELECT unnest(range(16)) AS k))
+SELECT doc_id, k, round(sum(n * x) / sum(n), 6) + 0.0 AS x FROM n JOIN e USING (place) GROUP BY doc_id, k""")
 def char_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", encode.character_means(F.col("text"), encode.character_table(16)).alias("embedding"))
+    return _exploded(spread(table(spark, sf_dir, "documents")).select("doc_id", encode.character_means(F.col("text"), _CHARACTERS).alias("embedding")), "doc_id")
 
 
 @query("word_vectors", """WITH t AS (SELECT doc_id, unnest(string_split_regex(text, '\\s+')) AS token FROM documents WHERE text IS NOT NULL), u AS (SELECT doc_id, token FROM t WHERE token <> ''),
