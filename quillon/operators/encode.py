@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 JITTER = 1e-10
@@ -120,6 +120,28 @@ def pooled(rows: DataFrame, keys: tuple[str, ...], mode: str = "mean", vector: s
     return both.select(*keys, F.concat(*parts[mode]).alias("embedding"))
 
 
+def means(rows: DataFrame, keys: tuple[str, ...], vector: str = "vector") -> DataFrame:
+    """(keys, embedding): the plain mean of the vectors of a group, by position."""
+    each = rows.where(F.col(vector).isNotNull()).select(*keys, F.posexplode(F.col(vector).cast("array<double>")).alias("k", "x"))
+    by = each.groupBy(*keys, "k").agg(F.avg("x").alias("x")).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "x"))).alias("a"))
+    return by.select(*keys, F.col("a.x").alias("embedding"))
+
+
+def sequences(rows: DataFrame, key: str, order: str, vector: str, length: int, dims: int) -> DataFrame:
+    """(key, sequence, mask): the vectors of each group in their order, cut or filled with zeros to `length` of them, and which are its own; null vectors don't count."""
+    at = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    first = rows.where(F.col(vector).isNotNull()).withColumn("__at", at).where(F.col("__at") <= length)
+    held = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__at", F.col(vector).cast("array<double>").alias("v")))).alias("a"))
+    n = F.size("a")
+    filled = F.concat(F.col("a.v"), F.array_repeat(F.array_repeat(F.lit(0.0), dims), F.lit(length) - n))
+    return held.select(key, filled.alias("sequence"), F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.lit(length) - n)).alias("mask"))
+
+
+def whitened(vector: Column, mean: np.ndarray, values: np.ndarray, offset: float = 1e-4) -> Column:
+    """A vector less the mean, each place divided by the root of its eigenvalue and an offset."""
+    return applied(lambda x: (x - mean) / np.sqrt(values + offset), vector)
+
+
 # numbers
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quillon.functions import scores
 from quillon.operators import encode, frames, knn, reduce, split, video
-from quillon.session import spread
+from quillon.session import Scratch, spread
 from quillon.sources import documents as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -347,12 +347,14 @@ def exact_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return knn.exact_first(knn.equal_codes(asked(x), x), found, K)
 
 
-@query("chunk_info", "SELECT e.vec_id AS seq, e.vec_id % 100 AS doc_id, e.vec_id // 100 AS \"offset\", floor((e.vec_id % 1000) / 1000.0 * 65535.0) / 65535.0 AS weight FROM embeddings e")
+@query("chunk_info", """SELECT event_id, event_id % 3000 AS seq, vec_id % 100 AS doc_id, vec_id // 100 AS "offset", floor((vec_id % 1000) / 1000.0 * 65535.0) / 65535.0 AS weight
+FROM events LEFT JOIN embeddings ON vec_id = event_id % 3000""")
 def chunk_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positions to keys, with weights as they come back from 16 bits."""
-    seq = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("seq"))
-    keys = seq.select("seq", (F.col("seq") % 100).alias("doc_id"), F.floor(F.col("seq") / 100).alias("offset"), knn.quantised_weight((F.col("seq") % 1000) / F.lit(1000.0)).alias("weight"))
-    return knn.by_ordinal(seq, keys)
+    """Positions that events name to the keys of vectors, with weights as they come back from 16 bits; positions without a key stay."""
+    asked_for = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 3000).alias("seq"))
+    seq = F.col("vec_id")
+    keys = table(spark, sf_dir, "embeddings").select(seq.alias("seq"), (seq % 100).alias("doc_id"), F.floor(seq / 100).alias("offset"), knn.quantised_weight((seq % 1000) / F.lit(1000.0)).alias("weight"))
+    return knn.by_ordinal(asked_for, keys)
 
 
 @query("doc_fill", "SELECT doc_id, max(CASE WHEN doc_id % 3 = 0 THEN NULL ELSE text END) AS first_only, max(text) AS text FROM documents GROUP BY doc_id")
@@ -372,26 +374,34 @@ _MODIFIER_SQL = {
 }
 
 
-@query("score_modifiers", "SELECT vec_id, " + ", ".join(f'round({e}, 9) + 0.0 AS "m_{m}"' for m, e in _MODIFIER_SQL.items()) + " FROM (SELECT vec_id, embedding[1]::DOUBLE * 4 AS x FROM embeddings)")
+_ELEMENTS = "(SELECT vec_id, k::INT AS k, v[k + 1]::DOUBLE AS a, v[(k + 1) % 64 + 1]::DOUBLE AS b, v[(k + 2) % 64 + 1]::DOUBLE AS c FROM (SELECT vec_id, embedding AS v, unnest(range(64)) AS k FROM embeddings))"
+
+
+def _elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(vec_id, k, a, b, c): each element of each vector and the two that follow it, around the end."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.posexplode("embedding").alias("k", "a"))
+    after = lambda n: F.get("embedding", (F.col("k") + n) % 64).cast("double")
+    return e.select("vec_id", "k", F.col("a").cast("double").alias("a"), after(1).alias("b"), after(2).alias("c"))
+
+
+@query("score_modifiers", "SELECT vec_id, k, " + ", ".join(f'round({e}, 9) + 0.0 AS "m_{m}"' for m, e in _MODIFIER_SQL.items()) + f" FROM (SELECT *, a * 4 AS x FROM {_ELEMENTS})")
 def score_modifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.get(F.col("embedding"), F.lit(0)).cast("double")
-    return table(spark, sf_dir, "embeddings").select("vec_id", *((r9(scores.modified(x, m, 4.0)) + F.lit(0.0)).alias(f"m_{m}") for m in scores.MODIFIERS))
+    return _elements(spark, sf_dir).select("vec_id", "k", *((r9(scores.modified(F.col("a"), m, 4.0)) + F.lit(0.0)).alias(f"m_{m}") for m in scores.MODIFIERS))
 
 
-@query("score_combine", "SELECT vec_id, round(a * b * c, 9) + 0.0 AS multiply, round(a + b + c, 9) + 0.0 AS sum, greatest(a, b, c) AS max, least(a, b, c) AS min, round((a + b + c) / 3, 9) + 0.0 AS avg FROM (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings)")
+@query("score_combine", f"SELECT vec_id, k, round(a * b * c, 9) + 0.0 AS multiply, round(a + b + c, 9) + 0.0 AS sum, greatest(a, b, c) AS max, least(a, b, c) AS min, round((a + b + c) / 3, 9) + 0.0 AS avg FROM {_ELEMENTS}")
 def score_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [F.get(F.col("embedding"), F.lit(k)).cast("double") for k in range(3)]
-    made = {m: scores.combined(m, *parts) for m in scores.COMBINATIONS}
-    return table(spark, sf_dir, "embeddings").select("vec_id", *((c if m in ("max", "min") else r9(c) + F.lit(0.0)).alias(m) for m, c in made.items()))
+    made = {m: scores.combined(m, *(F.col(c) for c in "abc")) for m in scores.COMBINATIONS}
+    return _elements(spark, sf_dir).select("vec_id", "k", *((c if m in ("max", "min") else r9(c) + F.lit(0.0)).alias(m) for m, c in made.items()))
 
 
-@query("normalizers", """SELECT vec_id, round(1 / (1 + sqrt(x)), 9) AS n1, round(1 / (1 + x / 64), 9) AS n2, round(1 / (1 + sqrt(x) / 64), 9) AS n3, round(1 - x / 8, 9) AS n4, round(1 / (1 + sqrt(abs(y))), 9) AS n5
-FROM (SELECT vec_id, abs(embedding[1]::DOUBLE) AS x, embedding[1]::DOUBLE AS y FROM embeddings)""")
+@query("normalizers", f"""SELECT vec_id, k, round(1 / (1 + sqrt(abs(a))), 9) AS n1, round(1 / (1 + abs(a) / 64), 9) AS n2, round(1 / (1 + sqrt(abs(a)) / 64), 9) AS n3, round(1 - abs(a) / 8, 9) AS n4, round(1 / (1 + sqrt(abs(a))), 9) AS n5
+FROM {_ELEMENTS}""")
 def normalizers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    y = F.get(F.col("embedding"), F.lit(0)).cast("double")
+    y = F.col("a")
     x = F.abs(y)
     made = (scores.normalizer1(x), scores.normalizer2(x, 64), scores.normalizer3(x, 64), scores.normalizer4(x, 8), scores.normalizer5(y))
-    return table(spark, sf_dir, "embeddings").select("vec_id", *(r9(c).alias(f"n{k}") for k, c in enumerate(made, 1)))
+    return _elements(spark, sf_dir).select("vec_id", "k", *(r9(c).alias(f"n{k}") for k, c in enumerate(made, 1)))
 
 
 def explained_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -747,6 +757,71 @@ def hist_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("vec_id", *((r6(frames.histogram_distance(F.col("a"), F.col("b"), m)) + F.lit(0.0)).alias(m) for m in _METRIC_NAMES))
 
 
+_WINDOW = ", ".join("[" + ", ".join(f"l[{8 * (4 * i + y) + 4 * j + x + 1}]" for y in range(4) for x in range(4)) + "]" for i in range(2) for j in range(2))
+
+
+@query("sliding_windows", f"""WITH l AS (SELECT vec_id, {_LEVELS} AS l FROM embeddings WHERE embedding IS NOT NULL), w AS (SELECT vec_id, [{_WINDOW}] AS w FROM l)
+SELECT vec_id, n::INT AS "offset", (n % 2 * 4)::INT AS x, (n // 2 * 4)::INT AS y, array_to_string(w[n + 1], ',') AS pixels, 0.25::DOUBLE AS weight FROM w, (SELECT unnest(range(4)) AS n)""")
+def sliding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pictures = _frames(spark, sf_dir).withColumn("doc_id", F.col("pos"))
+    return frames.sliding_windows(pictures, 4, 4).select(F.col("doc_id").alias("vec_id"), "offset", "x", "y", F.array_join(F.col("pixels").cast("array<string>"), ",").alias("pixels"), "weight")
+
+
+@query("whiten", f"WITH {_EACH} SELECT vec_id, k::INT AS k, round((x - 0.01) / sqrt((k + 1) / 100.0::DOUBLE + 1e-4), 6) + 0.0 AS x FROM each")
+def whiten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By given means and spreads, as a fitted model has them."""
+    spreads = np.arange(1, 65) / 100
+    return _exploded(_vectors(spark, sf_dir).select(F.col("id").alias("vec_id"), encode.whitened(F.col("vector"), np.full(64, 0.01), spreads).alias("embedding")), "vec_id")
+
+
+@query("regrouped", """WITH r AS (SELECT user_id AS u, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS p FROM events), n AS (SELECT user_id, count(*) AS n, unnest(range(20)) AS k FROM events GROUP BY user_id)
+SELECT user_id, k::INT AS k, coalesce(value, 0.0) AS x, (k < n)::INT AS mask FROM n LEFT JOIN r ON u = user_id AND p = k""")
+def regrouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of videos as one sequence each, cut or filled to twenty frames."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.array(F.col("value")).alias("vector"))
+    made = encode.sequences(e, "user_id", "event_id", "vector", 20, 1)
+    return made.select("user_id", F.posexplode(F.arrays_zip("sequence", "mask")).alias("k", "x")).select("user_id", "k", F.get("x.sequence", F.lit(0)).alias("x"), "x.mask")
+
+
+@query("example_means", f"WITH {_EACH} SELECT vec_id // 4 AS doc_id, k::INT AS k, round(avg(x), 6) + 0.0 AS x FROM each GROUP BY ALL")
+def example_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean over the examples of a document."""
+    rows = _vectors(spark, sf_dir).select(F.floor(F.col("id") / 4).alias("doc_id"), "vector")
+    return _exploded(encode.means(rows, ("doc_id",)), "doc_id")
+
+
+# documents on storage
+
+
+@query("document_store", "SELECT doc_id, lang, source, CASE WHEN doc_id % 5 = 0 THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents")
+def document_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written without their texts, every fifth written again, and read back."""
+    docs = table(spark, sf_dir, "documents")
+    store = sources.DocumentStore(spark, f"{Scratch(spark).folder}/documents", drop=("text",))
+    store.add(docs, 1)
+    store.add(docs.where("doc_id % 5 = 0").withColumn("n_chars", F.col("n_chars") + 1), 2)
+    return store.read()
+
+
+@query("chunk_files", "SELECT vec_id AS doc_id, k::INT AS \"offset\", x FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings)")
+def chunk_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks in folders by range of ids, and read back."""
+    path = f"{Scratch(spark).folder}/chunks"
+    sources.write_chunk_files(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.posexplode("embedding").alias("offset", "x")).withColumn("x", F.col("x").cast("double")), path)
+    return sources.read_chunk_files(spark, path)
+
+
+@query("text_lines", "SELECT doc_id, n_chars FROM documents UNION ALL SELECT -1, count(*) FROM documents")
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as lines of JSON in text files, each line a document."""
+    path = f"{Scratch(spark).folder}/lines"
+    docs = table(spark, sf_dir, "documents")
+    docs.select(F.to_json(F.struct("doc_id", "n_chars", "text"))).write.text(path)
+    raw = F.from_json(F.decode("raw", "utf-8"), "doc_id long, n_chars long, text string")
+    rows = sources.text_lines(spark, path).select(raw.alias("r")).select("r.doc_id", "r.n_chars")
+    return rows.union(rows.agg(F.lit(-1).cast("long").alias("doc_id"), F.count("*").alias("n_chars")))
+
+
 # routes and barriers
 
 

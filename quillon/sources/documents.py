@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators.reduce import ordinals
+from quillon.session import Scratch
 
 SNOWFLAKE_EPOCH_MS = 1_546_300_800_000  # 2019-01-01
 
@@ -35,9 +36,25 @@ def zip_members(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "path string, name string, raw binary")
 
 
-def bytes_rows(spark: SparkSession, items: Iterable[bytes]) -> DataFrame:
-    """(seq, raw) of byte strings from the driver, in their order."""
-    return spark.createDataFrame([(k, bytearray(x)) for k, x in enumerate(items)], "seq long, raw binary")
+def bytes_rows(spark: SparkSession, items: Iterable[bytes], size: int = 10_000) -> DataFrame:
+    """(seq, raw) of byte strings from the driver, in their order.
+
+    They are written in pieces of `size` to the shared folder, so that the driver holds one piece at a time however long the iterator.
+    """
+    schema, scratch, paths, piece, n = "seq long, raw binary", Scratch(spark), [], [], 0
+
+    def write() -> None:
+        paths.append(scratch.write(spark.createDataFrame([(n - len(piece) + k, bytearray(x)) for k, x in enumerate(piece)], schema), "bytes"))
+        piece.clear()
+
+    for x in items:
+        piece.append(x)
+        n += 1
+        if len(piece) == size:
+            write()
+    if piece or not paths:
+        write()
+    return spark.read.schema(schema).parquet(*paths)
 
 
 def numbered(docs: DataFrame, order: str, start: int = 0) -> DataFrame:
@@ -79,10 +96,18 @@ class DocumentStore:
     def add(self, docs: DataFrame, version: int) -> None:
         docs.drop(*self.drop).write.mode("overwrite").parquet(f"{self.path}/version={version}")
 
+    def versions(self) -> list[int]:
+        """The versions there are, from the names of their folders."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        names = [x.getPath().getName() for x in folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(folder)]
+        return sorted(int(n.removeprefix("version=")) for n in names if n.startswith("version="))
+
     def read(self) -> DataFrame:
+        """The newest row of each id. One version is read as it is; of several, ids and versions alone are compared."""
+        versions = self.versions()
         docs = self.spark.read.option("mergeSchema", "true").parquet(self.path)
         columns = [c for c in docs.columns if c != "version"]
-        if docs.select("version").distinct().count() == 1:
+        if len(versions) == 1:
             return docs.select(*columns)
         newest = docs.groupBy("doc_id").agg(F.max("version").alias("version"))
         return docs.join(newest, ["doc_id", "version"]).select(*columns)
