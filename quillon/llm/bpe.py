@@ -21,6 +21,7 @@ encoded as any other row. Empty tables give empty results.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import sys
 import unicodedata
@@ -215,13 +216,13 @@ class Encoder:
         return tokens, to, made, at
 
 
-_encoders: dict[int, Encoder] = {}
+_encoders: dict[str, Encoder] = {}
 
 
 def encoded(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens, tokens, decoded) of every row."""
     vocabulary = read_vocabulary(path)
-    key = hash((path, len(vocabulary)))
+    key = hashlib.sha256(b"".join(len(x).to_bytes(4, "little") + x for x in vocabulary)).hexdigest()  # the content, as a file can change
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -146,24 +146,31 @@ def train(texts: list[str], classes: np.ndarray, epochs: int = EPOCHS, rate: flo
             b = batches[k]
             if not len(b.used):
                 continue
-            words = np.add.reduceat(vectors[b.used][b.place], b.feature_to)
-            mean = _spread(b.row, b.weight, words[b.word], len(b.classes))
-            logits = mean @ layer + bias
-            p = np.exp(logits - logits.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            p[np.arange(len(p)), b.classes] -= 1
-            p /= len(p)
-            back = p @ layer.T
-            for value, gradient, total in ((layer, mean.T @ p, seen_layer), (bias, p.sum(axis=0), seen_bias)):
+            _, of_layer, of_bias, of_used = gradients(b, vectors[b.used], layer, bias)
+            for value, gradient, total in ((layer, of_layer, seen_layer), (bias, of_bias, seen_bias)):
                 total += gradient**2
                 value -= pace * gradient / np.sqrt(total)
-            of_word = _spread(b.word, b.weight, back[b.row], len(b.size))
-            gradient = _spread(b.place, None, np.repeat(of_word, b.size, axis=0), len(b.used))
-            seen[b.used] += (gradient**2).mean(axis=1)
-            vectors[b.used] -= (pace * gradient / np.sqrt(seen[b.used])[:, None]).astype(np.float32)
+            seen[b.used] += (of_used**2).mean(axis=1)
+            vectors[b.used] -= (pace * of_used / np.sqrt(seen[b.used])[:, None]).astype(np.float32)
     return Model((vectors @ layer).astype(np.float32), bias)
 
 
+def gradients(b: _Batch, used: np.ndarray, layer: np.ndarray, bias: np.ndarray) -> tuple[float, np.ndarray, np.ndarray, np.ndarray]:
+    """The mean softmax loss of a minibatch and its gradients by the layer, the bias and the vectors of its features."""
+    words = np.add.reduceat(used[b.place], b.feature_to)
+    mean = _spread(b.row, b.weight, words[b.word], len(b.classes))
+    logits = mean @ layer + bias
+    p = np.exp(logits - logits.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    own = np.arange(len(p)), b.classes
+    loss = -float(np.log(p[own]).mean())
+    p[own] -= 1
+    p /= len(p)
+    back = p @ layer.T
+    of_word = _spread(b.word, b.weight, back[b.row], len(b.size))
+    return loss, mean.T @ p, p.sum(axis=0), _spread(b.place, None, np.repeat(of_word, b.size, axis=0), len(used))
+
+
 @dataclass
 class _Batch:
     """What each epoch needs of a minibatch: its distinct features, its words as runs of places among these, its cells."""
