@@ -1,18 +1,23 @@
 """Corpus pipeline: quality filter, line dedup, near-dedup, decontamination, tokenisation.
 
 Each stage takes what the one before it kept, as Parquet written to the shared folder and read
-again. All stages but the last return the columns of documents.
+again; what a stage read is deleted once its own result is written. All stages but the last return the columns of documents.
+
+Defined results, for every stage: an empty table gives an empty table of the same columns; rows with a null id or a null or empty text
+stay as they are in all stages but the last, which gives them null or no tokens; of rows equal in id and text one stays, of rows that share
+an id but not the text each is filtered for itself, the one with the smallest text stands for the id among copies, and they stay or go
+together there; further columns, whatever their names, are carried along to the last stage; a stage that keeps nothing leaves the rest
+empty tables; without labels of two classes, or without benchmark items, the stage concerned keeps everything.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from quillon.llm import bpe, classifier, decontaminate, linededup, minhash
-from quillon.session import ensure_checkpoint_dir
+from quillon.session import Scratch
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,12 +56,12 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages one after the other over the documents of sf_dir."""
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
+    scratch = Scratch(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        kept = scratch.keep(stage(spark, docs, sf_dir), name)
+        scratch.drop(docs)
+        docs = kept
     return docs
 
 
