@@ -168,6 +168,12 @@ def sounding_spans(samples: DataFrame, group: str, at: str, level: str, silence:
     return marked.where("__gap = 0").groupBy(group, "__span").agg(F.min(at).alias("first"), F.max(at).alias("last")).drop("__span")
 
 
+def sound_chunks(spans: DataFrame, group: str) -> DataFrame:
+    """(group, offset, first, last, weight): sounding spans as chunks in their order, of even weight."""
+    w = Window.partitionBy(group)
+    return spans.select(group, (F.row_number().over(w.orderBy("first")) - 1).alias("offset"), "first", "last", (F.lit(1.0) / F.count("*").over(w)).alias("weight"))
+
+
 def framed(samples: np.ndarray, length: int, hop: int) -> np.ndarray:
     """Overlapping frames of a signal, whole ones only."""
     if len(samples) < length:

@@ -104,6 +104,12 @@ def numbered_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.numbered(table(spark, sf_dir, "embeddings").select("vec_id"), "vec_id", 1000)
 
 
+@query("train_requests", """WITH n AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS r FROM documents)
+SELECT doc_id, r::BIGINT AS request_id, false AS flush FROM n UNION ALL SELECT NULL, coalesce(max(r), -1) + 1, true FROM n""")
+def train_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sources.train_requests(table(spark, sf_dir, "documents").select("doc_id"), 64)
+
+
 @query("snowflake_ids", "SELECT event_id, (((epoch_us(ts) // 1000 - 1546300800000) << 22) | (3 << 17) | (5 << 12) | (event_id % 4096))::BIGINT AS id FROM events")
 def snowflake_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", sources.snowflake(F.unix_millis(F.col("ts").cast("timestamp")), F.col("event_id"), 5, 3).alias("id"))
@@ -743,6 +749,12 @@ def sound_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.sounding_spans(table(spark, sf_dir, "events"), "user_id", "event_id", "value", silence=8.0, least=2)
 
 
+@query("sound_chunks", ORACLES["sound_spans"].replace(") SELECT user_id, min(event_id)", "), spans AS (SELECT user_id, min(event_id)") + """)
+SELECT user_id, (row_number() OVER (PARTITION BY user_id ORDER BY first) - 1)::INT AS "offset", first, last, 1.0::DOUBLE / count(*) OVER (PARTITION BY user_id) AS weight FROM spans""")
+def sound_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return frames.sound_chunks(sound_spans(spark, sf_dir), "user_id")
+
+
 _METRIC_NAMES = ("correlation", "chisqr", "chisqr_alt", "intersection", "hellinger", "kl_div")
 
 

@@ -69,6 +69,14 @@ def request_batches(docs: DataFrame, size: int, order: str = "doc_id") -> DataFr
     return ordinals(docs, order).withColumn("request_id", F.floor(F.col("ordinal") / size)).drop("ordinal")
 
 
+def train_requests(docs: DataFrame, size: int, order: str = "doc_id") -> DataFrame:
+    """The rows with request_id from 0, `size` to a request, and a last request of one row of nulls that says `flush`."""
+    rows = request_batches(docs, size, order).withColumn("flush", F.lit(False))
+    last = rows.agg((F.coalesce(F.max("request_id"), F.lit(-1)) + 1).alias("request_id"))
+    nulls = [F.lit(None).cast(f.dataType).alias(f.name) for f in docs.schema]
+    return rows.unionByName(last.select(*nulls, "request_id", F.lit(True).alias("flush")))
+
+
 def query_rows(docs: DataFrame, top_k: int) -> DataFrame:
     """Each document as a query with its own top_k."""
     if top_k <= 0:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +40,22 @@ def awaited(parts: DataFrame, timeout_ms: int = 5000) -> DataFrame:
     return parts.groupBy("node", "request_id").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+class TrainOnFlush:
+    """For foreachBatch over train requests (with a column `flush`): rows are added to a table, and a flush fits a model to all of them.
+
+    A batch that is repeated after a failure replaces what it wrote before. `status` is pending until the first flush, then success.
+    """
+
+    def __init__(self, path: str, fit: Callable[[DataFrame], object]) -> None:
+        self.path, self.fit, self.model, self.status = path.rstrip("/"), fit, None, "pending"
+
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        batch.where("not flush").drop("flush").write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+        if not batch.where("flush").isEmpty():
+            self.model = self.fit(batch.sparkSession.read.parquet(self.path).drop("batch"))
+            self.status = "success"
+
+
 def file_stream(spark: SparkSession, path: str, schema: str, files_per_trigger: int = 100) -> DataFrame:
     """Parquet files as they come, so many at a time."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)

@@ -134,3 +134,18 @@ def test_progress_of_a_stream(spark: SparkSession) -> None:
     finally:
         spark.streams.removeListener(listener)
     assert "watched" in seen
+
+
+def test_training_waits_for_the_flush(spark: SparkSession, tmp_path: Path) -> None:
+    from quillon.sources import documents as sources
+    from quillon.streaming.barrier import TrainOnFlush
+
+    requests = sources.train_requests(spark.range(10).withColumnRenamed("id", "doc_id"), 4)
+    trainer = TrainOnFlush(str(tmp_path / "rows"), lambda rows: rows.agg(F.sum("doc_id")).first()[0])
+    for k in range(3):
+        trainer(requests.where(F.col("request_id") == k), k)
+        trainer(requests.where(F.col("request_id") == k), k)  # repeated after a failure
+    assert trainer.status == "pending" and trainer.model is None
+    trainer(requests.where("flush"), 3)
+    assert trainer.status == "success" and trainer.model == 45
+    assert sorted(tuple(r) for r in sources.train_requests(spark.range(0).withColumnRenamed("id", "doc_id"), 4).collect()) == [(None, 0, True)]
