@@ -702,7 +702,7 @@ def cepstrum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("whole_pictures", """WITH b AS (SELECT l_orderkey AS doc_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_discount) - 1)::INT AS "offset", (l_partkey % 3)::INT AS x, (l_suppkey % 3)::INT AS y, l_discount::DOUBLE AS weight FROM lineitem WHERE l_quantity > 10)
-SELECT doc_id, "offset", x, y, weight FROM b UNION ALL SELECT o_orderkey, count("offset")::INT, 100, 100, 1.0 FROM orders LEFT JOIN b ON doc_id = o_orderkey GROUP BY o_orderkey""")
+SELECT doc_id, "offset", x, y, weight FROM b UNION ALL SELECT o_orderkey, count("offset")::INT, 100, 100, 1.0::DOUBLE FROM orders LEFT JOIN b ON doc_id = o_orderkey GROUP BY o_orderkey""")
 def whole_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as detected chunks of orders, and each order as a whole."""
     at = (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_discount")) - 1).alias("offset")
