@@ -46,7 +46,6 @@ SLOTS: dict[str, Slot] = {
     for s in (
         Slot("remote_call", _RAW, "doc_id long, raw binary"),
         Slot("image_decode", _RAW, "doc_id long, height int, width int, channels int, pixels array<int>"),
-        Slot("image_resize", ("doc_id", "offset", "height", "width", "channels", "pixels"), _CHUNK + "pixels array<int>"),
         Slot("image_segment", _RAW, "doc_id long, score double, x0 double, y0 double, x1 double, y1 double, width double, height double"),
         Slot("audio_decode", _RAW, "doc_id long, rate int, samples array<double>"),
         Slot("video_decode", _RAW, _CHUNK + "height int, width int, channels int, pixels array<int>"),
@@ -63,6 +62,5 @@ SLOTS: dict[str, Slot] = {
         Slot("video_mixture", _PIXELS, _VECTOR),
         Slot("video_features", _PIXELS, _VECTOR),
         Slot("audio_network", ("doc_id", "offset", "samples"), _VECTOR),
-        Slot("audio_cepstrum", ("doc_id", "offset", "samples"), _VECTOR),
     )
 }
