@@ -130,7 +130,7 @@ def test_html_odd_rows(spark: SparkSession) -> None:
 
 def test_urls_odd_rows(spark: SparkSession) -> None:
     rows = [(k, f"http://{'spam-farm' if k % 3 == 0 else 'good'}.example.org/{'buy' if k % 2 else 'read'}/{k}") for k in range(120)]
-    pages = spark.createDataFrame([(*r, None) for r in [*rows, rows[0], (None, None), (None, "x"), (500, ""), (501, None)]], "page_id long, url string, tokens string")
+    pages = spark.createDataFrame([(*r, None) for r in [*rows, rows[0], (None, None), (None, "x"), (500, ""), (501, None), (502, "http://x.org/" + "/".join(f"p{k}" for k in range(20_000)))]], "page_id long, url string, tokens string")
     marks = spark.createDataFrame([(k, 0 if k % 3 == 0 else 1, 0) for k in range(90)] + [(None, 0, 1), (1, None, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
     got = urlrules.filtered(pages, marks, min_support=0.05, min_pages=1).collect()
     assert len(got) == pages.count()
