@@ -289,3 +289,36 @@ def test_silence_logs_and_directions(spark: SparkSession) -> None:
     assert reduce.same_direction(True, True)
     with pytest.raises(ValueError):
         reduce.same_direction(True, False)
+
+
+# searches within buckets
+
+
+@pytest.mark.parametrize("metric", ["bits", "euclidean"])
+def test_search_among_rows_that_share_a_key(spark: SparkSession, metric: str) -> None:
+    rng = np.random.default_rng(4)
+    kind, width = ("int", 3) if metric == "bits" else ("double", 5)
+    vectors = rng.integers(0, 8, (90, width)) if metric == "bits" else np.round(rng.normal(size=(90, width)), 1) + 1e4
+    vectors[50:60] = vectors[0]
+    # a key that most rows hold, one that few hold, and rows without one
+    keys = [[int(a) if i % 9 else None, 0 if i < 70 else int(b)] for i, (a, b) in enumerate(rng.integers(0, 5, (90, 2)))]
+    rows = [(i, k, v.tolist()) for i, (k, v) in enumerate(zip(keys, vectors, strict=True))]
+    odd = [(90, None, vectors[0].tolist()), (91, keys[1], None), (92, keys[1], vectors[0].tolist()[:-1])]
+    x = spark.createDataFrame(rows + odd, f"id long, keys array<int>, vector array<{kind}>")
+    apart = lambda a, b: float(sum(bin(int(p) ^ int(q)).count("1") for p, q in zip(a, b, strict=True))) if metric == "bits" else round(float(np.sqrt(((a - b) ** 2).sum())), 9)
+    expected = set()
+    for q in range(0, 90, 4):
+        near = sorted((apart(vectors[q], vectors[i]), i) for i in range(90) if any(a is not None and a == b for a, b in zip(keys[q], keys[i], strict=True)))
+        expected |= {(q, i, d, n + 1) for n, (d, i) in enumerate(near[:7])}
+    for block_rows in (16, 1024):
+        got = knn.sharing(x.where("id % 4 = 0 and id < 90"), x, 7, metric, block_rows)
+        assert {tuple(r) for r in got.select("query_id", "id", "distance", "rank").collect()} == expected
+
+
+@pytest.mark.parametrize("name", ["knn_lsh"])
+def test_buckets_are_searched_in_blocks(spark: SparkSession, name: str) -> None:
+    from quillon.plans import catalogue
+
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    # pairs are measured where blocks meet; what is exploded, or joined by a bucket, holds each pair of rows as a row
+    assert "MapInArrow" in plan and "Generate" not in plan
