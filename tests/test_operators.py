@@ -315,10 +315,18 @@ def test_search_among_rows_that_share_a_key(spark: SparkSession, metric: str) ->
         assert {tuple(r) for r in got.select("query_id", "id", "distance", "rank").collect()} == expected
 
 
-@pytest.mark.parametrize("name", ["knn_lsh", "knn_bucket_bit_hamming"])
+@pytest.mark.parametrize("name", ["knn_lsh", "knn_bucket_bit_hamming", "exact_first"])
 def test_buckets_are_searched_in_blocks(spark: SparkSession, name: str) -> None:
     from quillon.plans import catalogue
 
     plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     # pairs are measured where blocks meet; what is exploded, or joined by a bucket, holds each pair of rows as a row
     assert "MapInArrow" in plan and "Generate" not in plan
+
+
+def test_equal_codes_of_least_ids(spark: SparkSession) -> None:
+    x = spark.createDataFrame([(i, [i % 2]) for i in range(20)] + [(20, None)], "id long, code array<int>")
+    q = x.where("id in (4, 5)")
+    got = sorted(tuple(r) for r in knn.equal_codes(q, x, 3).collect())
+    assert got == [(4, 0, 0.0), (4, 2, 0.0), (4, 4, 0.0), (5, 1, 0.0), (5, 3, 0.0), (5, 5, 0.0)]
+    assert knn.equal_codes(q, x).count() == 20
