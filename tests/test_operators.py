@@ -315,7 +315,7 @@ def test_search_among_rows_that_share_a_key(spark: SparkSession, metric: str) ->
         assert {tuple(r) for r in got.select("query_id", "id", "distance", "rank").collect()} == expected
 
 
-@pytest.mark.parametrize("name", ["knn_lsh", "knn_bucket_bit_hamming", "exact_first"])
+@pytest.mark.parametrize("name", ["knn_lsh", "knn_bucket_bit_hamming", "exact_first", "hash_fit_search"])
 def test_buckets_are_searched_in_blocks(spark: SparkSession, name: str) -> None:
     from quillon.plans import catalogue
 
