@@ -68,17 +68,23 @@ def overlap(a: tuple[Column, ...], b: tuple[Column, ...]) -> Column:
     return F.when(union > 0, both / union).otherwise(F.lit(0.0))
 
 
-def detected_chunks(boxes: DataFrame, least: float = 0.5) -> DataFrame:
-    """Detector boxes (doc_id, score, x0, y0, x1, y1, width, height) of at least a score as chunks, with area share and the grid cell of greatest overlap."""
+def detected_chunks(boxes: DataFrame, least: float = 0.5, digits: int | None = None) -> DataFrame:
+    """Detector boxes (doc_id, score, x0, y0, x1, y1, width, height) of at least a score as chunks, with area share and the grid cell of greatest overlap.
+
+    With `digits`, overlaps are rounded before cells are compared, so that equal ones tie whatever the rounding error; the first cell wins.
+    A box without one of its bounds has no overlap and no share, and stands in the first cell.
+    """
     own = tuple(F.col(c) for c in ("x0", "y0", "x1", "y1"))
     w, h = F.col("width"), F.col("height")
+    bounded = own[0].isNotNull() & own[1].isNotNull() & own[2].isNotNull() & own[3].isNotNull()
     # nine columns of plain arithmetic, which compile, in place of an array of structs
-    each = {f"__iou{3 * j + i}": overlap(own, (w * i / 3, h * j / 3, w * (i + 1) / 3, h * (j + 1) / 3)) for j in range(3) for i in range(3)}
-    out = boxes.where(F.col("score") >= least).withColumns(each).withColumn("iou", F.greatest(*each))
-    cell = F.coalesce(*(F.when(F.col(c) == F.col("iou"), F.lit(k)) for k, c in enumerate(each)))
+    settled = (lambda x: x) if digits is None else (lambda x: F.round(x, digits))
+    each = {f"__iou{3 * j + i}": settled(overlap(own, (w * i / 3, h * j / 3, w * (i + 1) / 3, h * (j + 1) / 3))) for j in range(3) for i in range(3)}
+    out = boxes.where(F.col("score") >= least).withColumns(each).withColumn("iou", F.when(bounded, F.greatest(*each)))
+    cell = F.coalesce(*(F.when(F.col(c) == F.col("iou"), F.lit(k)) for k, c in enumerate(each)), F.lit(0))
     out = out.withColumn("__cell", cell).withColumn("cell", F.array((F.col("__cell") % 3).cast("int"), F.floor(F.col("__cell") / 3).cast("int")))
     kept = [F.col(f"`{c}`") for c in boxes.columns if c not in ("cell", "iou", "weight")]
-    return out.select(*kept, "cell", "iou", (area(*own) / (w * h)).alias("weight"))
+    return out.select(*kept, "cell", "iou", F.when(bounded, area(*own) / (w * h)).alias("weight"))
 
 
 # frames
