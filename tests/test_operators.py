@@ -330,3 +330,19 @@ def test_equal_codes_of_least_ids(spark: SparkSession) -> None:
     got = sorted(tuple(r) for r in knn.equal_codes(q, x, 3).collect())
     assert got == [(4, 0, 0.0), (4, 2, 0.0), (4, 4, 0.0), (5, 1, 0.0), (5, 3, 0.0), (5, 5, 0.0)]
     assert knn.equal_codes(q, x).count() == 20
+
+
+def test_characters_are_counted_in_bounded_memory(spark: SparkSession) -> None:
+    import tracemalloc
+
+    rng = np.random.default_rng(6)
+    odd = ["", "é日x", "a" * 3_000_000, *("xyzé "[int(k) :] * int(n) for k, n in rng.integers(0, 5, (500, 2)))]
+    texts = pa.array(odd + ["some more text. " * 1000] * 800)
+    place = lambda points: points * 31 % 16
+    tracemalloc.start()
+    counts, n = encode._counts(texts, place, 16)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100_000_000, most  # 16 million characters
+    assert all((counts[i] == np.bincount([ord(c) * 31 % 16 for c in t], minlength=16)).all() and n[i] == len(t) for i, t in enumerate(odd))
+    assert (counts[-1] == np.bincount([ord(c) * 31 % 16 for c in texts[-1].as_py()], minlength=16)).all()
