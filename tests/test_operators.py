@@ -332,6 +332,16 @@ def test_equal_codes_of_least_ids(spark: SparkSession) -> None:
     assert knn.equal_codes(q, x).count() == 20
 
 
+def test_pictures_are_counted_in_partitions_of_bounded_rows(spark: SparkSession, monkeypatch: pytest.MonkeyPatch) -> None:
+    monkeypatch.setattr("quillon.session.PART_ROWS", 10)
+    chunks = spark.createDataFrame([(d, o, [0, 0], 0.5) for d in range(30) for o in range(d % 4)] + [(None, 0, [0, 0], 0.5)], "doc_id long, offset int, cell array<int>, weight double")
+    pictures = spark.createDataFrame([(d,) for d in range(40)] * 2 + [(None,)], "doc_id long")
+    made = video.with_whole_pictures(chunks, pictures)
+    assert made._jdf.queryExecution().executedPlan().toString().count(", 9), REPARTITION_BY_NUM") == 2  # 81 rows at most in a table
+    whole = sorted(((r.doc_id, r.offset) for r in made.where("weight = 1").collect()), key=str)
+    assert whole == sorted([(d, d % 4 if d < 30 else 0) for d in range(40)] + [(None, 0)], key=str) and made.count() == chunks.count() + 41
+
+
 def test_characters_are_counted_in_bounded_memory(spark: SparkSession) -> None:
     import tracemalloc
 
