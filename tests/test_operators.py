@@ -356,3 +356,24 @@ def test_characters_are_counted_in_bounded_memory(spark: SparkSession) -> None:
     assert most < 100_000_000, most  # 16 million characters
     assert all((counts[i] == np.bincount([ord(c) * 31 % 16 for c in t], minlength=16)).all() and n[i] == len(t) for i, t in enumerate(odd))
     assert (counts[-1] == np.bincount([ord(c) * 31 % 16 for c in texts[-1].as_py()], minlength=16)).all()
+
+
+def test_exact_distances_of_few_pairs(monkeypatch: pytest.MonkeyPatch) -> None:
+    rng = np.random.default_rng(8)
+    x = rng.dirichlet(np.ones(16), 700)
+    x[200:260] = x[0]  # ties
+    x[300:310] = x[1] + 1e-8  # nearer than single precision tells
+    x[310:320] = x[1] + 2e-8
+    measured, plain = [], knn._l1_apart
+    monkeypatch.setattr(knn, "_l1_apart", lambda q, c: measured.append(len(q)) or plain(q, c))
+    flat = lambda a: pa.ListArray.from_arrays(pa.array([0, a.size], pa.int32()), pa.array(a.ravel()))
+    for scale, ids in ((1, rng.permutation(700)), (1e30, np.arange(700)), (1e45, np.arange(700))):
+        y = x * scale
+        batch = pa.RecordBatch.from_arrays([flat(np.arange(100)), flat(y[:100]), flat(ids), flat(y)], ["a", "b", "c", "d"])
+        got = pa.Table.from_batches(list(knn._searched(knn._l1, 12, 16)(iter([batch])))).to_pylist()
+        exact = np.round(np.abs(y[:100, None] - y[None]).sum(axis=2) / 16, 9)
+        best = np.lexsort((np.broadcast_to(ids, exact.shape), exact), axis=1)[:, :12]
+        expected = [(q, int(ids[i]), exact[q, i]) for q in range(100) for i in best[q]]
+        assert sorted((r["query_id"], r["id"], r["distance"]) for r in got) == sorted(expected)
+        if scale == 1:
+            assert sum(measured) < 100 * 700 / 10
